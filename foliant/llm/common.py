@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,3 +68,9 @@ def pieces_of(df: DataFrame) -> int:
 def fold4(column) -> F.Column:
     """crc32 of the id's decimal text, mod 4: the fold by which labelled rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases now rather than at its next collection."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -223,6 +223,13 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that hold no window of an item, with all their columns. Rows that repeat a doc_id go together."""
+    gone = find(docs, items).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = common.store(gone, "contaminated")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
 
