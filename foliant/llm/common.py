@@ -35,7 +35,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame | None) -> None:
     """Delete a table that store() wrote, once nothing reads it any more."""
     path = getattr(df, "_foliant_path", None)
     if path:

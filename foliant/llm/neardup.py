@@ -11,8 +11,9 @@ at any corpus size; it is what is broadcast, and its size is that constant.
    buckets.
 3. In a bucket all nodes are compared with a hub, never all with all. Nodes linked to the hub leave; for a node that
    is not, weighted Jaccard distance being a metric, only linked nodes l with d(hub, l) >= d(hub, n) - limit can
-   still be linked to it, and those pairs are compared too. The rest goes into the next round with new hubs, of
-   which there are twice as many each time. So no pair of a bucket that reaches the threshold stays unconnected.
+   still be linked to it, and those pairs are compared too, unless other links have put them into one class already.
+   The rest goes into the next round with new hubs, of which there are twice as many each time, until a bucket's open
+   nodes are all of one class. So no pair of a bucket that reaches the threshold stays unconnected.
 4. Every compared pair is verified by its exact weighted Jaccard similarity; links make classes.
 
 Result per row of docs: doc_id, class_id (smallest doc_id of the class), n_copies (rows with the same words).
@@ -206,14 +207,16 @@ def similarities(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFram
     return common.map_slices(pairs.join(right, "b").join(left, "a"), "a binary, b binary, sim double", run)
 
 
-def links(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links that connect all nodes of a bucket whose similarity reaches the threshold. buckets: (bucket, key)."""
+def linked(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """node and root (smallest key of the class) of all nodes that share a bucket with one whose similarity reaches
+    the threshold, or are connected to it by such links. buckets: (bucket, key)."""
     limit = 1 - similarity
     known: DataFrame | None = None
     found: DataFrame | None = None
     opened = buckets
     hubs_per_bucket = 1
     extra: DataFrame | None = None
+    roots: DataFrame | None = None
     turn = 0
     while True:
         turn += 1
@@ -231,19 +234,27 @@ def links(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: floa
         found = good if found is None else found.unionByName(good)
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
         judged = common.store(met.join(both.select(F.col("a").alias("key"), F.col("b").alias("hub"), (1 - F.col("sim")).alias("d")), ["key", "hub"]), "judged")
-        # unlinked, but near enough to the hub that a node linked to the hub may be linked to it as well
+        # unlinked, but near enough to the hub that a node linked to the hub may be linked to it as well; what is
+        # linked to the hub is in the hub's class, so nodes that got there by other ways need no comparison
+        common.discard(roots)
+        roots = graph.components(found)
+        root = lambda frame, name: frame.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
         width = limit / BINS
-        ring = judged.filter((F.col("d") > limit) & (F.col("d") <= 2 * limit)).select("bucket", "hub", F.col("key").alias("k1"), F.col("d").alias("d1"), F.explode(F.sequence(F.greatest(F.floor((F.col("d") - limit) / width - 1e-9), F.lit(0)).cast("int"), F.lit(BINS))).alias("bin"))
+        near = root(root(judged.filter((F.col("d") > limit) & (F.col("d") <= 2 * limit)), "key"), "hub")
+        ring = near.filter("key_root <> hub_root").select("bucket", "hub", F.col("key").alias("k1"), F.col("d").alias("d1"), F.explode(F.sequence(F.greatest(F.floor((F.col("d") - limit) / width - 1e-9), F.lit(0)).cast("int"), F.lit(BINS))).alias("bin"))
         inner = judged.filter(F.col("d") <= limit).select("bucket", "hub", F.col("key").alias("k2"), F.col("d").alias("d2"), F.floor(F.col("d") / width).cast("int").alias("bin"))
         across = ring.join(inner, ["bucket", "hub", "bin"]).filter(F.col("d2") >= F.col("d1") - limit - 1e-9).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"))
         extra = common.store(across.distinct(), "across")
         nearest = judged.groupBy("bucket", "key").agg(F.min("d").alias("d"))
         left = nearest.filter(F.col("d") > limit).select("bucket", "key").join(hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti")
+        # a bucket whose open nodes are all of one class has nothing left to connect
+        left = root(left, "key")
+        mixed = left.groupBy("bucket").agg(F.min("key_root").alias("_a"), F.max("key_root").alias("_b")).filter("_a <> _b").select("bucket")
+        opened = common.store(left.join(mixed, "bucket").select("bucket", "key"), "open")
         common.discard(met)
-        opened = common.store(left, "open")
         n_open, n_extra = opened.count(), extra.count()
         if not n_open and not n_extra:
-            return found
+            return roots
         hubs_per_bucket *= 2 if turn > 1 else 1
 
 
@@ -261,7 +272,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = nodes.join(buckets.select("key").distinct(), "key", "left_semi").select("doc_id", "key")
     vecs = common.store(vectors(docs, wanted).dropDuplicates(["key"]), "vectors")
     common.release(spark)
-    roots = graph.components(links(buckets, vecs, idf, similarity))
+    roots = linked(buckets, vecs, idf, similarity)
     in_class = nodes.select("key", "doc_id", "n_copies").join(roots.withColumnRenamed("node", "key"), "key")
     named = in_class.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     grouped = in_class.join(named, "root").select("key", "class_id")
