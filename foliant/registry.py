@@ -1,11 +1,284 @@
-"""The engine's named queries over the driver's tables, and the SQL that gives the same rows."""
+"""The engine's named queries over the driver's tables, and the SQL that gives the same rows.
+
+Queries cover whole tables. Orders are shown as row_no or place columns, since results are compared as sets.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import dates, formats, html, text
+from foliant.operators import group, query, view
+from foliant.plans import ingest
+from foliant.sources import catalog
+from foliant.sources.adapter import with_views
+from foliant.sources.adapter import view as table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query_of(name: str, sql: str | None = None, reads: tuple[str, ...] = ()):
+    """Register a query and its SQL; reads names the library tables that the SQL begins with."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = (with_views(*reads) + "\n" if reads else "") + sql
+        return f
+
+    return put
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = view.tags_of_works(table(spark, sf_dir, "work_tags")).withColumnRenamed("work_id", "id")
+    return table(spark, sf_dir, "works").join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+
+
+@query_of(
+    "search_ranked",
+    """, folded AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, trim(regexp_replace(lower(author), '[^a-z0-9]+', ' ', 'g')) AS a FROM works WHERE status <> 'record_only'),
+hit AS (SELECT *, 100 * (CASE WHEN t = 'tale' THEN 3 WHEN starts_with(t, 'tale') THEN 2 WHEN contains(t, 'tale') THEN 1 ELSE 0 END) + 40 * (CASE WHEN contains(a, 'tale') THEN 1 ELSE 0 END)
+  + 100 * (CASE WHEN t = 'customer 000' THEN 3 WHEN starts_with(t, 'customer 000') THEN 2 WHEN contains(t, 'customer 000') THEN 1 ELSE 0 END) + 40 * (CASE WHEN a = 'customer 000' THEN 3 WHEN starts_with(a, 'customer 000') THEN 2 WHEN contains(a, 'customer 000') THEN 1 ELSE 0 END)
+  + 100 * (CASE WHEN t = '9' THEN 3 WHEN starts_with(t, '9') THEN 2 WHEN contains(t, '9') THEN 1 ELSE 0 END) AS relevance
+  FROM folded WHERE (contains(t, 'tale') OR contains(a, 'tale')) AND (contains(t, 'customer 000') OR contains(a, 'customer 000')) AND contains(t, '9'))
+SELECT row_number() OVER (ORDER BY relevance DESC, published_at DESC NULLS FIRST, CASE WHEN published_at IS NULL THEN -id END, id) AS row_no, id, title, relevance FROM hit""",
+    ("works",),
+)
+def search_ranked(spark, sf_dir):
+    options = query.Options(search="tale customer#000 title:9")
+    return query.ranked(table(spark, sf_dir, "works"), options).select("row_no", "id", "title", F.col("relevance").cast("int").alias("relevance"))
+
+
+@query_of(
+    "works_display",
+    """SELECT id, CASE WHEN published_at IS NULL THEN NULL ELSE (CASE WHEN date_is_approx THEN '~' ELSE '' END) || substr(published_at, 1, CASE published_prec WHEN 'year' THEN 4 WHEN 'month' THEN 7 ELSE 10 END) END AS published_display,
+  CASE WHEN word_count = 0 THEN '—' WHEN word_count_source = 'ao3' THEN format('{:,}', word_count) ELSE '~' || format('{:,}', word_count) END AS word_count_display, coalesce(upper(language), '?') AS badge FROM works""",
+    ("works",),
+)
+def works_display(spark, sf_dir):
+    return view.displays(table(spark, sf_dir, "works")).select("id", "published_display", "word_count_display", formats.language_badge(F.col("language")).alias("badge"))
+
+
+@query_of(
+    "library_counts",
+    """SELECT (SELECT count(*) FROM works) AS works_total, (SELECT count(*) FROM works WHERE status = 'record_only') AS record_only, (SELECT count(*) FROM works WHERE status <> 'record_only') AS with_file,
+ (SELECT count(*) FROM files WHERE work_id IN (SELECT id FROM works)) AS files_total, (SELECT count(*) FROM works WHERE id IN (SELECT work_a FROM relations UNION SELECT work_b FROM relations)) AS works_related, (SELECT count(*) FROM pending WHERE NOT dismissed) AS pending_total""",
+    ("works", "files", "relations", "pending"),
+)
+def library_counts(spark, sf_dir):
+    return view.counts(*[table(spark, sf_dir, n) for n in ("works", "files", "relations", "pending")])
+
+
+@query_of("language_facets", "SELECT language, count(*) AS n_works, min_by(coalesce(language_label, language), id) AS label FROM works WHERE language IS NOT NULL GROUP BY language", ("works",))
+def language_facets(spark, sf_dir):
+    return query.language_facets(table(spark, sf_dir, "works"))
+
+
+@query_of("tag_facets", "SELECT lower(name) AS tag_key, count(DISTINCT work_id) AS n_works, min_by(name, work_id) AS name FROM work_tags GROUP BY 1", ("work_tags",))
+def tag_facets(spark, sf_dir):
+    return query.tag_facets(table(spark, sf_dir, "work_tags"))
+
+
+@query_of(
+    "filter_tags_languages",
+    """SELECT id FROM works WHERE status <> 'record_only' AND coalesce(language, '') IN ('en', '')
+ AND id IN (SELECT work_id FROM work_tags WHERE starts_with(lower(name), 'p')) AND (SELECT count(*) > 0 FROM work_tags t WHERE t.work_id = works.id AND lower(name) = (SELECT min(lower(name)) FROM work_tags WHERE starts_with(lower(name), 'p')))""",
+    ("works", "work_tags"),
+)
+def filter_tags_languages(spark, sf_dir):
+    first = table(spark, sf_dir, "work_tags").filter(F.lower("name").startswith("p")).agg(F.min(F.lower("name"))).first()[0]
+    return query.select(tagged(spark, sf_dir), query.Options(tags=[first.upper()] if first else [], languages=["en", ""])).select("id")
+
+
+for _name, _sort, _down, _undated, _order in (
+    ("sort_published_desc", "published", True, "observed", "published_at DESC NULLS FIRST, CASE WHEN published_at IS NULL THEN -id END, id"),
+    ("sort_published_asc", "published", False, "observed", "published_at ASC NULLS LAST, id"),
+    ("sort_published_last", "published", True, "last", "published_at DESC NULLS LAST, id"),
+    ("sort_words", "words", True, "observed", "word_count DESC, id"),
+    ("sort_title", "title", False, "observed", "title, id"),
+):
+
+    @query_of(_name, f"SELECT row_number() OVER (ORDER BY {_order}) AS row_no, id FROM works WHERE status <> 'record_only'", ("works",))
+    def sorted_works(spark, sf_dir, _options=query.Options(sort=_sort, descending=_down, undated=_undated)):
+        return query.ranked(table(spark, sf_dir, "works"), _options).select("row_no", "id")
+
+
+@query_of(
+    "group_translations",
+    """, r AS (SELECT id, translation_role, row_number() OVER (ORDER BY word_count DESC, id) AS rank FROM works WHERE status <> 'record_only'),
+e AS (SELECT work_a AS x, work_b AS y FROM relations UNION ALL SELECT work_b, work_a FROM relations),
+g AS (SELECT r.id, r.rank, r.translation_role, CASE WHEN o.rank < r.rank THEN o.id ELSE r.id END AS anchor FROM r LEFT JOIN (SELECT e.x, p.id, p.rank FROM e JOIN r p ON e.y = p.id) o ON r.id = o.x)
+SELECT id, anchor, min(rank) OVER (PARTITION BY anchor) AS group_rank, count(*) OVER (PARTITION BY anchor) AS group_size,
+ CASE WHEN row_number() OVER (PARTITION BY anchor ORDER BY CASE translation_role WHEN 'original' THEN 0 WHEN 'translation' THEN 1 ELSE 2 END, rank) > 1 THEN 1 ELSE 0 END AS depth FROM g""",
+    ("works", "relations"),
+)
+def group_translations(spark, sf_dir):
+    ranked = query.ranked(table(spark, sf_dir, "works"), query.Options(sort="words")).select("id", F.col("row_no").alias("rank"), "translation_role")
+    return group.by_translation(ranked, table(spark, sf_dir, "relations")).select("id", "anchor", "group_rank", "group_size", "depth")
+
+
+@query_of(
+    "group_series",
+    """, r AS (SELECT id, row_number() OVER (ORDER BY word_count DESC, id) AS rank FROM works WHERE status <> 'record_only'),
+g AS (SELECT r.id, r.rank, s.position, first_value(r.id) OVER (PARTITION BY s.series_id ORDER BY r.rank) AS anchor FROM r JOIN works_series s ON r.id = s.work_id)
+SELECT id, anchor, min(rank) OVER (PARTITION BY anchor) AS group_rank, count(*) OVER (PARTITION BY anchor) AS group_size, row_number() OVER (PARTITION BY anchor ORDER BY position NULLS LAST, rank) AS place FROM g""",
+    ("works", "works_series"),
+)
+def group_series(spark, sf_dir):
+    ranked = query.ranked(table(spark, sf_dir, "works"), query.Options(sort="words")).select("id", F.col("row_no").alias("rank"))
+    return group.by_series(ranked, table(spark, sf_dir, "works_series")).select("id", "anchor", "group_rank", "group_size", "place")
+
+
+@query_of("related_works", "SELECT x AS work_id, y AS other_id, title AS other_title, published_at AS other_published FROM (SELECT work_a AS x, work_b AS y FROM relations UNION ALL SELECT work_b, work_a FROM relations) JOIN works ON id = y", ("works", "relations"))
+def related_works(spark, sf_dir):
+    return view.related_works(table(spark, sf_dir, "relations"), table(spark, sf_dir, "works")).select("work_id", "other_id", "other_title", "other_published")
+
+
+@query_of("pending_context", "SELECT p.external_id, p.from_work_id, p.title, coalesce(w.title, '') AS from_title FROM pending p LEFT JOIN works w ON p.from_work_id = w.id WHERE NOT p.dismissed", ("works", "pending"))
+def pending_context(spark, sf_dir):
+    return view.pending_with_context(table(spark, sf_dir, "pending"), table(spark, sf_dir, "works")).select("external_id", "from_work_id", "title", "from_title")
+
+
+@query_of("series_sizes", "SELECT work_id, series_id, position, count(*) OVER (PARTITION BY series_id) AS series_size FROM works_series", ("works_series",))
+def series_sizes(spark, sf_dir):
+    return view.series_sizes(table(spark, sf_dir, "works_series")).select("work_id", "series_id", "position", "series_size")
+
+
+@query_of(
+    "files_ordered",
+    """, f AS (SELECT *, max(version) OVER (PARTITION BY work_id, format_detail) AS latest FROM files)
+SELECT work_id, row_number() OVER (PARTITION BY work_id ORDER BY version <> latest, CASE format_class WHEN 'html' THEN 0 WHEN 'pdf' THEN 1 ELSE 2 END, version DESC, format_detail) AS place, format_detail, version, CASE WHEN version = latest THEN 'current' ELSE 'archived' END AS role, size_bytes::BIGINT AS size_bytes FROM f""",
+    ("files",),
+)
+def files_ordered(spark, sf_dir):
+    listed = view.ordered_files(view.current_versions(table(spark, sf_dir, "files")))
+    return listed.select("work_id", F.posexplode("files").alias("at", "f")).select("work_id", (F.col("at") + 1).cast("long").alias("place"), "f.format_detail", "f.version", "f.role", "f.size_bytes")
+
+
+@query_of("tags_per_work", "SELECT work_id, string_agg(name, '|' ORDER BY lower(name), name) AS tags FROM work_tags GROUP BY work_id", ("work_tags",))
+def tags_per_work(spark, sf_dir):
+    return view.tags_of_works(table(spark, sf_dir, "work_tags")).select("work_id", F.array_join("tags", "|").alias("tags"))
+
+
+@query_of("merge_candidates", "SELECT w.id, w.title, coalesce(string_agg(DISTINCT f.format_detail, ',' ORDER BY f.format_detail), '') AS formats FROM (SELECT * FROM works ORDER BY id DESC LIMIT 300) w LEFT JOIN files f ON f.work_id = w.id GROUP BY ALL", ("works", "files"))
+def merge_candidates(spark, sf_dir):
+    return view.merge_candidates(table(spark, sf_dir, "works"), table(spark, sf_dir, "files"))
+
+
+@query_of("format_labels", "SELECT work_id, seq, format_detail, CASE WHEN format_class = 'other' THEN 'Other · ' || upper(format_detail) ELSE upper(format_detail) END AS label, CASE WHEN size_bytes < 1024 THEN size_bytes::VARCHAR || ' B' ELSE 'large' END AS size FROM files", ("files",))
+def format_labels(spark, sf_dir):
+    size = F.when(F.col("size_bytes") < 1024, formats.bytes_display(F.col("size_bytes"))).otherwise("large")
+    return table(spark, sf_dir, "files").select("work_id", "seq", "format_detail", formats.format_label(F.col("format_class"), F.col("format_detail")).alias("label"), size.alias("size"))
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@query_of("word_counts", r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '\p{Han}|[\p{L}\p{N}]+')), 0)::BIGINT AS n_words FROM documents")
+def word_counts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).alias("n_words"))
+
+
+@query_of("folded_hash", r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ς', 'σ'), '[^\p{L}\p{N}]+', ' ', 'g'))) AS folded_sha256 FROM documents")
+def folded_hash(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded_sha256"))
+
+
+@query_of("content_duplicates", "SELECT doc_id, sha256(text) AS file_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS owner, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS batch_repeat FROM documents")
+def content_duplicates(spark, sf_dir):
+    hashed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("file_hash"))
+    owner = hashed.groupBy("file_hash").agg(F.min("doc_id").alias("owner"))
+    return hashed.join(owner, "file_hash").select("doc_id", "file_hash", "owner", (F.col("doc_id") > F.col("owner")).alias("batch_repeat"))
+
+
+@query_of("language_guess", "SELECT doc_id, CAST(NULL AS VARCHAR) AS guess, coalesce(len(regexp_extract_all(text, '[\\p{L}\\p{N}]')), 0)::BIGINT AS n_letters FROM documents")
+def language_guess(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.guess_language(F.col("text")).alias("guess"), text.script_counts(F.col("text"))["total"].alias("n_letters"))
+
+
+@query_of("matching_documents", r"SELECT doc_id FROM documents WHERE contains(' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', 'token') AND contains(lower(text), 'the')")
+def matching_documents(spark, sf_dir):
+    return docs(spark, sf_dir).filter(text.matches_terms(text.fold(F.col("text")), query.fold_literal("Token, the").split())).select("doc_id")
+
+
+@query_of("page_text")
+def page_text(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", html.html_text(F.col("html")).alias("text"), html.parse(F.col("html")).isNotNull().alias("is_work"))
+
+
+@query_of(
+    "loose_dates",
+    "SELECT o_orderkey AS id, substr(cast(cast(o_orderdate AS date) AS string), 1, 7) || '-01' AS iso, 'month' AS date_precision FROM orders",
+)
+def loose_dates(spark, sf_dir):
+    written = F.translate(F.substring(F.col("o_orderdate").cast("date").cast("string"), 1, 7), "-", "/")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), dates.parse_loose(written).alias("d")).select("id", "d.iso", F.col("d.precision").alias("date_precision"))
+
+
+@query_of("best_estimate", "SELECT w.id, CASE WHEN w.word_count_source = 'ao3' THEN w.word_count ELSE coalesce(max(f.size_bytes), 0) END::BIGINT AS words FROM works w LEFT JOIN files f ON f.work_id = w.id GROUP BY w.id, w.word_count_source, w.word_count", ("works", "files"))
+def best_estimate(spark, sf_dir):
+    sizes = table(spark, sf_dir, "files").groupBy(F.col("work_id").alias("id")).agg(F.max("size_bytes").alias("estimate"))
+    stated = F.when(F.col("word_count_source") == "ao3", F.col("word_count"))
+    return table(spark, sf_dir, "works").join(sizes, "id", "left").select("id", ingest.best_count(stated, F.col("estimate"))["words"].cast("long").alias("words"))
+
+
+@query_of("relations_canonical", "SELECT DISTINCT least(k, o) AS work_a, greatest(k, o) AS work_b FROM (SELECT o_orderkey AS k, (o_orderkey * 31 + 7) % 1000 AS o FROM orders) WHERE k <> o")
+def relations_canonical(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("work_a"), ((F.col("o_orderkey") * 31 + 7) % 1000).alias("work_b"))
+    return catalog.store_relations(pairs.limit(0), pairs)
+
+
+@query_of("vocabulary_pruned", "SELECT DISTINCT p_type AS name FROM part WHERE p_type IN (SELECT name FROM work_tags)", ("work_tags",))
+def vocabulary_pruned(spark, sf_dir):
+    vocabulary = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("name")).distinct()
+    return view.prune(vocabulary, table(spark, sf_dir, "work_tags"), "name")
+
+
+@query_of(
+    "fill_and_edit",
+    "SELECT id, CASE WHEN id % 6 = 0 THEN NULL ELSE coalesce(language, 'xx') END AS language, CASE WHEN id % 4 = 0 THEN id ELSE CASE WHEN word_count <= 0 THEN 77 ELSE word_count END END::BIGINT AS word_count FROM works",
+    ("works",),
+)
+def fill_and_edit(spark, sf_dir):
+    works = table(spark, sf_dir, "works").select("id", "language", "word_count")
+    filled = catalog.fill_missing(works, works.select("id", F.lit("xx").alias("language"), F.lit(77).cast("long").alias("word_count")), ["language", "word_count"])
+    edits = works.select("id", F.when(F.col("id") % 6 == 0, "").alias("language"), F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(-1).alias("word_count"))
+    return catalog.edit(filled, edits, ["language", "word_count"])
+
+
+@query_of("delete_cascade", "SELECT 'files' AS kind, count(*) AS n FROM files WHERE work_id % 3 <> 0 UNION ALL SELECT 'relations', count(*) FROM relations WHERE work_a % 3 <> 0 AND work_b % 3 <> 0 UNION ALL SELECT 'works', count(*) FROM works WHERE id % 3 <> 0", ("works", "files", "relations"))
+def delete_cascade(spark, sf_dir):
+    tables = {n: table(spark, sf_dir, n) for n in ("works", "files", "relations")}
+    left = catalog.delete(tables, tables["works"].filter("id % 3 = 0"))
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n") for name, df in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query_of("pending_resolved", "SELECT external_id, from_work_id FROM pending WHERE external_id NOT IN (SELECT external_id FROM works)", ("works", "pending"))
+def pending_resolved(spark, sf_dir):
+    works = table(spark, sf_dir, "works")
+    left, _ = catalog.resolve_pending(table(spark, sf_dir, "pending"), table(spark, sf_dir, "relations"), works)
+    return left.select("external_id", "from_work_id")
+
+
+@query_of("read_model")
+def read_model(spark, sf_dir):
+    return view.work_view(*[table(spark, sf_dir, n) for n in ("works", "files", "work_tags", "works_series", "relations")])
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
+
+
