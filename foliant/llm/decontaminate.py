@@ -211,8 +211,11 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | No
 
     def union(name: str) -> F.Column:
         covered = F.array_sort(F.flatten(F.transform("parts", lambda p: p[name])))
-        step = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s)))
-        return F.aggregate(covered, F.slice(covered, 1, 0), step).alias(name)
+        # an interval stays if it reaches beyond all before it, and begins a new one unless it touches them
+        reach = lambda k: F.array_max(F.transform(F.slice(covered, 1, k), lambda p: p["stop"]))
+        begins = F.filter(F.transform(covered, lambda s, k: F.named_struct(F.lit("start"), s["start"], F.lit("new"), F.when(k == 0, True).otherwise(s["start"] > reach(k)))), lambda s: s["new"])
+        stops = F.transform(begins, lambda b: F.array_max(F.transform(F.filter(covered, lambda s: (s["start"] >= b["start"]) & (F.coalesce(F.array_min(F.transform(F.filter(begins, lambda c: c["start"] > b["start"]), lambda c: c["start"])), F.lit(2**62)) > s["start"])), lambda s: s["stop"])))
+        return F.arrays_zip(F.transform(begins, lambda b: b["start"]), stops).cast("array<struct<start:bigint,stop:bigint>>").alias(name)
 
     merged_rows = whole.select("doc_id", "n_words", union("hits"), union("near"), F.array_sort(F.array_distinct(F.flatten(F.transform("parts", lambda p: p["items"])))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
     return merged_rows.drop("_copy")
