@@ -13,7 +13,11 @@ at any corpus size; it is what is broadcast, and its size is that constant.
    is not, weighted Jaccard distance being a metric, only linked nodes l with d(hub, l) >= d(hub, n) - limit can
    still be linked to it, and those pairs are compared too, unless other links have put them into one class already.
    The rest goes into the next round with new hubs, of which there are twice as many each time, until a bucket's open
-   nodes are all of one class. So no pair of a bucket that reaches the threshold stays unconnected.
+   nodes are all of one class. The first hub of a bucket is its most central node, the one whose buckets hold most.
+   After that round an exact positional prefix filter closes nodes that can't be linked to another class: from the
+   first shingle that a linked pair shares, in the order of rising document frequency, each text has the threshold's
+   part of its weight left, and the lighter text 2 s / (1 + s) of it. So no pair of a bucket that reaches the
+   threshold stays unconnected.
 4. Every compared pair is verified by its exact weighted Jaccard similarity; links make classes.
 
 Result per row of docs: doc_id, class_id (smallest doc_id of the class), n_copies (rows with the same words).
@@ -167,21 +171,38 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return common.map_slices(docs.select("doc_id", "text"), "doc_id bigint, key binary, bands array<bigint>", run)
 
 
-def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and sorted shingle hashes (repeats kept) of the texts in wanted: (doc_id, key), one row of docs per key."""
+def prefix(vector: np.ndarray, idf: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
+    """Shingles, rarest first, that can be the first one shared with a text of at least this similarity, and how many
+    of them can be that when the other text is no lighter. vector: sorted hashes with repeats."""
+    x, n = np.unique(vector, return_counts=True)
+    each = idf[x & np.uint32(DF_BUCKETS - 1)].astype(np.float64)
+    order = np.lexsort((x, -each))
+    weight = np.cumsum((each * n)[order])
+    before = np.r_[0, weight[:-1]] / weight[-1]
+    longest, core = (int(np.searchsorted(before, 1 - least + 1e-9, "right")) for least in (similarity, 2 * similarity / (1 + similarity)))
+    return x[order[:longest]], core
+
+
+def vectors(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """key, sorted shingle hashes (repeats kept) and prefix of the texts in wanted: (doc_id, key), one row of docs per key."""
+    table = docs.sparkSession.sparkContext.broadcast(idf)
     chosen = wanted.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).hint("shuffle_hash")
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_key")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, out = [], []
+        keys, out, tokens, cores = [], [], [], []
         for text, want in zip(common.text_bytes(batch["text"]), batch["_key"].to_pylist(), strict=True):
             key, h = shingles(text)
             if key == want:
                 keys.append(key)
-                out.append(np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes())
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "vector": pa.array(out, pa.binary())})
+                vector = np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                out.append(vector.tobytes())
+                own, core = prefix(vector, table.value, similarity)
+                tokens.append(own.view(np.int32))
+                cores.append(core)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "vector": pa.array(out, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int32())), "n_core": pa.array(cores, pa.int32())})
 
-    return common.map_slices(rows, "key binary, vector binary", run)
+    return common.map_slices(rows, "key binary, vector binary, tokens array<int>, n_core int", run)
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
@@ -207,9 +228,25 @@ def similarities(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFram
     return common.map_slices(pairs.join(right, "b").join(left, "a"), "a binary, b binary, sim double", run)
 
 
+def linkable(members: DataFrame, vecs: DataFrame) -> DataFrame:
+    """bucket and key of the nodes that may still be linked to a node of their bucket in another class.
+
+    members: (bucket, key, key_root). A shingle of the prefixes counts if a node that has it in the core and another
+    of a different class meet there; minima combine before the shuffle."""
+    classes_ = members.select("bucket", "key", F.xxhash64("key_root").alias("root"))
+    mixed = classes_.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("bucket")
+    rows = classes_.join(mixed, "bucket").join(vecs.select("key", "tokens", "n_core"), "key").select("bucket", "key", "root", "n_core", F.posexplode("tokens").alias("at", "token"))
+    rows = rows.select("bucket", "token", "key", "root", (F.col("at") < F.col("n_core")).alias("core"))
+    core_root = F.when(F.col("core"), F.col("root"))
+    met = rows.groupBy("bucket", "token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(core_root).alias("core_low"), F.max(core_root).alias("core_high"))
+    met = met.filter("core_low is not null and low <> high")
+    return rows.join(met, ["bucket", "token"]).filter("core or core_low <> root or core_high <> root").select("bucket", "key").distinct()
+
+
 def linked(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """node and root (smallest key of the class) of all nodes that share a bucket with one whose similarity reaches
-    the threshold, or are connected to it by such links. buckets: (bucket, key)."""
+    the threshold, or are connected to it by such links. buckets: (bucket, key, central), central the larger the more
+    nodes share the node's buckets."""
     limit = 1 - similarity
     known: DataFrame | None = None
     found: DataFrame | None = None
@@ -222,7 +259,8 @@ def linked(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: flo
         turn += 1
         # one hub for each of hubs_per_bucket slices of a bucket; minima combine before the shuffle
         slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(hubs_per_bucket)).alias("slot")
-        hubs = opened.groupBy("bucket", slot).agg(F.min("key").alias("hub")).select("bucket", "hub")
+        best = F.max(F.struct("central", "key"))["key"] if turn == 1 else F.min("key")
+        hubs = opened.groupBy("bucket", slot).agg(best.alias("hub")).select("bucket", "hub")
         met = common.store(opened.join(hubs, "bucket").filter("key <> hub"), "met")
         pairs = met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
         pairs = (pairs if extra is None else pairs.unionByName(extra)).distinct()
@@ -242,16 +280,24 @@ def linked(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: flo
         width = limit / BINS
         near = root(root(judged.filter((F.col("d") > limit) & (F.col("d") <= 2 * limit)), "key"), "hub")
         ring = near.filter("key_root <> hub_root").select("bucket", "hub", F.col("key").alias("k1"), F.col("d").alias("d1"), F.explode(F.sequence(F.greatest(F.floor((F.col("d") - limit) / width - 1e-9), F.lit(0)).cast("int"), F.lit(BINS))).alias("bin"))
-        inner = judged.filter(F.col("d") <= limit).select("bucket", "hub", F.col("key").alias("k2"), F.col("d").alias("d2"), F.floor(F.col("d") / width).cast("int").alias("bin"))
+        inner = judged.filter(F.col("d") <= limit)
+        if turn == 1:
+            live = common.store(linkable(root(opened.select("bucket", "key"), "key"), vecs), "linkable")
+            ring, inner = ring.join(live.withColumnRenamed("key", "k1"), ["bucket", "k1"], "left_semi"), inner.join(live, ["bucket", "key"], "left_semi")
+        inner = inner.select("bucket", "hub", F.col("key").alias("k2"), F.col("d").alias("d2"), F.floor(F.col("d") / width).cast("int").alias("bin"))
         across = ring.join(inner, ["bucket", "hub", "bin"]).filter(F.col("d2") >= F.col("d1") - limit - 1e-9).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"))
         extra = common.store(across.distinct(), "across")
         nearest = judged.groupBy("bucket", "key").agg(F.min("d").alias("d"))
         left = nearest.filter(F.col("d") > limit).select("bucket", "key").join(hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti")
+        if turn == 1:
+            left = left.join(live, ["bucket", "key"], "left_semi")
         # a bucket whose open nodes are all of one class has nothing left to connect
         left = root(left, "key")
         mixed = left.groupBy("bucket").agg(F.min("key_root").alias("_a"), F.max("key_root").alias("_b")).filter("_a <> _b").select("bucket")
         opened = common.store(left.join(mixed, "bucket").select("bucket", "key"), "open")
         common.discard(met)
+        common.discard(judged)
+        common.release(buckets.sparkSession)
         n_open, n_extra = opened.count(), extra.count()
         if not n_open and not n_extra:
             return roots
@@ -266,11 +312,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     drawn = common.store(sketches(docs, idf), "sketches")
     nodes = common.store(drawn.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "nodes")
     member = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = common.store(member.join(shared, "bucket").select("bucket", "key"), "buckets")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = common.store(member.join(shared, "bucket").select("bucket", "key", "n"), "buckets")
+    buckets = common.store(sized.join(sized.groupBy("key").agg(F.sum("n").alias("central")), "key").select("bucket", "key", "central"), "buckets")
+    common.discard(sized)
     # a row of docs with the key's words: its smallest id, or any row if an id is repeated (the key is compared again)
     wanted = nodes.join(buckets.select("key").distinct(), "key", "left_semi").select("doc_id", "key")
-    vecs = common.store(vectors(docs, wanted).dropDuplicates(["key"]), "vectors")
+    vecs = common.store(vectors(docs, wanted, idf, similarity).dropDuplicates(["key"]), "vectors")
     common.release(spark)
     roots = linked(buckets, vecs, idf, similarity)
     in_class = nodes.select("key", "doc_id", "n_copies").join(roots.withColumnRenamed("node", "key"), "key")
