@@ -249,7 +249,6 @@ def linked(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: flo
     nodes share the node's buckets."""
     limit = 1 - similarity
     known: DataFrame | None = None
-    found: DataFrame | None = None
     opened = buckets
     hubs_per_bucket = 1
     extra: DataFrame | None = None
@@ -269,13 +268,11 @@ def linked(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: flo
         sims = common.store(similarities(pairs, vecs, idf), "similarities")
         known = sims if known is None else known.unionByName(sims)
         good = sims.filter(F.col("sim") >= similarity).select("a", "b")
-        found = good if found is None else found.unionByName(good)
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
         judged = common.store(met.join(both.select(F.col("a").alias("key"), F.col("b").alias("hub"), (1 - F.col("sim")).alias("d")), ["key", "hub"]), "judged")
         # unlinked, but near enough to the hub that a node linked to the hub may be linked to it as well; what is
         # linked to the hub is in the hub's class, so nodes that got there by other ways need no comparison
-        common.discard(roots)
-        roots = graph.components(found)
+        roots = graph.components(good) if roots is None else graph.merged(roots, good)
         root = lambda frame, name: frame.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
         width = limit / BINS
         near = root(root(judged.filter((F.col("d") > limit) & (F.col("d") <= 2 * limit)), "key"), "hub")
