@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, fmindex, licenses, mixing, neardup, pii, quality, secrets, substrings, topk, toxicity
+from foliant.llm import decontaminate, fmindex, graph, licenses, mixing, neardup, pii, quality, secrets, substrings, topk, toxicity
 
 LONG = " ".join(f"w{i * 7919 % 4001}" for i in range(6000))
 PASSAGE = " ".join(f"p{i}" for i in range(40))
@@ -81,6 +81,15 @@ def test_neardup(docs, spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_merged_components(spark):
+    table = lambda pairs: spark.createDataFrame(pairs, "a int, b int")
+    first, more, last = [(1, 2), (2, 3), (5, 6), (8, 9)], [(6, 3), (10, 11), (1, 3), (0, 9)], [(5, 1), (10, 11)]
+    roots = graph.merged(graph.components(table(first)), table(more))
+    want = {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (8, 0), (9, 0), (0, 0), (10, 10), (11, 10)}
+    assert sorted(map(tuple, roots.collect())) == sorted(want)
+    assert graph.merged(roots, table(last)) is roots and sorted(map(tuple, roots.collect())) == sorted(want)
+
+
 def test_sampling_agrees_with_similarity():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 300, np.uint64)
