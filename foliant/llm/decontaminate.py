@@ -6,6 +6,9 @@ terms, from the rarest of the shard on; a proximity match asks for a share of a
 Terms no benchmark item holds cannot be part of a match and get no postings. Shards are independent, so neither a
 frequent term nor a frequent passage meets in one task.
 
+op8_decontaminate returns the exact matches, row for row what its SQL gives; op8_proximity has the proximity matches as
+well, and keep_clean() decides on both.
+
 The benchmark is read in blocks of at most BLOCK_CHARS characters, each block with an index of its terms; only
 one block at a time is sent to the executors.
 
@@ -26,6 +29,12 @@ from pyspark.sql import functions as F
 from foliant.llm import common
 
 WINDOW = 10
+#: A proximity match: at least SHARE of a window's terms within SLOP of their place, so that words changed, dropped or
+#: inserted don't hide a passage. SLOP is for WINDOW terms; the window of a shorter item gets its part of it, rounded down.
+SLOP = 2
+SHARE = 0.8
+#: Candidates of proximity matches that are scored at a time, unless one window alone has more.
+CANDIDATES = 1_000_000
 #: Tokens of a shard, unless one document alone has more.
 SHARD_TOKENS = 1_000_000
 #: Empty places between the documents of a shard: no phrase crosses them, nor any match with a smaller slop.
@@ -125,9 +134,51 @@ def proximity(lists: list[np.ndarray], slop: int, share: float) -> np.ndarray:
     return starts[score >= need]
 
 
+def near_starts(post: dict[int, np.ndarray], windows: np.ndarray, slop: int, share: float, candidates: int = CANDIDATES) -> np.ndarray:
+    """Starts of the proximity() of many windows of one length, a row each. All candidates are scored together, from a
+    window's rarest term on, and go once they have missed more terms than a match may."""
+    n = windows.shape[1]
+    misses = n - max(1, int(np.ceil(share * n)))
+    if not post or not len(windows):
+        return np.zeros(0, np.int64)
+    pad = n + slop
+    first, flat = np.zeros(max(int(windows.max()), max(post)) + 2, np.int64), np.concatenate([post[t] for t in sorted(post)])
+    for t, found in post.items():
+        first[t + 1] = len(found)
+    counts = first[1:].copy()
+    first = np.cumsum(first)
+    by_place = np.full(int(flat.max()) + 1 + 2 * pad, -1, np.int32)
+    by_place[flat + pad] = np.repeat(np.arange(len(counts)), counts)
+    order = np.argsort(counts[windows], axis=1, kind="stable")
+    terms = np.take_along_axis(windows, order, 1)
+    present = (counts[terms] == 0).sum(1) <= misses
+    order, terms = order[present], terms[present]
+    total = np.cumsum(counts[terms[:, : misses + 1]].sum(1))
+    out, at = [np.zeros(0, np.int64)], 0
+    while at < len(terms):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + candidates, "right")))
+        rare = terms[at:end, : misses + 1].ravel()
+        sizes = counts[rare]
+        row = np.repeat(np.repeat(np.arange(at, end), misses + 1), sizes)
+        start = flat[np.arange(sizes.sum()) + np.repeat(first[rare] - np.cumsum(sizes) + sizes, sizes)] - np.repeat(order[at:end, : misses + 1].ravel(), sizes)
+        missed = np.zeros(len(row), np.int64)
+        for j in range(n):
+            place, term = start + order[row, j] + pad, terms[row, j]
+            hit = by_place[place] == term
+            for d in range(1, slop + 1):
+                hit |= (by_place[place - d] == term) | (by_place[place + d] == term)
+            missed += ~hit
+            if j >= misses:
+                kept = missed <= misses
+                row, start, missed = row[kept], start[kept], missed[kept]
+        out.append(np.unique(start))
+        at = end
+    return np.unique(np.concatenate(out))
+
+
 def merged(starts: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Disjoint intervals that cover all [start, start + length)."""
-    if not starts:
+    if not sum(map(len, starts)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a = np.concatenate(starts)
     b = np.concatenate([s + n for s, n in zip(starts, lengths, strict=True)])
@@ -140,6 +191,12 @@ def merged(starts: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray, np
 def search_shards(index: DataFrame, queries: Queries, slop: int | None = None, share: float = 0.8) -> DataFrame:
     """Matches of a block's windows in every stored shard, a row per document."""
     windows = list(queries.windows.items())
+    by_length: dict[int, list[tuple[int, ...]]] = {}
+    for terms in queries.windows:
+        by_length.setdefault(len(terms), []).append(terms)
+    tables = {n: np.array(rows, np.int64) for n, rows in by_length.items()}
+    # a match may begin before its document: by slop, and by the terms it misses
+    lead = (slop or 0) + max((n - max(1, int(np.ceil(share * n))) for n in tables), default=0)
 
     def spans(starts: np.ndarray, sizes: list[int], a: np.ndarray, b: np.ndarray, lead: int = 0) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in sizes]
@@ -171,13 +228,11 @@ def search_shards(index: DataFrame, queries: Queries, slop: int | None = None, s
                             lengths.append(len(terms))
                             for d in np.unique(np.searchsorted(starts, hit, "right") - 1).tolist():
                                 items[d].update(holders)
-                    if slop is not None:
-                        hit = proximity(lists, slop, share)
-                        if len(hit):
-                            close.append(hit)
-                            close_lengths.append(len(terms))
+                for size, table in tables.items() if slop is not None else ():
+                    close.append(near_starts(post, table, min(slop, slop * size // WINDOW), share))
+                    close_lengths.append(size)
                 hits = spans(starts, one["n_words"], *merged(at, lengths))
-                near = spans(starts, one["n_words"], *merged(close, close_lengths), slop or 0)
+                near = spans(starts, one["n_words"], *merged(close, close_lengths), lead)
                 yield pa.RecordBatch.from_pydict({"doc_id": one["doc_ids"], "row_key": one["row_keys"], "n_words": one["n_words"], "hits": hits, "near": near, "items": [sorted(x) for x in items]}, schema)
 
     return index.mapInArrow(run, FOUND)
@@ -221,14 +276,15 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | No
     return merged_rows.drop("_copy")
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, *more: F.Column) -> DataFrame:
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), *more)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no window of an item, with all their columns. Rows that repeat a doc_id go together."""
-    gone = find(docs, items).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of docs that hold no window of an item, exact or in proximity, with all their columns. Rows that repeat
+    a doc_id go together."""
+    gone = find(docs, items, slop=SLOP, share=SHARE).filter((F.size("hits") > 0) | (F.size("near") > 0)).select(F.col("doc_id").alias("_gone")).distinct()
     gone = common.store(gone, "contaminated")
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
@@ -237,6 +293,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
 
 
+def op8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_decontaminate with n_near (words in proximity matches) and leaked (any match at all)."""
+    found = find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), slop=SLOP, share=SHARE)
+    n_near = F.aggregate("near", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return digest(found, n_near.alias("n_near"), ((F.size("hits") > 0) | (F.size("near") > 0)).alias("leaked"))
+
+
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 HITS_SQL = """
 dw AS (SELECT doc_id, coalesce({words}, []) AS w FROM {table}),
@@ -256,5 +319,5 @@ OP8_SQL = (
     + """SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN nh ON dw.doc_id = nh.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id"""
 )
-QUERIES = {"op8_decontaminate": op8_decontaminate}
+QUERIES = {"op8_decontaminate": op8_decontaminate, "op8_proximity": op8_proximity}
 SQL = {"op8_decontaminate": OP8_SQL}

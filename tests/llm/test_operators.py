@@ -129,6 +129,33 @@ def test_proximity():
     assert decontaminate.proximity(lists, 0, 0.8).tolist() == []
 
 
+def test_near_starts():
+    rng = np.random.default_rng(6)
+    for slop, share, candidates in ((0, 1.0, 10), (1, 0.8, 10**6), (2, 0.8, 50), (2, 0.5, 1)):
+        terms = rng.integers(0, 9, 400)
+        post = {t: np.flatnonzero(terms == t) for t in range(8) if t != 3}
+        table = np.unique(np.r_[rng.integers(0, 10, (30, 5)), terms[20:25][None], terms[[30, 31, 33, 34, 36]][None]], axis=0)
+        none = np.zeros(0, np.int64)
+        want = {s for w in table.tolist() for s in decontaminate.proximity([post.get(t, none) for t in w], slop, share).tolist()}
+        assert decontaminate.near_starts(post, table, slop, share, candidates).tolist() == sorted(want)
+
+
+@pytest.mark.parametrize("block_chars", [4_000_000, 120])
+def test_disguised_passages_go(spark, block_chars):
+    item = [f"p{i}" for i in range(30)]
+    changed = [w if i % 6 else "x" for i, w in enumerate(item)]
+    dropped = [w for i, w in enumerate(item) if i % 9 != 4]
+    inserted = [x for i, w in enumerate(item) for x in ([w, "y"] if i % 9 == 4 else [w])]
+    texts = [changed, ["so", "it", "goes"], dropped, inserted, item[4:], item[:5] + ["z"] * 9 + item[20:25], item[::-1], item[2:10], ["c", "b"]]
+    docs = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "other words altogether"), (3, "b c")], "item_id long, text string")
+    found = decontaminate.find(docs, items, slop=decontaminate.SLOP, share=decontaminate.SHARE, block_chars=block_chars)
+    assert {r.doc_id for r in found.collect() if r.near} == {0, 2, 3, 4, 7}
+    assert {r.doc_id for r in found.collect() if r.hits} == {4}
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 5, 6, 8}
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs, keep=["lang"]).collect()
     assert len(rows) == len(TEXTS)
