@@ -4,7 +4,8 @@ Base patterns find plain identifiers. Then a transducer rewrites disguises - hom
 digits, at/dot words - while it keeps, for every character written, the source characters it stands for. The same
 patterns run over the rewritten text and their spans are mapped back; a mapped span that no base span of its kind
 overlaps is added. Only texts with something to rewrite take the second pass; what it would find elsewhere is what
-the base patterns found.
+the base patterns found. Numbers that mix digits and spelled digits, and addresses of four numbers with disguised dots,
+are rewritten in texts of their own: prose has words such as "un" beside digits, which must not spoil other spans.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each on its own; long texts are
 scanned whole, in time linear in their length; other columns are not read.
@@ -12,6 +13,7 @@ scanned whole, in time linear in their length; other columns are not read.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 import unicodedata
@@ -116,6 +118,23 @@ PLAIN_AT = re.compile(rf" at {PART}\.(?:{PART}\.)*(?:{ENDINGS})(?![a-z0-9-])")
 SPACES = re.compile("[\u00a0\u2007\u2009\u202f]")
 
 
+ONE = rf"(?<!\w)(?:{'|'.join(WORDS)})(?!\w)"
+BETWEEN = "[ ,.()-]{1,3}"
+#: A number of digits and spelled digits; what makes one worth a look is a word beside a digit.
+MIXED = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:[0-9]++|{ONE})(?:{BETWEEN}(?:[0-9]++|{ONE}))+", re.I)
+DIGITS = re.compile("[0-9]+")
+WORD_AFTER = re.compile(rf"{BETWEEN}{ONE}", re.I)
+WORD_BEFORE = re.compile(rf"(?:{ONE}|(?<!\w)plus){BETWEEN}$", re.I)
+MIXED_PARTS = re.compile(r"[0-9]+|[^\W\d_]+|[\W_]+")
+IP_DOT = rf"(?:{DOT}|[ \t]+(?:dot|punkt|point|punto)[ \t]+|\.)"
+DIGIT, PAIR = "(?<![0-9])[0-9](?![0-9])", "(?<![0-9])[0-9]{2}(?![0-9])"
+#: Digits, or up to three of which at least one is spelled.
+OCTET = rf"(?:{ONE}[ -]{PAIR}|{PAIR}[ -]{ONE}|{ONE}(?:[ -](?:{ONE}|{DIGIT})){{0,2}}|{DIGIT}[ -]{ONE}(?:[ -](?:{ONE}|{DIGIT}))?|{DIGIT}[ -]{DIGIT}[ -]{ONE}|(?<![0-9])[0-9]++)"
+DOTTED = re.compile(rf"{OCTET}(?:{IP_DOT}{OCTET}){{3,}}", re.I)
+DOTTED_PARTS = re.compile(rf"(?P<dot>{IP_DOT})|(?P<word>{ONE})|[0-9]+|[ -]", re.I)
+DOT_WORD = re.compile("[ \t](?:dot|punkt|point|punto)[ \t]")
+
+
 class Rewriter:
     """Text under rewriting: where each character comes from, [first, last) in the source."""
 
@@ -152,13 +171,48 @@ def plain_letter(c: str) -> str | None:
 EXOTIC = re.compile("[\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010\u2011\u2024\u2212\u2460-\u24ff\u3002\ufe52\uff01-\uff5e\U0001d400-\U0001d7ff\u00a0\u2007\u2009\u202f]")
 
 
+def mixed_edits(text: str) -> list[tuple[int, int, str]]:
+    """Spelled digits as digits where they make a number with digits beside them."""
+    edits = []
+    for m in MIXED.finditer(text):
+        parts = list(MIXED_PARTS.finditer(m[0]))
+        kinds = ["d" if p[0][0].isdecimal() else "w" if p[0][0].isalpha() else "" for p in parts]
+        size = sum(len(p[0]) if k == "d" else p[0].lower() != "plus" for p, k in zip(parts, kinds, strict=True) if k)
+        if "w" not in kinds or "d" not in kinds or size < SPELLED_RUN:
+            continue
+        for k, p in enumerate(parts):
+            if kinds[k] == "w":
+                new = "+" if p[0].lower() == "plus" else DIGIT_WORDS[p[0].lower()]
+            elif kinds[k] == "d" or "w" not in kinds[k - 1 : k + 2]:
+                continue
+            elif kinds[k - 1] == kinds[k + 1] or parts[k - 1][0].lower() == "plus":
+                new = ""
+            else:
+                new = re.sub(" +", " ", p[0].replace(",", "")) or " "
+            edits.append((m.start() + p.start(), m.start() + p.end(), new))
+    return edits
+
+
+def dotted_edits(text: str) -> list[tuple[int, int, str]]:
+    """Four numbers or more with dots between them, of which something is disguised, as digits and dots."""
+    edits = []
+    for m in DOTTED.finditer(text):
+        if not m[0].replace(".", "").isdecimal():
+            for p in DOTTED_PARTS.finditer(m[0]):
+                if not p[0].isdecimal():
+                    edits.append((m.start() + p.start(), m.start() + p.end(), "." if p["dot"] else DIGIT_WORDS[p["word"].lower()] if p["word"] else ""))
+    return edits
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, in source offsets."""
     exotic = not text.isascii() and EXOTIC.search(text)
     spelled = SPELLED.search(text)
     low = text.lower()
     trigger = " dot " in low or BRACKETS.search(low) or PLAIN_AT.search(low)
-    if not (exotic or spelled or trigger):
+    beside = any(WORD_AFTER.match(text, m.end()) or WORD_BEFORE.search(text, max(0, m.start() - 16), m.start()) for m in DIGITS.finditer(text))
+    dotted = trigger or DOT_WORD.search(low)
+    if not (exotic or spelled or beside or dotted):
         return []
     doc = Rewriter(text)
     if exotic:
@@ -168,6 +222,11 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
             if new is not None:
                 edits.append((m.start(), m.end(), new))
         doc.apply(edits)
+    others = []
+    for edits in (mixed_edits(doc.text) if exotic or beside else [], dotted_edits(doc.text) if exotic or dotted else []):
+        if edits:
+            others.append(copy.copy(doc))
+            others[-1].apply(edits)
     edits = []
     for m in SPELLED.finditer(doc.text):
         # word for word, so that spans keep their ends; what stands between the words goes
@@ -191,6 +250,11 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         first, last = doc.first[a], doc.last[b - 1]
         if not any(k == kind and x < last and first < y for x, y, k in base) and (first, last, kind) not in out:
             out.append((first, last, kind))
+    for other in others:
+        for a, b, kind in base_spans(other.text):
+            first, last = other.first[a], other.last[b - 1]
+            if not any(k == kind and x < last and first < y for x, y, k in base + out):
+                out.append((first, last, kind))
     return out
 
 

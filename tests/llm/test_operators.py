@@ -201,6 +201,23 @@ def test_pii():
     assert pii.base_spans("1" * 50_000 + "a" * 50_000) == []
 
 
+def test_pii_mixed_disguises():
+    for t, kind, span in (
+        ("host 192[.]168[.]0[.]7 is up", "ip", "192[.]168[.]0[.]7"),
+        ("go to 192 dot 168 dot 0 dot 7 now", "ip", "192 dot 168 dot 0 dot 7"),
+        ("at one nine two dot one six eight dot zero (dot) seven.", "ip", "one nine two dot one six eight dot zero (dot) seven"),
+        ("port 80 10.0.0[.]7 8 times", "ip", "10.0.0[.]7"),
+        ("call +49 one five one 2345678 now", "phone", "+49 one five one 2345678"),
+        ("plus 1 two one two, 555-0100", "phone", "plus 1 two one two, 555-0100"),
+        ("card 4111 one one one one 1111 1111", "card", "4111 one one one one 1111 1111"),
+        ("un ４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
+    ):
+        assert [(k, t[a:b]) for a, b, k in pii.added_spans(t, pii.base_spans(t))] == [(kind, span)]
+        assert pii.redact(t) == t.replace(span, f"[{kind}]")
+    assert pii.added_spans("In one 1984 edition, 3 dot 4 dot 5 and 900 dot 1 dot 1 dot 1, plus 20 more.", []) == []
+    assert pii.added_spans("1 one " * 20_000 + "1 dot " * 3, []) == []
+
+
 def test_pii_table(docs, spark):
     assert pii.find(docs).count() == len(TEXTS) and pii.find(docs.limit(0)).count() == 0
 
