@@ -6,8 +6,8 @@ calibrated on variations it was not trained on; a paragraph under LEAST_PROBABIL
 counts only if a template of that family confirms it: at least CONFIRM of the template's 2-grams stand in the
 paragraph, or of the paragraph's in the template.
 
-Only documents with an anchor word (one of which every template holds) can be confirmed; the others get their row
-without further work. The weights and templates are literals of fixed size and are broadcast.
+Only paragraphs that share a 2-gram with a template can be confirmed, and only those with an anchor word count as
+unknown; all others are left out, and documents without either get their row without further work. The weights and templates are literals of fixed size and are broadcast.
 
 Result per row of docs: doc_id, families (sorted, comma-joined), n_licences (confirmed paragraphs), n_unknown
 (paragraphs that mention a licence and are none of the families), probability (highest of a confirmed paragraph).
@@ -54,7 +54,7 @@ OTHERS = [
 ]
 NONE = "none"
 FAMILIES = (NONE, *sorted(TEMPLATES))
-#: Every template holds one of these; a paragraph without any can't be confirmed.
+#: Words that mention a licence; a paragraph without any may be confirmed, but isn't an unknown licence.
 ANCHORS = ("license", "licensed", "licenses", "licence", "licences", "spdx", "copyright", "gnu", "gpl", "bsd", "cc0", "mozilla", "unlicense", "unencumbered", "permission", "redistribution", "proprietary")
 LEAST_PROBABILITY = 0.6
 CONFIRM = 0.6
@@ -134,17 +134,15 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def pairs(words: Column) -> Column:
+    """2-grams, for the first filter."""
+    most = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, most), F.slice(words, 2, most), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     weights, biases, scale = trained()
-    anchors = F.array(*map(F.lit, ANCHORS))
-    has_anchor = F.coalesce(F.arrays_overlap(F.split(F.lower("text"), SPLIT), anchors), F.lit(False))
-    rows = docs.select("doc_id", "text").withColumn("anchored", has_anchor).withColumn("row_no", F.monotonically_increasing_id())
-    plain = rows.filter(~F.col("anchored")).select("doc_id", F.lit("").alias("families"), F.lit(0).cast("long").alias("n_licences"), F.lit(0).cast("long").alias("n_unknown"), F.lit(0.0).alias("probability"))
-    lines = rows.filter("anchored").select("doc_id", "row_no", F.posexplode(F.split("text", r"\n")).alias("line", "paragraph")).withColumn("words", tokens(F.col("paragraph")))
-    lines = lines.filter(F.arrays_overlap("words", anchors)).drop("paragraph")
-    grams = F.array_distinct(F.concat(*[ngrams(F.col("words"), n) for n in (1, 2, 3)]))
-    spread = lines.select("doc_id", "row_no", "line", F.size(F.array_distinct(ngrams(F.col("words"), 2))).alias("n2"), F.explode(grams).alias("gram"))
     # templates by 2-gram; weights by n-gram: constants, so both are broadcast
     shared: dict[str, list[int]] = {}
     sizes, families_of = [], []
@@ -155,14 +153,21 @@ def scan(docs: DataFrame) -> DataFrame:
                 shared.setdefault(g, []).append(len(sizes))
             sizes.append(len(own))
             families_of.append(FAMILIES.index(family))
+    anchors, template_grams = F.array(*map(F.lit, ANCHORS)), F.array(*map(F.lit, sorted(shared)))
+    kept = F.filter(F.transform(F.split("text", r"\n"), tokens), lambda w: F.arrays_overlap(w, anchors) | F.arrays_overlap(pairs(w), template_grams))
+    rows = docs.select("doc_id", F.coalesce(kept, F.array().cast("array<array<string>>")).alias("kept"), F.monotonically_increasing_id().alias("row_no"))
+    plain = rows.filter(F.size("kept") == 0).select("doc_id", F.lit("").alias("families"), F.lit(0).cast("long").alias("n_licences"), F.lit(0).cast("long").alias("n_unknown"), F.lit(0.0).alias("probability"))
+    lines = rows.select("doc_id", "row_no", F.posexplode("kept").alias("line", "words")).withColumn("anchored", F.arrays_overlap("words", anchors))
+    grams = F.array_distinct(F.concat(*[ngrams(F.col("words"), n) for n in (1, 2, 3)]))
+    spread = lines.select("doc_id", "row_no", "line", "anchored", F.size(F.array_distinct(ngrams(F.col("words"), 2))).alias("n2"), F.explode(grams).alias("gram"))
     table = literal(spark, [{"gram": g, "w": weights.get(g, [0.0] * len(FAMILIES)), "t": shared.get(g, [])} for g in sorted(weights.keys() | shared.keys())], "gram: string, w: array<double>, t: array<int>")
     known = spread.join(F.broadcast(table), "gram", "left")
     # sums per paragraph: scores per family and shared 2-grams per template
     sums = [F.coalesce(F.sum(F.element_at("w", k + 1)), F.lit(0.0)).alias(f"s{k}") for k in range(len(FAMILIES))]
     hits = [F.count_if(F.array_contains("t", k)).alias(f"t{k}") for k in range(len(sizes))]
-    per_line = known.groupBy("row_no", "line").agg(F.first("doc_id").alias("doc_id"), F.first("n2").alias("n2"), *sums, *hits)
+    per_line = known.groupBy("row_no", "line").agg(F.first("doc_id").alias("doc_id"), F.first("n2").alias("n2"), F.first("anchored").alias("anchored"), *sums, *hits)
     scores = F.array(*[(F.col(f"s{k}") + biases[k]) * scale for k in range(len(FAMILIES))])
-    per_line = per_line.select("row_no", "doc_id", "n2", scores.alias("z"), F.array(*[F.greatest(F.col(f"t{k}") / F.lit(float(max(1, sizes[k]))), F.when(F.col("n2") >= 3, F.col(f"t{k}") / F.col("n2")).otherwise(0.0)) for k in range(len(sizes))]).alias("fit"))
+    per_line = per_line.select("row_no", "doc_id", "n2", "anchored", scores.alias("z"), F.array(*[F.greatest(F.col(f"t{k}") / F.lit(float(max(1, sizes[k]))), F.when(F.col("n2") >= 3, F.col(f"t{k}") / F.col("n2")).otherwise(0.0)) for k in range(len(sizes))]).alias("fit"))
     per_line = per_line.withColumn("top", F.array_max("z")).withColumn("label", (F.array_position("z", F.col("top")) - 1).cast("int")).withColumn("p", 1 / F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top"))))
     best = F.array_max(F.transform(F.array(*[F.struct(F.lit(f).alias("f"), F.col("fit")[k].alias("c")) for k, f in enumerate(families_of)]), lambda t: F.when(t["f"] == F.col("label"), t["c"]).otherwise(0.0)))
     per_line = per_line.withColumn("confirmed", (F.col("label") > 0) & (F.col("p") >= LEAST_PROBABILITY) & (best >= CONFIRM))
@@ -171,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.first("doc_id").alias("doc_id"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), names[F.col("label")]))), ",").alias("families"),
         F.count_if("confirmed").alias("n_licences"),
-        F.count_if(~F.col("confirmed") & (F.col("label") > 0)).alias("n_unknown"),
+        F.count_if(~F.col("confirmed") & (F.col("label") > 0) & F.col("anchored")).alias("n_unknown"),
         F.coalesce(F.max(F.when(F.col("confirmed"), F.col("p"))), F.lit(0.0)).alias("probability"),
     )
     return plain.unionByName(judged.drop("row_no"))

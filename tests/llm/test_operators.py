@@ -276,6 +276,13 @@ def test_licenses(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_without_anchor(spark):
+    texts = ["All rights reserved.", "use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "x\nis hereby granted, free of charge, to any person obtaining a copy of this software\ny", "it was of\nthe house", "end of this\nsoftware"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_licences, r.n_unknown) for r in licenses.scan(df).collect()}
+    assert got == {0: ("proprietary", 1, 0), 1: ("bsd", 1, 0), 2: ("mit", 1, 0), 3: ("", 0, 0), 4: ("", 0, 0)}
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     import corpus_pipeline
 
