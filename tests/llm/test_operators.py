@@ -244,6 +244,18 @@ def test_secrets(docs):
     assert secrets.find(docs).count() == len(TEXTS) and secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == len(TEXTS)
 
 
+def test_wrapped_secret(spark):
+    lines = ["kJ8sLq02Zx7Vb5Nm1Qw9Er3Ty6Ui4Op0As8Df2Gh5Jk7Lz1Xc3Vb9Nm6Qw4Er2T", "Y5ui8Op1As3Df6Gh9Jk0Lz2Xc4Vb7Nm5Qw8Er1Ty3Ui6Op9As0Df2Gh4Jk7Lz5Xc", "8Vb1Nm3Qw6Er9Ty0Ui2Op4As7Df5Gh8Jk1Lz3Xc6Vb9Nm0Qw2Er4Ty7Ui5Op8As1"]
+    text = "x secret = " + "\n".join(lines) + " end"
+    base, more = secrets.all_spans(text, secrets.trained())
+    assert [text[a:b] for a, b, _ in base] == ["secret = " + lines[0]]
+    assert [(text[a:b], k) for a, b, k in more] == [("\n".join(lines), "crf")]
+    one = "x secret = " + lines[0] + " end"
+    assert secrets.all_spans(one, secrets.trained())[1] == []
+    clean = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean == "x [assign][crf] end"
+
+
 def test_toxicity(docs, labels, spark):
     model = toxicity.fit(docs, labels)
     got = toxicity.score(docs, model).collect()
