@@ -1,24 +1,26 @@
 """Operator 7: near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's words are its ASCII-lower-cased white-space tokens; its shingles are runs of five words (all words, if
-fewer), weighted by term frequency times inverse document frequency. Document frequencies of all texts are counted
-in a table of fixed size (DF_BUCKETS buckets of shingle hashes), whose resolution is a fixed share of the documents
-at any corpus size; it is what is broadcast, and its size is that constant.
+fewer), weighted by term frequency times inverse document frequency, 1 + ln((N + 1) / df). With T distinct shingles in all texts together
+(counted per text), document frequencies are exact for every shingle that stands in at least T / COMMON texts, and by
+the pigeonhole principle there are at most COMMON of those; rarer ones all have the weight of that frequency. So the
+table that is broadcast has a fixed bound, and a shingle's weight depends on its share of the texts, not on their
+number. The 1 and the common weight of rare shingles keep the copies of a text that much of the corpus holds alike:
+with an unbounded frequency one changed word would outweigh what they share.
 
 1. Texts of the same words become one node (128-bit key).
 2. BANDS x ROWS samples: each draws the shingle with the smallest a = c / (y e^r) of Ioffe's scheme, so that two
    texts agree in a sample with probability equal to their weighted Jaccard similarity. Bands of ROWS samples give
    buckets.
-3. In a bucket all nodes are compared with a hub, never all with all. Nodes linked to the hub leave; for a node that
-   is not, weighted Jaccard distance being a metric, only linked nodes l with d(hub, l) >= d(hub, n) - limit can
-   still be linked to it, and those pairs are compared too, unless other links have put them into one class already.
-   The rest goes into the next round with new hubs, of which there are twice as many each time, until a bucket's open
-   nodes are all of one class. The first hub of a bucket is its most central node, the one whose buckets hold most.
-   After that round an exact positional prefix filter closes nodes that can't be linked to another class: from the
-   first shingle that a linked pair shares, in the order of rising document frequency, each text has the threshold's
-   part of its weight left, and the lighter text 2 s / (1 + s) of it. So no pair of a bucket that reaches the
-   threshold stays unconnected.
-4. Every compared pair is verified by its exact weighted Jaccard similarity; links make classes.
+3. The most central node of a bucket, the one whose buckets hold most, is its hub; a hub's buckets make a star, and
+   all nodes of a star are compared with the hub, never all with all.
+4. Two nodes n, m of a star share at most min(o_n, o_m) + min(S_n, S_m) of weight, o being what a node shares with
+   the hub and S the weight outside the hub that nodes of other classes have as well. A similarity of s needs a share
+   of s / (1 + s) of both weights, which closes most nodes. What remains open is compared with further hubs of its
+   star, those first that are outside the star's largest class, only where the bound allows it and the classes
+   differ; a hub leaves its star when that is done. There are eight times as many hubs each round, until no star has
+   open nodes of two classes. So no pair of a bucket that reaches the threshold stays unconnected.
+5. Every compared pair is verified by its exact weighted Jaccard similarity; links make classes.
 
 Result per row of docs: doc_id, class_id (smallest doc_id of the class), n_copies (rows with the same words).
 
@@ -34,22 +36,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from foliant.llm import common, graph
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-DF_BUCKETS = 1 << 18
+#: Shingles with a document frequency of their own, at most.
+COMMON = 1 << 14
+#: Counters of the first count; four per shingle that may be common, so that few rare ones pass for common.
+COUNTERS = 1 << 16
+#: Counters that travel in one row.
+CHUNK = 1 << 14
 SEED = 20240229
 #: Shingles sketched at once: keeps the arrays of a step in the processor's cache.
 STEP = 1024
 #: Quantiles that stand for the gamma draws.
 TABLE = 4096
-#: Bins of distance to the hub, for pairing unlinked nodes with linked ones.
-BINS = 10
+#: Further hubs of a star in the first round after its own.
+HUBS = 64
+#: What rounding may take from a bound, relative to the weights.
+SLACK = 1e-5
 HASH = xxhash.xxh3_64_intdigest
 
 
@@ -70,34 +81,104 @@ def shingles(text: bytes, size: int = SHINGLE) -> tuple[bytes | None, np.ndarray
     return key, out
 
 
-def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(DF_BUCKETS - 1)).astype(np.int64)
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts a shingle of each bucket stands, and the number of texts. Each task adds up its own table."""
+def counters(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """How many texts have a shingle of each counter, the number of texts and of their distinct shingles. Each task
+    adds up its own counters; sums of the same chunk meet in one task, a row at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(DF_BUCKETS, np.int64), 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n, total = np.zeros(COUNTERS, np.int64), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, common.SLICE_ROWS):
                 for text in common.text_bytes(batch["text"].slice(at, common.SLICE_ROWS)):
                     h = shingles(text)[1]
                     if len(h):
-                        counts[np.unique(bucket_of(h))] += 1
+                        own = np.unique(h)
+                        np.add.at(counts, counter_of(own), 1)
                         n += 1
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"bucket": np.r_[used, -1].astype(np.int32), "n": np.r_[counts[used], n]})
-
-    rows = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    at, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
-    counts = np.zeros(DF_BUCKETS, np.int64)
-    counts[at[at >= 0]] = n[at >= 0]
-    return counts, int(n[at < 0].sum())
+                        total += len(own)
+        yield from rows(counts, n, total)
+
+    def rows(counts: np.ndarray, n: int, total: int) -> Iterator[pa.RecordBatch]:
+        for chunk in range(COUNTERS // CHUNK):
+            part = counts[chunk * CHUNK : (chunk + 1) * CHUNK]
+            used = np.flatnonzero(part)
+            if len(used):
+                yield row(chunk, used, part[used])
+        yield row(-1, np.arange(2), np.array([n, total]))
+
+    def row(chunk: int, used: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "at": [used.astype(np.uint16).tobytes()], "n": [values.astype(np.int64).tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, at, n in zip(*(batch[c].to_pylist() for c in ("chunk", "at", "n")), strict=True):
+                sums.setdefault(chunk, np.zeros(CHUNK, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        for chunk, part in sums.items():
+            used = np.flatnonzero(part)
+            yield row(chunk, used, part[used])
+
+    schema = "chunk int, at binary, n binary"
+    counts, n, total = np.zeros(COUNTERS, np.int64), 0, 0
+    summed = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toArrow()
+    for chunk, at, values in zip(*(summed[c].to_pylist() for c in ("chunk", "at", "n")), strict=True):
+        at, values = np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(values, np.int64)
+        if chunk >= 0:
+            counts[chunk * CHUNK + at] = values
+        else:
+            n, total = (int(values[at == k].sum()) for k in (0, 1))
+    return counts, n, total
+
+
+class Weights:
+    """Inverse document frequencies: of the common shingles one by one, and one for all rarer."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, least: float) -> None:
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.idf = 1 + np.log((n + 1) / counts[order])
+        self.rare = 1 + float(np.log((n + 1) / max(least, 1.0)))
+        self.maybe = np.zeros(COUNTERS, bool)
+        self.maybe[counter_of(self.hashes)] = True
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), self.rare)
+        at = np.flatnonzero(self.maybe[counter_of(hashes)])
+        if len(at):
+            place = np.searchsorted(self.hashes, hashes[at]).clip(max=len(self.hashes) - 1)
+            hit = self.hashes[place] == hashes[at]
+            out[at[hit]] = self.idf[place[hit]]
+        return out
+
+    def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles, ascending, and their weights."""
+        own, tf = np.unique(hashes, return_counts=True)
+        return own, (tf * self.of(own)).astype(np.float32)
+
+
+def weights(docs: DataFrame) -> Weights:
+    """Counts every shingle that may be common, which are those of large counters: a counter is never too small."""
+    counts, n, total = counters(docs)
+    least = total / COMMON
+    large = docs.sparkSession.sparkContext.broadcast(counts >= max(least, 1))
 
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = []
+        for text in common.text_bytes(batch["text"]):
+            h = shingles(text)[1]
+            found.append(np.unique(h[large.value[counter_of(h)]]))
+        own, times = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"hash": own.view(np.int64), "n": times.astype(np.int64)})
 
-def inverse_frequencies(counts: np.ndarray, n: int) -> np.ndarray:
-    return np.log((n + 1) / np.maximum(counts, 1)).clip(0.05).astype(np.float32)
+    summed = common.map_slices(docs.select("text"), "hash bigint, n bigint", run).groupBy("hash").agg(F.sum("n").alias("n"))
+    # at most COMMON rows: each stands for total / COMMON of all distinct shingles of the texts
+    rows = summed.filter(F.col("n") >= least).toArrow()
+    large.unpersist()
+    return Weights(rows["hash"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, least)
 
 
 class Sampler:
@@ -148,10 +229,9 @@ def band_hashes(names: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def sketches(docs: DataFrame, table: Broadcast) -> DataFrame:
     """doc_id, key and bands of every row; key and bands are null for texts without words."""
     sampler = Sampler()
-    table = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys, parts, full = [], [], []
@@ -159,8 +239,8 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             key, h = shingles(text)
             keys.append(key)
             if key:
-                own, tf = np.unique(h, return_counts=True)
-                parts.append((own, np.log(tf * table.value[bucket_of(own)]).astype(np.float32)))
+                own, weight = table.value.vector(h)
+                parts.append((own, np.log(weight)))
                 full.append(k)
         bands: list = [None] * len(keys)
         if parts:
@@ -171,165 +251,205 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return common.map_slices(docs.select("doc_id", "text"), "doc_id bigint, key binary, bands array<bigint>", run)
 
 
-def prefix(vector: np.ndarray, idf: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
-    """Shingles, rarest first, that can be the first one shared with a text of at least this similarity, and how many
-    of them can be that when the other text is no lighter. vector: sorted hashes with repeats."""
-    x, n = np.unique(vector, return_counts=True)
-    each = idf[x & np.uint32(DF_BUCKETS - 1)].astype(np.float64)
-    order = np.lexsort((x, -each))
-    weight = np.cumsum((each * n)[order])
-    before = np.r_[0, weight[:-1]] / weight[-1]
-    longest, core = (int(np.searchsorted(before, 1 - least + 1e-9, "right")) for least in (similarity, 2 * similarity / (1 + similarity)))
-    return x[order[:longest]], core
-
-
-def vectors(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """key, sorted shingle hashes (repeats kept) and prefix of the texts in wanted: (doc_id, key), one row of docs per key."""
-    table = docs.sparkSession.sparkContext.broadcast(idf)
+def vectors(docs: DataFrame, wanted: DataFrame, table: Broadcast) -> DataFrame:
+    """key, distinct shingles and their weights of the texts in wanted: (doc_id, key), one row of docs per key."""
     chosen = wanted.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).hint("shuffle_hash")
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_key")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, out, tokens, cores = [], [], [], []
+        keys, hashes, weight = [], [], []
         for text, want in zip(common.text_bytes(batch["text"]), batch["_key"].to_pylist(), strict=True):
             key, h = shingles(text)
             if key == want:
+                own, w = table.value.vector(h)
                 keys.append(key)
-                vector = np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-                out.append(vector.tobytes())
-                own, core = prefix(vector, table.value, similarity)
-                tokens.append(own.view(np.int32))
-                cores.append(core)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "vector": pa.array(out, pa.binary()), "tokens": pa.array(tokens, pa.list_(pa.int32())), "n_core": pa.array(cores, pa.int32())})
+                hashes.append(own.tobytes())
+                weight.append(w.tobytes())
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "hashes": pa.array(hashes, pa.binary()), "weights": pa.array(weight, pa.binary())})
 
-    return common.map_slices(rows, "key binary, vector binary, tokens array<int>, n_core int", run)
+    return common.map_slices(rows, "key binary, hashes binary, weights binary", run)
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
-    """Sum of minima over sum of maxima of tf * idf; a and b are sorted hashes with repeats."""
-    x, nx = np.unique(a, return_counts=True)
-    y, ny = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    wx, wy = idf[x & np.uint32(DF_BUCKETS - 1)].astype(np.float64) * nx, idf[y & np.uint32(DF_BUCKETS - 1)].astype(np.float64) * ny
-    low = np.minimum(wx[i], wy[j]).sum()
-    return float(low / (wx.sum() + wy.sum() - low))
+def shared_weight(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> np.ndarray:
+    """For each shingle of x the weight that y has as well; x and y ascend."""
+    place = np.searchsorted(y, x).clip(max=len(y) - 1)
+    return np.where(y[place] == x, np.minimum(wx, wy[place]), np.float32(0))
 
 
-def similarities(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b and their weighted Jaccard similarity. A hub's vector meets its pairs in the join, not before."""
-    table = pairs.sparkSession.sparkContext.broadcast(idf)
-    left = vecs.select(F.col("key").alias("a"), F.col("vector").alias("va"))
-    right = vecs.select(F.col("key").alias("b"), F.col("vector").alias("vb"))
+def weighted_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Sum of minima over sum of maxima."""
+    low = float(shared_weight(x, wx, y, wy).sum(dtype=np.float64))
+    return low / float(wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64) - low)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sims = [weighted_jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), table.value) for x, y in zip(batch["va"].to_pylist(), batch["vb"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "sim": pa.array(sims, pa.float64())})
 
-    return common.map_slices(pairs.join(right, "b").join(left, "a"), "a binary, b binary, sim double", run)
+def sides(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the vectors of both. A hub's vector meets its pairs in the join, not before."""
+    named = lambda k: vecs.select(F.col("key").alias(k), F.col("hashes").alias(f"h{k}"), F.col("weights").alias(f"w{k}"))
+    return pairs.join(named("a"), "a").join(named("b"), "b")
 
 
-def linkable(members: DataFrame, vecs: DataFrame) -> DataFrame:
-    """bucket and key of the nodes that may still be linked to a node of their bucket in another class.
+def both_vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for ha, wa, hb, wb in zip(*(batch[c].to_pylist() for c in ("ha", "wa", "hb", "wb")), strict=True):
+        yield np.frombuffer(ha, np.uint64), np.frombuffer(wa, np.float32), np.frombuffer(hb, np.uint64), np.frombuffer(wb, np.float32)
+
+
+def similarities(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
+    """a, b and their weighted Jaccard similarity."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sims = [weighted_jaccard(*four) for four in both_vectors(batch)]
+        yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "sim": pa.array(sims, pa.float64())})
+
+    return common.map_slices(sides(pairs, vecs), "a binary, b binary, sim double", run)
 
-    members: (bucket, key, key_root). A shingle of the prefixes counts if a node that has it in the core and another
-    of a different class meet there; minima combine before the shuffle."""
-    classes_ = members.select("bucket", "key", F.xxhash64("key_root").alias("root"))
-    mixed = classes_.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("bucket")
-    rows = classes_.join(mixed, "bucket").join(vecs.select("key", "tokens", "n_core"), "key").select("bucket", "key", "root", "n_core", F.posexplode("tokens").alias("at", "token"))
-    rows = rows.select("bucket", "token", "key", "root", (F.col("at") < F.col("n_core")).alias("core"))
-    core_root = F.when(F.col("core"), F.col("root"))
-    met = rows.groupBy("bucket", "token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(core_root).alias("core_low"), F.max(core_root).alias("core_high"))
-    met = met.filter("core_low is not null and low <> high")
-    return rows.join(met, ["bucket", "token"]).filter("core or core_low <> root or core_high <> root").select("bucket", "key").distinct()
 
+def against_hub(stars: DataFrame, vecs: DataFrame) -> DataFrame:
+    """For (key, hub): their similarity, the node's weight, what of it the hub shares, and the shingles with the
+    weight that it does not."""
 
-def linked(buckets: DataFrame, vecs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sims, whole, common_, sizes, tokens, extra = [], [], [], [], [], []
+        for x, wx, y, wy in both_vectors(batch):
+            low = shared_weight(x, wx, y, wy)
+            w, o = float(wx.sum(dtype=np.float64)), float(low.sum(dtype=np.float64))
+            sims.append(o / (w + float(wy.sum(dtype=np.float64)) - o))
+            whole.append(w)
+            common_.append(o)
+            over = np.flatnonzero(wx > low)
+            sizes.append(len(over))
+            tokens.append(x[over])
+            extra.append((wx - low)[over])
+        at = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts))) for parts in ([t.view(np.int64) for t in tokens], extra)]
+        yield pa.RecordBatch.from_pydict({"key": batch["a"], "hub": batch["b"], "sim": pa.array(sims, pa.float64()), "w": pa.array(whole, pa.float64()), "o": pa.array(common_, pa.float64()), "tokens": lists[0], "extra": lists[1]})
+
+    return common.map_slices(sides(stars.select(F.col("key").alias("a"), F.col("hub").alias("b")), vecs), "key binary, hub binary, sim double, w double, o double, tokens array<bigint>, extra array<float>", run)
+
+
+def rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
+    """frame with the root of its key's class."""
+    return frame.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """rows (star, key, root, ...) of the stars that have two classes or more, and whether a row is outside the largest."""
+    sizes = rows.groupBy("star", "root").agg(F.count("*").alias("_n"))
+    per_star = sizes.groupBy("star").agg(F.max(F.struct("_n", "root"))["root"].alias("_most"), F.count("*").alias("_classes")).filter("_classes > 1")
+    return rows.join(per_star.select("star", "_most"), "star").withColumn("outside", F.col("root") != F.col("_most")).drop("_most")
+
+
+def open_nodes(judged: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(star, key, root, w, room): nodes of a star that may reach the similarity with one of another class. room is
+    the largest weight that such a node can have."""
+    rows = mixed(rooted(judged.withColumnRenamed("hub", "star").drop("sim"), roots))
+    extras = rows.select("star", "key", "root", F.explode(F.arrays_zip("tokens", "extra")).alias("_t")).select("star", "key", "root", F.col("_t.tokens").alias("token"), F.col("_t.extra").alias("extra"))
+    met = extras.groupBy("star", "token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("star", "token")
+    more = extras.join(met, ["star", "token"]).groupBy("star", "key").agg(F.sum(F.col("extra").cast("double")).alias("more"))
+    # similarity s needs a shared weight of s / (1 + s) of the sum of both weights
+    room = (F.col("o") + F.coalesce("more", F.lit(0.0))) * ((1 + similarity) / similarity) - F.col("w")
+    nodes = rows.join(more, ["star", "key"], "left").select("star", "key", "root", "w", (room + SLACK * F.col("w")).alias("room"))
+    nodes = common.store(nodes, "bounds")
+    ends = nodes.groupBy("star").agg(F.min("w").alias("_light"), F.max("room").alias("_room"))
+    live = common.store(nodes.join(ends, "star").filter("room >= _light and w <= _room").drop("_light", "_room"), "open")
+    common.discard(nodes)
+    return live
+
+
+def linked(stars: DataFrame, vecs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node and root (smallest key of the class) of all nodes that share a bucket with one whose similarity reaches
-    the threshold, or are connected to it by such links. buckets: (bucket, key, central), central the larger the more
-    nodes share the node's buckets."""
-    limit = 1 - similarity
-    known: DataFrame | None = None
-    opened = buckets
-    hubs_per_bucket = 1
-    extra: DataFrame | None = None
-    roots: DataFrame | None = None
-    turn = 0
+    the threshold, or are connected to it by such links. stars: (key, hub)."""
+    judged = common.store(against_hub(stars, vecs), "judged")
+    roots = graph.components(judged.filter(F.col("sim") >= similarity).select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    live = open_nodes(judged, roots, similarity)
+    common.discard(judged)
+    n_hubs, turn = HUBS, 0
     while True:
         turn += 1
-        # one hub for each of hubs_per_bucket slices of a bucket; minima combine before the shuffle
-        slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(hubs_per_bucket)).alias("slot")
-        best = F.max(F.struct("central", "key"))["key"] if turn == 1 else F.min("key")
-        hubs = opened.groupBy("bucket", slot).agg(best.alias("hub")).select("bucket", "hub")
-        met = common.store(opened.join(hubs, "bucket").filter("key <> hub"), "met")
-        pairs = met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-        pairs = (pairs if extra is None else pairs.unionByName(extra)).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        sims = common.store(similarities(pairs, vecs, idf), "similarities")
-        known = sims if known is None else known.unionByName(sims)
-        good = sims.filter(F.col("sim") >= similarity).select("a", "b")
-        both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        judged = common.store(met.join(both.select(F.col("a").alias("key"), F.col("b").alias("hub"), (1 - F.col("sim")).alias("d")), ["key", "hub"]), "judged")
-        # unlinked, but near enough to the hub that a node linked to the hub may be linked to it as well; what is
-        # linked to the hub is in the hub's class, so nodes that got there by other ways need no comparison
-        roots = graph.components(good) if roots is None else graph.merged(roots, good)
-        root = lambda frame, name: frame.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
-        width = limit / BINS
-        near = root(root(judged.filter((F.col("d") > limit) & (F.col("d") <= 2 * limit)), "key"), "hub")
-        ring = near.filter("key_root <> hub_root").select("bucket", "hub", F.col("key").alias("k1"), F.col("d").alias("d1"), F.explode(F.sequence(F.greatest(F.floor((F.col("d") - limit) / width - 1e-9), F.lit(0)).cast("int"), F.lit(BINS))).alias("bin"))
-        inner = judged.filter(F.col("d") <= limit)
-        if turn == 1:
-            live = common.store(linkable(root(opened.select("bucket", "key"), "key"), vecs), "linkable")
-            ring, inner = ring.join(live.withColumnRenamed("key", "k1"), ["bucket", "k1"], "left_semi"), inner.join(live, ["bucket", "key"], "left_semi")
-        inner = inner.select("bucket", "hub", F.col("key").alias("k2"), F.col("d").alias("d2"), F.floor(F.col("d") / width).cast("int").alias("bin"))
-        across = ring.join(inner, ["bucket", "hub", "bin"]).filter(F.col("d2") >= F.col("d1") - limit - 1e-9).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"))
-        extra = common.store(across.distinct(), "across")
-        nearest = judged.groupBy("bucket", "key").agg(F.min("d").alias("d"))
-        left = nearest.filter(F.col("d") > limit).select("bucket", "key").join(hubs.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti")
-        if turn == 1:
-            left = left.join(live, ["bucket", "key"], "left_semi")
-        # a bucket whose open nodes are all of one class has nothing left to connect
-        left = root(left, "key")
-        mixed = left.groupBy("bucket").agg(F.min("key_root").alias("_a"), F.max("key_root").alias("_b")).filter("_a <> _b").select("bucket")
-        opened = common.store(left.join(mixed, "bucket").select("bucket", "key"), "open")
-        common.discard(met)
-        common.discard(judged)
-        common.release(buckets.sparkSession)
-        n_open, n_extra = opened.count(), extra.count()
-        if not n_open and not n_extra:
+        left = common.store(mixed(live), "mixed")
+        common.discard(live)
+        if left.isEmpty():
+            common.discard(left)
             return roots
-        hubs_per_bucket *= 2 if turn > 1 else 1
-
-
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id and n_copies for every row of docs."""
-    spark = docs.sparkSession
-    counts, n = document_frequencies(docs)
-    idf = inverse_frequencies(counts, n)
-    drawn = common.store(sketches(docs, idf), "sketches")
+        # a hub for each of n_hubs slices of a star; maxima combine before the shuffle
+        slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(n_hubs)).alias("slot")
+        hubs = left.groupBy("star", slot).agg(F.max(F.struct("outside", "room", "key", "w", "root")).alias("h")).select("star", "h.*")
+        hubs = common.store(hubs.select("star", F.col("key").alias("hub"), F.col("root").alias("hub_root"), F.col("w").alias("hub_w"), F.col("room").alias("hub_room")), "hubs")
+        pairs = left.join(hubs, "star").filter("root <> hub_root and w <= hub_room and hub_w <= room").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+        sims = common.store(similarities(pairs, vecs).filter(F.col("sim") >= similarity), "similar")
+        roots = graph.merged(roots, sims.select("a", "b"))
+        rest = left.join(hubs.select("star", F.col("hub").alias("key")), ["star", "key"], "left_anti")
+        live = common.store(rooted(rest.select("star", "key", "w", "room"), roots).select("star", "key", "root", "w", "room"), "open")
+        for old in (left, hubs, sims):
+            common.discard(old)
+        n_hubs *= 8
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, key, class_id and n_copies for every row of docs; reads stored tables."""
+    table = docs.sparkSession.sparkContext.broadcast(weights(docs))
+    drawn = common.store(sketches(docs, table), "sketches")
     nodes = common.store(drawn.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "nodes")
     member = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = common.store(member.join(shared, "bucket").select("bucket", "key", "n"), "buckets")
-    buckets = common.store(sized.join(sized.groupBy("key").agg(F.sum("n").alias("central")), "key").select("bucket", "key", "central"), "buckets")
-    common.discard(sized)
+    # a node's buckets are BANDS at most
+    per_key = member.join(shared, "bucket").groupBy("key").agg(F.sum("n").alias("central"), F.collect_list("bucket").alias("buckets"))
+    per_key = common.store(per_key, "buckets")
+    buckets = per_key.select("key", "central", F.explode("buckets").alias("bucket"))
+    hubs = buckets.groupBy("bucket").agg(F.max(F.struct("central", "key"))["key"].alias("hub"))
+    stars = common.store(buckets.join(hubs, "bucket").filter("key <> hub").select("key", "hub").distinct(), "stars")
     # a row of docs with the key's words: its smallest id, or any row if an id is repeated (the key is compared again)
-    wanted = nodes.join(buckets.select("key").distinct(), "key", "left_semi").select("doc_id", "key")
-    vecs = common.store(vectors(docs, wanted, idf, similarity).dropDuplicates(["key"]), "vectors")
-    common.release(spark)
-    roots = linked(buckets, vecs, idf, similarity)
+    wanted = nodes.join(per_key.select("key"), "key", "left_semi").select("doc_id", "key")
+    vecs = common.store(vectors(docs, wanted, table).dropDuplicates(["key"]), "vectors")
+    common.discard(per_key)
+    roots = linked(stars, vecs, similarity)
+    for old in (stars, vecs):
+        common.discard(old)
     in_class = nodes.select("key", "doc_id", "n_copies").join(roots.withColumnRenamed("node", "key"), "key")
     named = in_class.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    grouped = in_class.join(named, "root").select("key", "class_id")
-    per_key = common.store(nodes.select("key", "doc_id", "n_copies").join(grouped, "key", "left").select(F.col("key").alias("_key"), F.coalesce("class_id", "doc_id").alias("class_id"), "n_copies"), "classes")
-    return drawn.select("doc_id", "key").join(per_key, F.col("key") == F.col("_key"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    grouped = in_class.join(named, "root").select("key", "class_id", "root")
+    per_node = nodes.select("key", "doc_id", "n_copies").join(grouped, "key", "left").select(F.col("key").alias("_key"), F.coalesce("root", "key").alias("root"), F.coalesce("class_id", "doc_id").alias("class_id"), "n_copies")
+    per_node = common.store(per_node, "classes")
+    for old in (nodes, roots):
+        common.discard(old)
+    return drawn.select("doc_id", "key").join(per_node, F.col("key") == F.col("_key"), "left").select("doc_id", "key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id and n_copies for every row of docs."""
+    return _classes(docs, similarity).select("doc_id", "class_id", "n_copies")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class, with all their columns."""
-    gone = classes(docs, similarity).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = common.store(gone, "gone")
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of docs of each class, with all its columns: the one with the smallest doc_id, nulls last; of rows that
+    share that id the one with the smallest key, and any of those with the same words."""
+    found = common.store(_classes(docs, similarity), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "key")).alias("_first")
+    kept = found.filter("root is not null").groupBy("root").agg(first).select("root", F.col("_first.doc_id").alias("_id"), F.col("_first.key").alias("_key"))
+    lost = found.filter("root is not null").join(kept, "root").withColumn("_lost", ~F.col("doc_id").eqNullSafe(F.col("_id")) | (F.col("key") != F.col("_key")))
+    per_id = lost.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("_lost").alias("n_lost"))
+    gone = common.store(per_id.filter("n_lost = n and doc_id is not null").select(F.col("doc_id").alias("_gone")), "gone")
+    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    # ids that stand for several rows, of which some may go
+    shared = common.store(per_id.filter("(n > 1 or doc_id is null) and n_lost < n or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_shared")), "shared-ids")
+    if shared.isEmpty():
+        return out
+    keys = common.store(lost.filter(~F.col("_lost")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "kept-keys")
+    marked = out.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    names = docs.columns
+    whole = with_key(marked.filter("_shared").select(*names))
+    some = whole.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
+    one = some.groupBy("_own").agg(F.first(F.struct(*names)).alias("_row")).select("_row.*")
+    return marked.filter("_shared is null").select(*names).unionByName(one).unionByName(whole.filter("_own is null").select(*names))
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with the key of their words as _own."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = [shingles(text)[0] for text in common.text_bytes(batch["text"])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_own"])
+
+    return common.map_slices(docs, StructType([*docs.schema.fields, StructField("_own", BinaryType())]), run)
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
