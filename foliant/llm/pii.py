@@ -1,10 +1,10 @@
 """Operator 4: personal data, found through offset-preserving deobfuscation.
 
 Base patterns find plain identifiers. Then a transducer rewrites disguises - homoglyphs and other digits, spelled
-digits, at/dot words - while it keeps, for every character written, the source characters it stands for. The same
-patterns run over the rewritten text and their spans are mapped back; a mapped span that no base span of its kind
-overlaps is added. Only texts with something to rewrite take the second pass; what it would find elsewhere is what
-the base patterns found. Numbers that mix digits and spelled digits, and addresses of four numbers with disguised dots,
+digits, invisible characters, at/dot words - while it keeps, for every character written, the source characters it
+stands for. The same patterns run over the rewritten text and their spans are mapped back; a mapped span that no base
+span of its kind overlaps is added, and so is an address that reaches beyond a base address. Only texts with something
+to rewrite take the second pass; what it would find elsewhere is what the base patterns found. Numbers that mix digits and spelled digits, and addresses of four numbers with disguised dots,
 are rewritten in texts of their own: prose has words such as "un" beside digits, which must not spoil other spans.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each on its own; long texts are
@@ -13,8 +13,8 @@ scanned whole, in time linear in their length; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import copy
-import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -96,7 +96,8 @@ ENDINGS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|example|test"
 
 
 def bracketed(words: str) -> str:
-    return rf"[ \t]*[\[({{<][ \t]*(?:{words})[ \t]*[\])}}>][ \t]*"
+    # spaces count from the start of their run only, so that a long run is read once
+    return rf"(?:(?<![ \t])[ \t]++)?[\[({{<][ \t]*+(?:{words})[ \t]*+[\])}}>][ \t]*+"
 
 
 AT = bracketed("at|@|arroba")
@@ -104,16 +105,17 @@ DOT = bracketed(r"dot|\.|punkt|point|punto")
 WORDS = sorted(DIGIT_WORDS, key=len, reverse=True)
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:{'|'.join(WORDS)})(?:[ ,.-]{{1,2}}(?:{'|'.join(WORDS)})(?!\w)){{{SPELLED_RUN - 1},}}(?!\w)", re.I)
 PART = r"[A-Za-z0-9-]+"
-#: An address of which at least the at or one dot is disguised.
-DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9][A-Za-z0-9_%+-]*+(?:(?:\.|{DOT}|[ ]dot[ ])[A-Za-z0-9_%+-]++){{0,4}})"
-    rf"(?P<at>{AT}|[ ]at[ ]|@)"
-    rf"(?P<host>{PART}(?:(?:\.|{DOT}|[ ]dot[ ]){PART}){{1,4}})",
-    re.I,
-)
+SIGN = rf"{AT}|[ ]at[ ]|@|%40|&#64;"
+AT_SIGN = re.compile(SIGN, re.I)
+#: What follows the sign of an address, dots disguised or not.
+HOST = re.compile(rf"{PART}(?:(?:\.|{DOT}|[ ]dot[ ]){PART})+", re.I)
+#: What stands before it, read from right to left.
+BACK_DOT = r"[ \t]*+[\])}>][ \t]*+(?:tod|\.|tknup|tniop|otnup)[ \t]*+[\[({<](?:[ \t]++(?![ \t]))?"
+BACK_LOCAL = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\.|{BACK_DOT}|[ ]tod[ ])[A-Za-z0-9_%+-]++)*+", re.I)
+FIRST = re.compile("[A-Za-z0-9]")
 DOTS = re.compile(rf"{DOT}|[ ]dot[ ]", re.I)
 #: What a disguised address holds, in lower case; a first test only.
-BRACKETS = re.compile(r"[\[({<][ \t]*(?:at|@|arroba|dot|\.|punkt|point|punto)[ \t]*[\])}>]")
+BRACKETS = re.compile(r"[\[({<][ \t]*+(?:at|@|arroba|dot|\.|punkt|point|punto)[ \t]*+[\])}>]|%40|&#64;")
 PLAIN_AT = re.compile(rf" at {PART}\.(?:{PART}\.)*(?:{ENDINGS})(?![a-z0-9-])")
 SPACES = re.compile("[\u00a0\u2007\u2009\u202f]")
 
@@ -122,9 +124,6 @@ ONE = rf"(?<!\w)(?:{'|'.join(WORDS)})(?!\w)"
 BETWEEN = "[ ,.()-]{1,3}"
 #: A number of digits and spelled digits; what makes one worth a look is a word beside a digit.
 MIXED = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:[0-9]++|{ONE})(?:{BETWEEN}(?:[0-9]++|{ONE}))+", re.I)
-DIGITS = re.compile("[0-9]+")
-WORD_AFTER = re.compile(rf"{BETWEEN}{ONE}", re.I)
-WORD_BEFORE = re.compile(rf"(?:{ONE}|(?<!\w)plus){BETWEEN}$", re.I)
 MIXED_PARTS = re.compile(r"[0-9]+|[^\W\d_]+|[\W_]+")
 IP_DOT = rf"(?:{DOT}|[ \t]+(?:dot|punkt|point|punto)[ \t]+|\.)"
 DIGIT, PAIR = "(?<![0-9])[0-9](?![0-9])", "(?<![0-9])[0-9]{2}(?![0-9])"
@@ -132,7 +131,15 @@ DIGIT, PAIR = "(?<![0-9])[0-9](?![0-9])", "(?<![0-9])[0-9]{2}(?![0-9])"
 OCTET = rf"(?:{ONE}[ -]{PAIR}|{PAIR}[ -]{ONE}|{ONE}(?:[ -](?:{ONE}|{DIGIT})){{0,2}}|{DIGIT}[ -]{ONE}(?:[ -](?:{ONE}|{DIGIT}))?|{DIGIT}[ -]{DIGIT}[ -]{ONE}|(?<![0-9])[0-9]++)"
 DOTTED = re.compile(rf"{OCTET}(?:{IP_DOT}{OCTET}){{3,}}", re.I)
 DOTTED_PARTS = re.compile(rf"(?P<dot>{IP_DOT})|(?P<word>{ONE})|[0-9]+|[ -]", re.I)
-DOT_WORD = re.compile("[ \t](?:dot|punkt|point|punto)[ \t]")
+#: For the first tests: bytes of words as they are, all other ASCII as a space; what a word is to a number.
+WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+ROLES = dict.fromkeys((w.encode() for w in [*WORDS, "plus"]), 1) | dict.fromkeys((b"dot", b"punkt", b"point", b"punto"), 3)
+DOT_AMONG = re.compile(b"[\x01\x02]\x03[\x01\x02]")
+
+
+def roles(low: str) -> bytes:
+    """A byte per word: 1 a spelled digit or plus, 2 begins with a digit, 3 a spelled dot, 0 others."""
+    return bytes([ROLES.get(w) or (2 if 48 <= w[0] <= 57 else 0) for w in low.encode(errors="replace").translate(WORD_BYTES).split()])
 
 
 class Rewriter:
@@ -167,8 +174,11 @@ def plain_letter(c: str) -> str | None:
     return {"․": ".", "。": ".", "﹒": ".", "‐": "-", "‑": "-", "−": "-"}.get(c)
 
 
-#: Characters that rewriting may replace: Greek, Cyrillic, foreign digits, full-width and mathematical letters, odd dots, dashes and spaces.
-EXOTIC = re.compile("[\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010\u2011\u2024\u2212\u2460-\u24ff\u3002\ufe52\uff01-\uff5e\U0001d400-\U0001d7ff\u00a0\u2007\u2009\u202f]")
+#: Characters that are not seen; rewriting leaves them out.
+UNSEEN = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff"
+INVISIBLE = re.compile(f"[{UNSEEN}]")
+#: Characters that rewriting may replace: what is not seen, Greek, Cyrillic, foreign digits, full-width and mathematical letters, odd dots, dashes and spaces.
+EXOTIC = re.compile(f"[{UNSEEN}" + "\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010\u2011\u2024\u2212\u2460-\u24ff\u3002\ufe52\uff01-\uff5e\U0001d400-\U0001d7ff\u00a0\u2007\u2009\u202f]")
 
 
 def mixed_edits(text: str) -> list[tuple[int, int, str]]:
@@ -204,21 +214,45 @@ def dotted_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def address_edits(text: str) -> list[tuple[int, int, str]]:
+    """Disguised signs and dots of addresses as what they stand for. From each sign the local part is read leftwards and
+    the host rightwards; neither holds a sign, so a text is read a fixed number of times."""
+    signs = list(AT_SIGN.finditer(text))
+    backwards = text[::-1] if signs else ""
+    edits: list[tuple[int, int, str]] = []
+    for m in signs:
+        local, host = BACK_LOCAL.match(backwards, len(text) - m.start()), HOST.match(text, m.end())
+        if not local or not host:
+            continue
+        first = FIRST.search(text, len(text) - local.end(), m.start())
+        if not first:
+            continue
+        dots = [d.span() for d in DOTS.finditer(text, first.start(), m.start())]
+        behind = [d.span() for d in DOTS.finditer(text, m.end(), host.end())]
+        disguised = m[0] != "@" or dots or behind
+        clear = m[0].strip().lower() != "at" or behind or re.search(rf"\.(?:{ENDINGS})$", host[0], re.I)
+        # an end that was the host of the address before is no local part
+        if disguised and clear and (not edits or edits[-1][1] <= first.start()):
+            edits += [(a, b, ".") for a, b in dots] + [(m.start(), m.end(), "@")] + [(a, b, ".") for a, b in behind]
+    return edits
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, in source offsets."""
     exotic = not text.isascii() and EXOTIC.search(text)
-    spelled = SPELLED.search(text)
     low = text.lower()
+    row = roles(low)
+    spelled = b"\x01" * SPELLED_RUN in row
+    beside = b"\x01\x02" in row or b"\x02\x01" in row
     trigger = " dot " in low or BRACKETS.search(low) or PLAIN_AT.search(low)
-    beside = any(WORD_AFTER.match(text, m.end()) or WORD_BEFORE.search(text, max(0, m.start() - 16), m.start()) for m in DIGITS.finditer(text))
-    dotted = trigger or DOT_WORD.search(low)
+    dotted = trigger or DOT_AMONG.search(row)
     if not (exotic or spelled or beside or dotted):
         return []
     doc = Rewriter(text)
     if exotic:
         edits = []
         for m in EXOTIC.finditer(doc.text):
-            new = " " if SPACES.match(m[0]) else plain_letter(m[0])
+            new = "" if INVISIBLE.match(m[0]) else " " if SPACES.match(m[0]) else plain_letter(m[0])
             if new is not None:
                 edits.append((m.start(), m.end(), new))
         doc.apply(edits)
@@ -228,33 +262,27 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
             others.append(copy.copy(doc))
             others[-1].apply(edits)
     edits = []
-    for m in SPELLED.finditer(doc.text):
-        # word for word, so that spans keep their ends; what stands between the words goes
-        for w in re.finditer(r"\w+|\W+", m[0]):
-            name = w[0].lower()
-            edits.append((m.start() + w.start(), m.start() + w.end(), "+" if name == "plus" else DIGIT_WORDS.get(name, "")))
-    doc.apply(edits)
-    edits = []
-    for m in DISGUISED.finditer(doc.text):
-        disguised = m["at"] not in ("@",) or DOTS.search(m[0])
-        clear = m["at"].strip().lower() != "at" or DOTS.search(m["host"]) or re.search(rf"\.(?:{ENDINGS})$", m["host"], re.I)
-        if disguised and clear:
-            for part in ("local", "at", "host"):
-                if part == "at":
-                    edits.append((m.start("at"), m.end("at"), "@"))
-                else:
-                    edits += [(m.start(part) + d.start(), m.start(part) + d.end(), ".") for d in DOTS.finditer(m[part])]
-    doc.apply(edits)
-    out = []
-    for a, b, kind in base_spans(doc.text):
-        first, last = doc.first[a], doc.last[b - 1]
-        if not any(k == kind and x < last and first < y for x, y, k in base) and (first, last, kind) not in out:
-            out.append((first, last, kind))
-    for other in others:
-        for a, b, kind in base_spans(other.text):
-            first, last = other.first[a], other.last[b - 1]
-            if not any(k == kind and x < last and first < y for x, y, k in base + out):
+    if exotic or spelled:
+        for m in SPELLED.finditer(doc.text):
+            # word for word, so that spans keep their ends; what stands between the words goes
+            for w in re.finditer(r"\w+|\W+", m[0]):
+                name = w[0].lower()
+                edits.append((m.start() + w.start(), m.start() + w.end(), "+" if name == "plus" else DIGIT_WORDS.get(name, "")))
+        doc.apply(edits)
+    if exotic or spelled or trigger:
+        doc.apply(address_edits(doc.text))
+    taken = {kind: sorted(s[:2] for s in base if s[2] == kind) for kind in KINDS}
+    out: list[Span] = []
+    for k, rewritten in enumerate([doc, *others]):
+        for a, b, kind in base_spans(rewritten.text):
+            first, last = rewritten.first[a], rewritten.last[b - 1]
+            # spans of a kind are disjoint but for addresses that reach beyond a base address
+            at = bisect.bisect_left(taken[kind], (last, 0))
+            met = at > 0 and max(y for _, y in taken[kind][max(0, at - 2) : at]) > first
+            beyond = kind == "email" and k == 0 and met and not any(x <= first and last <= y for x, y in taken[kind][max(0, at - 2) : at])
+            if not met or beyond:
                 out.append((first, last, kind))
+                bisect.insort(taken[kind], (first, last))
     return out
 
 
@@ -298,9 +326,5 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 QUERIES = {"op4_pii": op4_pii}
 SQL: dict[str, str] = {}

@@ -219,7 +219,56 @@ def test_pii_mixed_disguises():
     assert pii.added_spans("1 one " * 20_000 + "1 dot " * 3, []) == []
 
 
+def luhn_by_hand(digits):
+    doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def test_pii_base_patterns():
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    passes = {
+        "email": lambda t: True,
+        "ip": lambda t: all(int(x) <= 255 for x in t.split(".")),
+        "card": lambda t: 14 <= len(digits(t)) <= 19 and luhn_by_hand(digits(t)),
+        "phone": lambda t: 10 <= len(digits(t)) <= 15,
+    }
+    rng, seen = np.random.default_rng(6), set()
+    for letters, n in (("a1.@%-2 +", 400), ("01 -", 3000), ("+12() .-", 1500), ("0.1.2.3.4a", 600)):
+        for _ in range(n):
+            t = "".join(rng.choice(list(letters), 48))
+            want = sorted((m.start(), list(plain).index(k), m.end(), k) for k, p in plain.items() for m in re.finditer(p, t) if passes[k](m[0]))
+            assert pii.base_spans(t) == [(a, b, k) for a, _, b, k in want]
+            seen |= {x[3] for x in want}
+    assert seen == set(plain)
+
+
+def test_pii_disguised_addresses():
+    for t, span in (
+        ("me [at] a (dot) b (dot) c (dot) d (dot) e (dot) f (dot) com", None), ("to bo\u200bb@exa\u00admple.com now", "bo\u200bb@exa\u00admple.com"), ("see bob%40example.com ok", "bob%40example.com"),
+        ("x bob dot smith at example dot com y", "bob dot smith at example dot com"), ("a@b.c dot com", None),
+    ):
+        assert [t[a:b] for a, b, _ in pii.added_spans(t, pii.base_spans(t))] == [span or t]
+    assert pii.added_spans("met at the host.example at noon", []) == []
+
+
+@pytest.mark.parametrize("part", ["j (at) ex (dot) com ", "1 one ", "1 dot ", "a dot ", "x [at] y.com ", "a@b.c ", "+1 2 ", "(", " "])
+def test_pii_long_texts(part):
+    import time
+
+    spent = []
+    for size in (100_000, 400_000):
+        text = part * (size // len(part))
+        began = time.process_time()
+        pii.added_spans(text, pii.base_spans(text))
+        spent.append(time.process_time() - began)
+    # linear would be 4, quadratic 16
+    assert spent[1] < 9 * spent[0] + 0.5
+
+
 def test_pii_table(docs, spark):
+    clash = docs.withColumn("spans", F.lit(1)).withColumn("n_ip", F.lit(2)).withColumn("base", F.lit(3))
+    assert pii.find(clash).collect() == pii.find(docs).collect()
     assert pii.find(docs).count() == len(TEXTS) and pii.find(docs.limit(0)).count() == 0
 
 
