@@ -12,9 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b). Gives node and root, the smallest node of its component, for every node with an edge.
 
     Rounds of taking the smallest root among neighbours and then the root's own root; each round is a written
-    table. Minima combine before the shuffle, so a node of any degree costs one row per task.
+    table. Minima combine before the shuffle, so a node of any degree costs one row per task. edges is read in every
+    round and should be a written table.
     """
-    pairs = common.store(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).filter("x <> y").distinct(), "edges")
+    pairs = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).filter("x <> y")
     roots = common.store(pairs.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("root")), "roots")
     while True:
         near = pairs.join(roots.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
@@ -28,7 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         roots = step.select("node", "root")
         roots._foliant_path = step._foliant_path
         if not moved:
-            common.discard(pairs)
             return roots
 
 

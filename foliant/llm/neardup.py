@@ -18,8 +18,8 @@ with an unbounded frequency one changed word would outweigh what they share.
    the hub and S the weight outside the hub that nodes of other classes have as well. A similarity of s needs a share
    of s / (1 + s) of both weights, which closes most nodes. What remains open is compared with further hubs of its
    star, those first that are outside the star's largest class, only where the bound allows it and the classes
-   differ; a hub leaves its star when that is done. There are eight times as many hubs each round, until no star has
-   open nodes of two classes. So no pair of a bucket that reaches the threshold stays unconnected.
+   differ; a hub leaves its star when that is done. There are more hubs each round, until no star has open nodes of two
+   classes. So no pair of a bucket that reaches the threshold stays unconnected.
 5. Every compared pair is verified by its exact weighted Jaccard similarity; links make classes.
 
 Result per row of docs: doc_id, class_id (smallest doc_id of the class), n_copies (rows with the same words).
@@ -31,6 +31,7 @@ long texts are taken whole; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,7 @@ STEP = 1024
 #: Quantiles that stand for the gamma draws.
 TABLE = 4096
 #: Further hubs of a star in the first round after its own.
-HUBS = 64
+HUBS = 256
 #: What rounding may take from a bound, relative to the weights.
 SLACK = 1e-5
 HASH = xxhash.xxh3_64_intdigest
@@ -362,26 +363,27 @@ def linked(stars: DataFrame, vecs: DataFrame, similarity: float = SIMILARITY) ->
     roots = graph.components(judged.filter(F.col("sim") >= similarity).select(F.col("key").alias("a"), F.col("hub").alias("b")))
     live = open_nodes(judged, roots, similarity)
     common.discard(judged)
+    # what is found here joins the classes at the end: a link's hub leaves its star, so it is not looked for again
+    found: list[DataFrame] = []
     n_hubs, turn = HUBS, 0
     while True:
         turn += 1
         left = common.store(mixed(live), "mixed")
-        common.discard(live)
         if left.isEmpty():
             common.discard(left)
-            return roots
+            break
         # a hub for each of n_hubs slices of a star; maxima combine before the shuffle
         slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(n_hubs)).alias("slot")
         hubs = left.groupBy("star", slot).agg(F.max(F.struct("outside", "room", "key", "w", "root")).alias("h")).select("star", "h.*")
         hubs = common.store(hubs.select("star", F.col("key").alias("hub"), F.col("root").alias("hub_root"), F.col("w").alias("hub_w"), F.col("room").alias("hub_room")), "hubs")
         pairs = left.join(hubs, "star").filter("root <> hub_root and w <= hub_room and hub_w <= room").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-        sims = common.store(similarities(pairs, vecs).filter(F.col("sim") >= similarity), "similar")
-        roots = graph.merged(roots, sims.select("a", "b"))
+        found.append(common.store(similarities(pairs, vecs).filter(F.col("sim") >= similarity), "similar"))
         rest = left.join(hubs.select("star", F.col("hub").alias("key")), ["star", "key"], "left_anti")
-        live = common.store(rooted(rest.select("star", "key", "w", "room"), roots).select("star", "key", "root", "w", "room"), "open")
-        for old in (left, hubs, sims):
-            common.discard(old)
-        n_hubs *= 8
+        live = rest.select("star", "key", "root", "w", "room")
+        n_hubs *= 64
+    if found:
+        roots = graph.merged(roots, functools.reduce(DataFrame.unionByName, found).select("a", "b"))
+    return roots
 
 
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:
