@@ -73,18 +73,37 @@ class FMIndex:
         return both[: len(symbols)], both[len(symbols) :]
 
 
-def matched_windows(index: FMIndex, owners: np.ndarray, text: np.ndarray, lanes: list[tuple[int, int]], readers: np.ndarray, window: int, look: int = 8) -> np.ndarray:
+class RangeMinimum:
+    """Least value of any range: a table per power of two."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.tables = [values]
+        while len(self.tables[-1]) > 1 << (len(self.tables) - 1):
+            t, step = self.tables[-1], 1 << (len(self.tables) - 1)
+            self.tables.append(np.minimum(t[:-step], t[step:]))
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Minima over [low, high), none of them empty."""
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        out = np.empty(len(low), self.tables[0].dtype)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.tables[k][low[at]], self.tables[k][high[at] - (1 << k)])
+        return out
+
+
+def matched_windows(index: FMIndex, owners: np.ndarray, text: np.ndarray, lanes: list[tuple[int, int]], readers: np.ndarray, window: int) -> np.ndarray:
     """Marks starts in text of windows that the index holds in a document with a smaller number than the reader.
 
     Matching statistics by backward search, all lanes in step: a lane walks its windows right to left and keeps
     extending its match as long as it can; when that fails the window in question is searched by itself.
-    owners: the document of each suffix, in suffix order; of an interval the first look owners are compared.
-    A lane (first, last) covers the windows that start in [first, last). Marks are sound; a window whose earlier
-    owner lies deeper in its interval stays unmarked and is for the caller to resolve.
+    owners: the document of each suffix, in suffix order; the least owner of an interval decides.
+    A lane (first, last) covers the windows that start in [first, last).
     """
     out = np.zeros(len(text), bool)
     if not lanes or not index.n:
         return out
+    least = RangeMinimum(owners)
     first = np.array([a for a, _ in lanes])
     target = np.array([b for _, b in lanes]) - 1
     at = target + window - 1
@@ -103,10 +122,7 @@ def matched_windows(index: FMIndex, owners: np.ndarray, text: np.ndarray, lanes:
         done = g[at[g] + 1 == target[g]]
         done = done[length[done] >= window]
         if len(done):
-            hit = np.zeros(len(done), bool)
-            for k in range(look):
-                place = low[done] + k
-                hit |= (place < high[done]) & (owners[np.minimum(place, index.n - 1)] < readers[done])
+            hit = least.least(low[done], high[done]) < readers[done]
             # a longer match may lie in later documents only: search that window by itself
             again = ~hit & ~alone[done]
             out[target[done[hit]]] = True

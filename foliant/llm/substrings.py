@@ -9,9 +9,9 @@ A word goes if a window of WINDOW words over it also starts in a document with a
    shards, with its segments in each, by how many anchors read it: no shard grows with a passage's popularity.
 3. Each shard builds an FM-index (wavelet matrix over the Burrows-Wheeler transform) of its source segments and
    streams the others through it: backward search gives their matching statistics and so the windows found in an
-   earlier document.
+   earlier document; of all that hold a window the least, a range minimum over the suffixes, decides.
 4. Windows that share an anchor with the source but are not found there may still repeat between other documents;
-   their whole hashes are summed up in the same way as the anchors.
+   128-bit hashes of their words are summed up in the same way as the anchors.
 
 Steps 1, 2 and 4 only choose and bring together; none drops a window.
 
@@ -147,7 +147,7 @@ def segments(docs: DataFrame, flags: DataFrame, n_shards: int) -> DataFrame:
     return common.map_slices(rows, "shard int, is_source boolean, doc_id bigint, row_key bigint, first int, words binary", run)
 
 
-JUDGED = "doc_id bigint, row_key bigint, firsts array<int>, lasts array<int>, open_at array<int>, open_hash array<bigint>"
+JUDGED = "doc_id bigint, row_key bigint, firsts array<int>, lasts array<int>, open_at array<int>, open_hash array<binary>"
 
 
 def judge(table: pa.Table) -> pa.Table:
@@ -182,14 +182,12 @@ def judge(table: pa.Table) -> pa.Table:
             marks = found[start : start + len(stream) - WINDOW + 1]
             gone = [(firsts[k] + a, firsts[k] + b + WINDOW - 1) for a, b in runs(marks) if marks[a]]
             still = np.flatnonzero(~marks)
-            hashes = []
-            if len(still):
-                h = np.fromiter(map(HASH, texts[k].split()), np.uint64, len(stream))
-                hashes = mixed(h, WINDOW)[still].view(np.int64).tolist()
+            words = texts[k].split() if len(still) else []
+            hashes = [xxhash.xxh3_128_digest(b" ".join(words[p : p + WINDOW])) for p in still.tolist()]
             values = (docs[k], keys[k], [a for a, _ in gone], [b for _, b in gone], (still + firsts[k]).tolist(), hashes)
             for name, value in zip(out, values, strict=True):
                 out[name].append(value)
-    return pa.Table.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("open_at", pa.list_(pa.int32())), ("open_hash", pa.list_(pa.int64()))]))
+    return pa.Table.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("open_at", pa.list_(pa.int32())), ("open_hash", pa.list_(pa.binary()))]))
 
 
 def repeats(docs: DataFrame) -> DataFrame:

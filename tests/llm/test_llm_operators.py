@@ -49,6 +49,41 @@ def test_substrings(docs):
     assert substrings.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_windows_of_many_owners(spark):
+    """A window that more documents hold than any fixed look would see, several shards, and windows that only later
+    documents share."""
+    rng = np.random.default_rng(8)
+    shared = [f"s{k}" for k in range(20)]
+    later = [*shared[:9], *[f"x{k}" for k in range(12)]]
+    texts = {i: " ".join([*(f"u{rng.integers(10**6)}" for _ in range(15)), *(shared if i % 2 else later if i > 20 else []), *(f"v{rng.integers(10**6)}" for _ in range(5))]) for i in range(60)}
+    texts = {59 - i: t for i, t in texts.items()}
+    seen = {}
+    for i, t in texts.items():
+        w = t.split()
+        for p in range(len(w) - 12):
+            seen.setdefault(tuple(w[p : p + 13]), set()).add(i)
+    want = {}
+    for i, t in texts.items():
+        w = t.split()
+        want[i] = len({q for p in range(len(w) - 12) if min(seen[tuple(w[p : p + 13])]) < i for q in range(p, p + 13)})
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = substrings.SHARD_ANCHORS
+    try:
+        for substrings.SHARD_ANCHORS in (kept, 40):
+            assert {r.doc_id: r.n_removed for r in substrings.without_repeats(df).collect()} == want
+    finally:
+        substrings.SHARD_ANCHORS = kept
+
+
+def test_range_minimum():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 64, 100):
+        values = rng.integers(0, 50, n)
+        low = rng.integers(0, n, 40)
+        high = np.array([rng.integers(a, n) + 1 for a in low.tolist()])
+        assert fmindex.RangeMinimum(values).least(low, high).tolist() == [values[a:b].min() for a, b in zip(low, high, strict=True)]
+
+
 def test_fm_index():
     rng = np.random.default_rng(3)
     text = np.r_[rng.integers(1, 4, 60), 0, rng.integers(1, 4, 40), 0]
