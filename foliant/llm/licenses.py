@@ -1,16 +1,21 @@
 """Operator 1: licence scan, a trained paragraph classifier in DataFrame operations.
 
-Paragraphs are lines. A softmax regression over sparse word 1-3-grams, trained here on templates and seeded
-variations of them, gives a paragraph's probability for each licence family and for none. Its temperature is
-calibrated on variations it was not trained on; a paragraph under LEAST_PROBABILITY is unknown. A predicted family
-counts only if a template of that family confirms it: at least CONFIRM of the template's 2-grams stand in the
-paragraph, or of the paragraph's in the template.
-
-Only paragraphs that share a 2-gram with a template can be confirmed, and only those with an anchor word count as
-unknown; all others are left out, and documents without either get their row without further work. The weights and templates are literals of fixed size and are broadcast.
+A paragraph ends at a blank line, at a line break after a sentence, and before a line that begins as a licence
+declaration does; lines wrapped inside a sentence are one paragraph. A softmax regression over sparse word 1-3-grams,
+trained here on templates and seeded variations of them among other words, gives a paragraph's probability for each
+licence family and for none. Its temperature is calibrated on variations it was not trained on; a paragraph under
+LEAST_PROBABILITY is unknown. A predicted family counts only if a template of that family confirms it: at least
+CONFIRM of the template's 2-grams stand in the paragraph, or, for a paragraph of three 2-grams or more, of the
+paragraph's in the template.
+
+A regular expression finds the paragraphs that are worth a look, without loss: it asks for an anchor word or one of the
+templates' 2-grams, from which one per template is left out where the rest still has to occur in every paragraph that
+the template can confirm (gate_grams). Documents without such a place get their row without further work. The weights
+and templates are literals of fixed size and are broadcast.
 
 Result per row of docs: doc_id, families (sorted, comma-joined), n_licences (confirmed paragraphs), n_unknown
-(paragraphs that mention a licence and are none of the families), probability (highest of a confirmed paragraph).
+(paragraphs with an anchor word, predicted as a licence and confirmed by no template of it), probability (highest of a
+confirmed paragraph).
 
 Defined results: null and empty texts have no paragraphs; repeated rows get a row each; long texts are scanned
 whole; other columns are not read.
@@ -54,8 +59,10 @@ OTHERS = [
 ]
 NONE = "none"
 FAMILIES = (NONE, *sorted(TEMPLATES))
-#: Words that mention a licence; a paragraph without any may be confirmed, but isn't an unknown licence.
+#: Words that mention a licence; a paragraph without any may be confirmed, but is no unknown licence.
 ANCHORS = ("license", "licensed", "licenses", "licence", "licences", "spdx", "copyright", "gnu", "gpl", "bsd", "cc0", "mozilla", "unlicense", "unencumbered", "permission", "redistribution", "proprietary")
+#: 2-grams of the templates that prose has often, most often first.
+PROSE_GRAMS = ("of the", "to the", "that the", "by the", "with the", "in the", "of this", "to this", "and or", "this is")
 LEAST_PROBABILITY = 0.6
 CONFIRM = 0.6
 SPLIT = "[^a-z0-9]+"
@@ -69,6 +76,48 @@ def grams_of(words: list[str], most: int = 3) -> set[str]:
     return {" ".join(words[k : k + n]) for n in range(1, most + 1) for k in range(len(words) - n + 1)}
 
 
+def paragraph_break() -> str:
+    """Where a paragraph ends, for Java's and Python's regular expressions."""
+    openings = "|".join(sorted({text.split()[0].rstrip(".,").split("-")[0] for texts in TEMPLATES.values() for text in texts if text[0].isupper()}))
+    return rf"\n[ \t\r]*\n|(?<=[.!?:])[ \t\r]*\n|\n(?=[ \t/*#>-]*(?:{openings})(?![A-Za-z]))"
+
+
+def needed(n: int) -> int:
+    """How many of n 2-grams confirm."""
+    return int(np.ceil(CONFIRM * n - 1e-9))
+
+
+def gate_grams() -> set[str]:
+    """2-grams of the templates of which every paragraph that a template can confirm has at least one.
+
+    A paragraph that holds needed(n) of a template's n 2-grams has one of any n - needed(n) + 1 of them; one that is
+    confirmed by its own 2-grams has two of the template's at least. So one 2-gram of each template may be left out,
+    if n - needed(n) >= 1; those are left out that prose has most."""
+    own = [{g for g in grams_of(words_of(text), 2) if " " in g} for texts in TEMPLATES.values() for text in texts]
+    free: set[str] = set()
+    for gram in PROSE_GRAMS:
+        if all(gram not in grams or (len(grams) > needed(len(grams)) and not free & grams) for grams in own):
+            free.add(gram)
+    return set().union(*own) - free
+
+
+def gate() -> str:
+    """A regular expression over lower-cased text: an anchor word or a 2-gram of gate_grams."""
+    tree: dict[str, dict[str, set[str]]] = {}
+    for gram in gate_grams():
+        first, second = gram.split(" ")
+        tree.setdefault(first[0], {}).setdefault(first, set()).add(second)
+    for word in ANCHORS:
+        tree.setdefault(word[0], {}).setdefault(word, set())
+    letters = []
+    for letter in sorted(tree):
+        words = []
+        for first, seconds in sorted(tree[letter].items()):
+            words.append(first[1:] if first in ANCHORS else rf"{first[1:]}[^a-z0-9]+(?:{'|'.join(sorted(seconds))})")
+        letters.append(f"{letter}(?:{'|'.join(words)})")
+    return rf"(?<![a-z0-9])(?:{'|'.join(letters)})(?![a-z0-9])"
+
+
 def variations(seed: int, each: int) -> list[tuple[list[str], int]]:
     """Templates with words lost and others around them, and paragraphs that are none."""
     rng = random.Random(seed)
@@ -79,8 +128,10 @@ def variations(seed: int, each: int) -> list[tuple[list[str], int]]:
             for k in range(each):
                 words = words_of(text)
                 if k:
+                    # every third stands inside a longer paragraph
+                    most = 40 if k % 3 == 0 else 6
                     words = [w for w in words if rng.random() > 0.06]
-                    words = [rng.choice(filler) for _ in range(rng.randint(0, 6))] + words + [rng.choice(filler) for _ in range(rng.randint(0, 6))]
+                    words = [rng.choice(filler) for _ in range(rng.randint(0, most))] + words + [rng.choice(filler) for _ in range(rng.randint(0, most))]
                     if family == NONE:
                         rng.shuffle(words)
                 out.append((words, label))
@@ -134,12 +185,6 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def pairs(words: Column) -> Column:
-    """2-grams, for the first filter."""
-    most = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, 1, most), F.slice(words, 2, most), lambda a, b: F.concat_ws(" ", a, b))
-
-
 def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     weights, biases, scale = trained()
@@ -153,13 +198,16 @@ def scan(docs: DataFrame) -> DataFrame:
                 shared.setdefault(g, []).append(len(sizes))
             sizes.append(len(own))
             families_of.append(FAMILIES.index(family))
-    anchors, template_grams = F.array(*map(F.lit, ANCHORS)), F.array(*map(F.lit, sorted(shared)))
-    kept = F.filter(F.transform(F.split("text", r"\n"), tokens), lambda w: F.arrays_overlap(w, anchors) | F.arrays_overlap(pairs(w), template_grams))
-    rows = docs.select("doc_id", F.coalesce(kept, F.array().cast("array<array<string>>")).alias("kept"), F.monotonically_increasing_id().alias("row_no"))
-    plain = rows.filter(F.size("kept") == 0).select("doc_id", F.lit("").alias("families"), F.lit(0).cast("long").alias("n_licences"), F.lit(0).cast("long").alias("n_unknown"), F.lit(0.0).alias("probability"))
-    lines = rows.select("doc_id", "row_no", F.posexplode("kept").alias("line", "words")).withColumn("anchored", F.arrays_overlap("words", anchors))
+    anchors, pattern = F.array(*map(F.lit, ANCHORS)), gate()
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_no")).withColumn("worth", F.coalesce(F.lower("text").rlike(pattern), F.lit(False)))
+    plain = rows.filter(~F.col("worth")).select("doc_id", F.lit("").alias("families"), F.lit(0).cast("long").alias("n_licences"), F.lit(0).cast("long").alias("n_unknown"), F.lit(0.0).alias("probability"))
+    lines = rows.filter("worth").select("doc_id", "row_no", F.posexplode(F.split("text", paragraph_break())).alias("line", "paragraph"))
+    # a place that only the whole text shows, across two paragraphs, still leaves the document its row
+    worth = F.lower("paragraph").rlike(pattern)
+    lines = lines.withColumn("words", F.when(worth, tokens(F.col("paragraph"))).otherwise(F.array().cast("array<string>"))).filter((F.size("words") > 0) | (F.col("line") == 0)).drop("paragraph")
+    lines = lines.withColumn("anchored", F.arrays_overlap("words", anchors))
     grams = F.array_distinct(F.concat(*[ngrams(F.col("words"), n) for n in (1, 2, 3)]))
-    spread = lines.select("doc_id", "row_no", "line", "anchored", F.size(F.array_distinct(ngrams(F.col("words"), 2))).alias("n2"), F.explode(grams).alias("gram"))
+    spread = lines.select("doc_id", "row_no", "line", "anchored", F.size(F.array_distinct(ngrams(F.col("words"), 2))).alias("n2"), F.explode_outer(grams).alias("gram"))
     table = literal(spark, [{"gram": g, "w": weights.get(g, [0.0] * len(FAMILIES)), "t": shared.get(g, [])} for g in sorted(weights.keys() | shared.keys())], "gram: string, w: array<double>, t: array<int>")
     known = spread.join(F.broadcast(table), "gram", "left")
     # sums per paragraph: scores per family and shared 2-grams per template
