@@ -27,6 +27,7 @@ import functools
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,8 @@ ANCHORS = ("license", "licensed", "licenses", "licence", "licences", "spdx", "co
 PROSE_GRAMS = ("of the", "to the", "that the", "by the", "with the", "in the", "of this", "to this", "and or", "this is")
 LEAST_PROBABILITY = 0.6
 CONFIRM = 0.6
+#: An n-gram has a weight if this many training paragraphs have it.
+LEAST_SEEN = 4
 SPLIT = "[^a-z0-9]+"
 
 
@@ -142,10 +145,8 @@ def variations(seed: int, each: int) -> list[tuple[list[str], int]]:
 def trained(epochs: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> tuple[dict[str, list[float]], list[float], float]:
     """Weights of each n-gram per family, biases, and the calibrated inverse temperature."""
     train, held = variations(1, 12), variations(2, 6)
-    names: dict[str, int] = {}
-    for words, _ in train:
-        for g in sorted(grams_of(words)):
-            names.setdefault(g, len(names))
+    often = Counter(g for words, _ in train for g in grams_of(words))
+    names = {g: k for k, g in enumerate(sorted(g for g, n in often.items() if n >= LEAST_SEEN))}
 
     def matrix(rows: list) -> np.ndarray:
         x = np.zeros((len(rows), len(names)), np.float32)
@@ -153,15 +154,15 @@ def trained(epochs: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> tuple
             x[k, [names[g] for g in grams_of(words) if g in names]] = 1
         return x
 
-    x, y = matrix(train), np.eye(len(FAMILIES))[[f for _, f in train]]
-    w, b = np.zeros((len(names), len(FAMILIES))), np.zeros(len(FAMILIES))
+    x, y = matrix(train), np.eye(len(FAMILIES), dtype=np.float32)[[f for _, f in train]]
+    w, b = np.zeros((len(names), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
     for _ in range(epochs):
         z = x @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         w -= rate * (x.T @ (p - y) / len(y) + shrink * w)
         b -= rate * (p - y).mean(0)
-    w = np.where(np.abs(w) > 0.01, w, 0).round(4)
+    w, b = np.where(np.abs(w) > 0.01, w, 0).astype(float).round(4), b.astype(float)
     z, truth = matrix(held) @ w + b, [f for _, f in held]
     def loss(t: float) -> float:
         s = z * t
@@ -177,6 +178,16 @@ def literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("_r")).select("_r.*")
 
 
+def held_out_errors(seed: int = 3, each: int = 8) -> dict[str, float]:
+    """Share of wrongly predicted variations of each family, none of them trained or calibrated on."""
+    weights, biases, _ = trained()
+    wrong: dict[str, list[bool]] = {}
+    for words, label in variations(seed, each):
+        z = np.array(biases) + sum((np.array(weights[g]) for g in grams_of(words) if g in weights), np.zeros(len(FAMILIES)))
+        wrong.setdefault(FAMILIES[label], []).append(int(z.argmax()) != label)
+    return {f: float(np.mean(v)) for f, v in wrong.items()}
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
 
@@ -209,7 +220,7 @@ def scan(docs: DataFrame) -> DataFrame:
     grams = F.array_distinct(F.concat(*[ngrams(F.col("words"), n) for n in (1, 2, 3)]))
     spread = lines.select("doc_id", "row_no", "line", "anchored", F.size(F.array_distinct(ngrams(F.col("words"), 2))).alias("n2"), F.explode_outer(grams).alias("gram"))
     table = literal(spark, [{"gram": g, "w": weights.get(g, [0.0] * len(FAMILIES)), "t": shared.get(g, [])} for g in sorted(weights.keys() | shared.keys())], "gram: string, w: array<double>, t: array<int>")
-    known = spread.join(F.broadcast(table), "gram", "left")
+    known = spread.join(F.broadcast(table), "gram", "left").filter("w is not null or line = 0")
     # sums per paragraph: scores per family and shared 2-grams per template
     sums = [F.coalesce(F.sum(F.element_at("w", k + 1)), F.lit(0.0)).alias(f"s{k}") for k in range(len(FAMILIES))]
     hits = [F.count_if(F.array_contains("t", k)).alias(f"t{k}") for k in range(len(sizes))]

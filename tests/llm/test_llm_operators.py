@@ -373,6 +373,55 @@ def test_licenses(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def licences_by_hand(text):
+    """The classifier and the templates on every paragraph, without a filter before them."""
+    weights, biases, scale = licenses.trained()
+    families, n, unknown, best_p = set(), 0, 0, 0.0
+    for paragraph in re.split(licenses.paragraph_break(), text or ""):
+        w = licenses.words_of(paragraph)
+        z = (np.array(biases) + sum((np.array(weights[g]) for g in licenses.grams_of(w) if g in weights), np.zeros(len(licenses.FAMILIES)))) * scale
+        label = int(z.argmax())
+        p = float(1 / np.exp(z - z.max()).sum())
+        own = {g for g in licenses.grams_of(w, 2) if " " in g}
+        fit = 0.0
+        for t in licenses.TEMPLATES.get(licenses.FAMILIES[label], []):
+            grams = {g for g in licenses.grams_of(licenses.words_of(t), 2) if " " in g}
+            fit = max(fit, len(own & grams) / max(1, len(grams)), len(own & grams) / len(own) if len(own) >= 3 else 0)
+        if label and p >= licenses.LEAST_PROBABILITY and fit >= licenses.CONFIRM:
+            families.add(licenses.FAMILIES[label])
+            n += 1
+            best_p = max(best_p, p)
+        elif label and set(w) & set(licenses.ANCHORS):
+            unknown += 1
+    return ",".join(sorted(families)), n, unknown, round(best_p, 9)
+
+
+def test_licenses_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    pool = [w for ts in licenses.TEMPLATES.values() for t in ts for w in t.split()] + ["the", "of", "by", "to", "house", "old"]
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            t = str(rng.choice([x for ts in licenses.TEMPLATES.values() for x in ts])).split()
+            a = rng.integers(0, len(t))
+            piece = t[a : a + rng.integers(1, len(t) + 1)] if rng.random() < 0.7 else list(rng.choice(pool, rng.integers(1, 9)))
+            parts.append(" ".join([*rng.choice(pool, rng.integers(0, 4)), *piece]))
+        texts.append(str(rng.choice(["\n", ".\n", "\n\n", " "])).join(parts))
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += [None, "", "\n\n", "of the by the of the", "Licensed under the Apache\nLicense, Version 2.0", "x " * 50_000 + "\nReleased under the MIT License.\n" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.families, r.n_licences, r.n_unknown, round(r.probability, 9)) for r in licenses.scan(df).collect()}
+    want = {k: licences_by_hand(t) for k, t in enumerate(texts)}
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
+    assert all(abs(got[k][3] - want[k][3]) < 1e-6 for k in want)
+
+
+def test_licenses_held_out():
+    errors = licenses.held_out_errors()
+    assert max(errors.values()) <= 0.2 and sum(errors.values()) / len(errors) < 0.08
+
+
 def test_licenses_without_anchor(spark):
     texts = ["All rights reserved.", "use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "x\nis hereby granted, free of charge, to any person obtaining a copy of this software\ny", "it was of\nthe house", "end of this\nsoftware"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
