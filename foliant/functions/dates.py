@@ -33,5 +33,6 @@ def edit(text: Column) -> Column:
     return F.struct(F.when(text.isNull(), "keep").when(F.trim(text) == "", "clear").when(parsed.isNull(), "invalid").otherwise("set").alias("state"), parsed.alias("value"))
 
 
-def precision_rank(precision: Column) -> Column:
-    return F.when(precision == "year", 0).when(precision == "month", 1).when(precision == "day", 2)
+def draft(iso: Column, precision: Column) -> Column:
+    """The known part of a date for editing, empty for none; saved as it is, it changes nothing."""
+    return F.coalesce(display(iso, precision, F.lit(False)), F.lit(""))

@@ -78,6 +78,10 @@ def safe_extension(ext: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.substring(F.regexp_replace(ext, "[^A-Za-z0-9]", ""), 1, 12)), F.lit("")), F.lit("bin"))
 
 
+def work_folder(work_id: Column) -> Column:
+    return F.format_string("library/%06d", work_id)
+
+
 def relative_path(work_id: Column, version: Column, ext: Column) -> Column:
     plain = F.format_string("library/%06d/work.%s", work_id, safe_extension(ext))
     return F.when(version <= 1, plain).otherwise(F.format_string("library/%06d/work.v%d.%s", work_id, version, safe_extension(ext)))

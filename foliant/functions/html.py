@@ -98,8 +98,9 @@ def clean(text: str) -> str:
     return " ".join(text.split())
 
 
-WORK_ID = re.compile(r"/works/([0-9]+)")
-STATS = ("Published", "Completed", "Updated", "Words", "Chapters")
+# Labels of the statistics line, and of the tag groups in their order.
+STATS = ("Published", "Completed", "Words", "Chapters")
+GROUPS = {"rating": "rating", "warnings": "archive warning", "category": "category", "fandoms": "fandom", "relationships": "relationship", "characters": "characters", "additional": "additional tags"}
 
 
 def work_id(url: str | None) -> str | None:
@@ -117,22 +118,64 @@ def relation_kind(label: str) -> str | None:
     return None
 
 
+def first_text(nodes: list[Node]) -> str | None:
+    """Text of the first node, if it has any."""
+    return (clean(nodes[0].text()) or None) if nodes else None
+
+
+def within(node: Node, tag: str, name: str) -> bool:
+    """Whether node lies in an element of the tag and class."""
+    while node.parent:
+        node = node.parent
+        if node.tag == tag and node.has(name):
+            return True
+    return False
+
+
+def work_link(nodes: list[Node]) -> str | None:
+    """The first link to a work in a message paragraph."""
+    links = (a.attrs.get("href") for n in nodes if n.tag == "p" and n.has("message") for a in n.walk() if a.tag == "a")
+    return next((x for x in links if work_id(x)), None)
+
+
+def related_item(item: Node) -> dict | None:
+    """A line of the list of related works: its kind, the first link to a work, the first author and language in it."""
+    kind = relation_kind(clean(item.text()))
+    if not kind:
+        return None
+    inside = list(item.walk())
+    links = [a for a in inside if a.tag == "a" and a.attrs.get("href")]
+    work = next((a for a in links if work_id(a.attrs["href"])), None)
+    author = next((a for a in links if not work_id(a.attrs["href"]) and a.attrs.get("rel") == "author"), None)
+    span = next((n for n in inside if n.tag == "span" and n.attrs.get("lang")), None)
+    return {
+        "kind": kind, "work_id": work_id(work.attrs["href"]) if work else None, "url": work.attrs["href"] if work else None, "title": clean(work.text()) if work else None,
+        "author": clean(author.text()) if author else None, "language": span.attrs["lang"] if span else None, "language_label": clean(span.text()) if span else None,
+    }
+
+
+def summary_of(nodes: list[Node]) -> str | None:
+    """The quotation after the paragraph "Summary"; another paragraph before it means that there is none."""
+    for n in nodes:
+        if n.tag == "p" and clean(n.text()).lower() == "summary":
+            follower = next((a for a in n.after() if a.tag in ("blockquote", "p")), None)
+            if follower and follower.tag == "blockquote":
+                return clean(follower.text()) or None
+            return None
+    return None
+
+
 def parse_download(html: str) -> dict | None:
-    """Metadata of a downloaded work page, or None unless its id and title are there."""
+    """Metadata of a downloaded work page, or None unless its message links to a work."""
     tree = _Tree()
     tree.feed(html)
     nodes = list(tree.root.walk())
-    url = next((n.attrs.get("href") for n in nodes if n.tag == "a" and work_id(n.attrs.get("href"))), None)
-    title = next((clean(n.text()) for n in nodes if n.tag == "h1" and clean(n.text())), None)
-    if not url or not title:
+    url = work_link(nodes)
+    if not url:
         return None
-    author = next((clean(n.text()) for n in nodes if n.tag == "a" and n.attrs.get("rel") == "author"), None)
-    summary = None
-    for n in nodes:
-        if n.tag == "p" and clean(n.text()).lower() == "summary":
-            quote = next((a for a in n.after()[:1] if a.tag == "blockquote"), None)
-            summary = quote and clean(quote.text())
-            break
+    heads, authors = [n for n in nodes if n.tag == "h1"], [n for n in nodes if n.tag == "a" and n.attrs.get("rel") == "author"]
+    title = first_text([n for n in heads if within(n, "div", "meta")]) or first_text(heads)
+    author = first_text([n for n in authors if within(n, "div", "byline")]) or first_text(authors)
     labels: dict[str, list[str]] = {}
     related: list[dict] = []
     box = next((n for n in nodes if n.tag == "dl" and n.has("tags")), None)
@@ -146,25 +189,26 @@ def parse_download(html: str) -> dict | None:
                 labels.setdefault(label, []).extend(links or [clean(n.text())])
             else:
                 label = None
-        listed = next((n for n in box.after() if n.tag in ("ul", "ol")), None)
-        for item in [n for n in listed.elements() if n.tag == "li"] if listed else []:
-            link = next((a for a in item.walk() if a.tag == "a" and work_id(a.attrs.get("href"))), None)
-            kind = relation_kind(clean(item.text()))
-            if link and kind:
-                related.append({"kind": kind, "work_id": work_id(link.attrs["href"]), "title": clean(link.text())})
+        listed = next((n for n in box.after() if n.tag in ("ul", "ol") or n.attrs.get("id") == "chapters"), None)
+        if listed and listed.tag in ("ul", "ol"):
+            related = [r for n in listed.walk() if n.tag == "li" and (r := related_item(n))]
     get = lambda name: [v for v in labels.get(name, []) if v]
-    prose = " ".join(get("stats"))
+    prose = (get("stats") or [""])[0]
     stat = {}
     for name in STATS:
         m = re.search(rf"{name}:(.*?)(?={'|'.join(s + ':' for s in STATS)}|$)", prose, re.S)
         stat[name] = m[1].strip() if m and m[1].strip() else None
     digits = re.sub("[^0-9]", "", stat["Words"] or "")
-    tags = [t for name in ("rating", "archive warning", "category", "fandom", "relationship", "characters", "additional tags") for t in get(name)]
-    return {"work_id": work_id(url), "url": url, "title": title, "author": author, "summary": summary, "language_label": (get("language") or [None])[0], "tags": tags, "published": stat["Published"], "completed": stat["Completed"], "words": int(digits) if digits else None, "chapters": stat["Chapters"], "related": related}
+    groups = {field: get(label) for field, label in GROUPS.items()}
+    return {
+        "work_id": work_id(url), "url": url, "title": title, "author": author, "summary": summary_of(nodes), "language_label": (get("language") or [None])[0], "tags": [t for values in groups.values() for t in values], **groups, "collections": get("collections"),
+        "published": stat["Published"], "completed": stat["Completed"], "words": int(digits) if digits else None, "chapters": stat["Chapters"], "related": related,
+    }
 
 
-PARSED = "work_id string, url string, title string, author string, summary string, language_label string, tags array<string>, published string, completed string, words bigint, chapters string, related array<struct<kind:string,work_id:string,title:string>>"
-EMPTY = {name.split()[0]: None for name in ("work_id", "url", "title", "author", "summary", "language_label", "tags", "published", "completed", "words", "chapters", "related")}
+LISTS = (*GROUPS, "collections")
+PARSED = f"work_id string, url string, title string, author string, summary string, language_label string, tags array<string>, {', '.join(f'{g} array<string>' for g in LISTS)}, published string, completed string, words bigint, chapters string, related array<struct<kind:string,work_id:string,url:string,title:string,author:string,language:string,language_label:string>>"
+EMPTY = dict.fromkeys(("work_id", "url", "title", "author", "summary", "language_label", "tags", *LISTS, "published", "completed", "words", "chapters", "related"))
 
 
 def _texts(pages: pd.Series) -> pd.Series:
@@ -181,7 +225,7 @@ def _parse(pages: pd.Series) -> pd.DataFrame:
 
 
 def parse(html: Column) -> Column:
-    """The parsed work; null unless its id and title are there."""
+    """The parsed work; null unless its id is there."""
     got = F.pandas_udf(_parse, PARSED)(html)
     return F.when(got["work_id"].isNotNull(), got)
 

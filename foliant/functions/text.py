@@ -21,8 +21,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normalisation, for which Spark has no function."""
-    return F.pandas_udf(_nfkc, "string")(text)
+    """Compatibility normalisation, for which Spark has no function; ASCII is normal and stays in the JVM."""
+    plain = F.length(text) == F.octet_length(text)
+    return F.when(plain, text).otherwise(F.pandas_udf(_nfkc, "string")(F.when(~plain, text)))
 
 
 def fold(text: Column, normalised: bool = False) -> Column:
@@ -40,11 +41,6 @@ def terms(folded: Column) -> Column:
     return F.filter(F.split(folded, " "), lambda t: t != "")
 
 
-def matches_all(folded_text: Column, folded_query: Column) -> Column:
-    """Every term of the query is a substring; a query without terms matches."""
-    return F.forall(terms(folded_query), lambda t: F.contains(folded_text, t))
-
-
 def matches_terms(folded_text: Column, folded_terms: list[str]) -> Column:
     """The same for terms known when the plan is made."""
     out = folded_text.isNotNull()
@@ -53,11 +49,6 @@ def matches_terms(folded_text: Column, folded_terms: list[str]) -> Column:
     return out
 
 
-def flat_relevance(folded_text: Column, folded_query: Column) -> Column:
-    """Per term 3 for the whole text, 2 for its beginning, 1 for a place in it, summed."""
-    return F.aggregate(terms(folded_query), F.lit(0), lambda a, t: a + strength(folded_text, t))
-
-
 def strength(folded_text: Column, term: Column) -> Column:
     return F.when(folded_text == term, 3).when(F.startswith(folded_text, term), 2).when(F.contains(folded_text, term), 1).otherwise(0)
 

@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FAR = 2**62
-
+from foliant import storage
+from foliant.functions import text
 
-def _store(df: DataFrame) -> DataFrame:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/foliant"
-    path = f"{base.rstrip('/')}/foliant/claims-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+FAR = 2**62
 
 
-def claim(ranks: DataFrame, claims: DataFrame) -> DataFrame:
-    """ranks: id, rank. claims: (claimer, member). Gives id, rank and anchor, as the walk in rank order would.
+def claim(ranks: DataFrame, claimers: DataFrame, members: DataFrame) -> DataFrame:
+    """ranks: id, rank. claimers: (claimer, via), members: (via, member); a claimer claims the members of its via.
+    Gives id, rank and anchor, as the walk in rank order would.
 
     Rounds over undecided works: with an anchor among the works that would claim it and no undecided one before
-    that, a work joins the first such anchor; without undecided ones it is an anchor. Each round is a written table.
+    that, a work joins the first such anchor; without undecided ones it is an anchor. Per via only the first anchor
+    and the first undecided claimer count, so a via of n works costs n rows a round and not n * n. Each round is a
+    written table.
     """
     rank_of = lambda name: ranks.select(F.col("id").alias(name), F.col("rank").alias(f"{name}_rank"))
-    before = _store(claims.filter("claimer <> member").distinct().join(rank_of("claimer"), "claimer").join(rank_of("member"), "member").filter("claimer_rank < member_rank").select("claimer", "member", "claimer_rank"))
-    state = _store(ranks.select("id", "rank", F.lit(None).cast("long").alias("anchor")))
+    claiming = storage.store(claimers.distinct().join(rank_of("claimer"), "claimer"), "claimers")
+    claimed = storage.store(members.distinct().join(rank_of("member"), "member"), "members")
+    state = storage.store(ranks.select("id", "rank", F.lit(None).cast("long").alias("anchor")), "anchors")
     while True:
-        seen = before.join(state.select(F.col("id").alias("claimer"), F.col("anchor").alias("a")), "claimer")
-        judged = seen.groupBy(F.col("member").alias("id")).agg(F.min(F.when(F.col("a") == F.col("claimer"), F.struct("claimer_rank", "claimer"))).alias("first"), F.min(F.when(F.col("a").isNull(), F.col("claimer_rank"))).alias("open"))
+        seen = claiming.join(state.select(F.col("id").alias("claimer"), F.col("anchor").alias("a")), "claimer")
+        per_via = seen.groupBy("via").agg(F.min(F.when(F.col("a") == F.col("claimer"), F.struct("claimer_rank", "claimer"))).alias("v"), F.min(F.when(F.col("a").isNull(), F.col("claimer_rank"))).alias("u"))
+        met = claimed.join(per_via, "via")
+        judged = met.groupBy(F.col("member").alias("id")).agg(F.min(F.when(F.col("v.claimer_rank") < F.col("member_rank"), F.col("v"))).alias("first"), F.min(F.when(F.col("u") < F.col("member_rank"), F.col("u"))).alias("open"))
         joined = state.join(judged, "id", "left")
         decided = F.when(F.col("first").isNotNull() & (F.coalesce("open", F.lit(FAR)) > F.col("first.claimer_rank")), F.col("first.claimer")).when(F.col("first").isNull() & F.col("open").isNull(), F.col("id"))
-        state = _store(joined.select("id", "rank", F.coalesce("anchor", decided).alias("anchor")))
+        step = storage.store(joined.select("id", "rank", F.coalesce("anchor", decided).alias("anchor")), "anchors")
+        storage.discard(state)
+        state = step
         if not state.filter("anchor is null").limit(1).count():
+            storage.discard(claiming)
+            storage.discard(claimed)
             return state
 
 
@@ -48,17 +52,26 @@ def by_translation(ranked: DataFrame, relations: DataFrame) -> DataFrame:
     """ranked: id, rank, translation_role. Originals first, then translations, then others."""
     from foliant.operators.view import edges
 
-    near = edges(relations).select(F.col("work_id").alias("claimer"), F.col("other_id").alias("member"))
+    both = edges(relations)
+    claimers = both.select(F.col("work_id").alias("claimer"), F.col("work_id").alias("via"))
+    members = both.select(F.col("work_id").alias("via"), F.col("other_id").alias("member"))
     role = F.when(F.col("translation_role") == "original", 0).when(F.col("translation_role") == "translation", 1).otherwise(2)
-    grouped = claim(ranked.select("id", "rank"), near).join(ranked.select("id", "translation_role"), "id")
+    grouped = claim(ranked.select("id", "rank"), claimers, members).join(ranked.select("id", "translation_role"), "id")
     return emit(grouped, [role])
 
 
-def by_series(ranked: DataFrame, works_series: DataFrame) -> DataFrame:
+def first_series(works_series: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """work_id and the series that comes first: by name without case where series (series_id, name) is given, else by id."""
+    if series is None:
+        return works_series.groupBy("work_id").agg(F.min("series_id").alias("series_id"))
+    named = works_series.join(series.select("series_id", text.nocase(F.col("name")).alias("_name")), "series_id", "left")
+    return named.groupBy("work_id").agg(F.min(F.struct("_name", "series_id"))["series_id"].alias("series_id"))
+
+
+def by_series(ranked: DataFrame, works_series: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """An anchor claims the works that are in its first series; members stand by their position in it."""
-    first = works_series.groupBy(F.col("work_id").alias("claimer")).agg(F.min("series_id").alias("series_id"))
-    near = first.join(works_series.select("series_id", F.col("work_id").alias("member")), "series_id").select("claimer", "member")
-    grouped = claim(ranked.select("id", "rank"), near)
+    first = first_series(works_series, series).withColumnRenamed("work_id", "claimer")
+    grouped = claim(ranked.select("id", "rank"), first.withColumnRenamed("series_id", "via"), works_series.select(F.col("series_id").alias("via"), F.col("work_id").alias("member")))
     own = first.select(F.col("claimer").alias("anchor"), "series_id")
     at = works_series.select(F.col("work_id").alias("id"), "series_id", "position")
     return emit(grouped.join(own, "anchor", "left").join(at, ["id", "series_id"], "left"), [F.col("position").asc_nulls_last()])

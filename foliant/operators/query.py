@@ -7,11 +7,14 @@ import operator
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant import storage
 from foliant.functions import text
 
+#: Titles sort as in Chinese libraries: Latin by letters, Han by pinyin.
+TITLE_COLLATION = "zh_Hans_CHN"
 SCOPES = ("title", "author", "tag", "comment", "summary", "lang")
 # Weight of a match in each scope.
 WEIGHTS = {"title": 100, "author": 40, "tag": 30, "lang": 20, "comment": 15, "summary": 10}
@@ -102,7 +105,7 @@ def select(works: DataFrame, options: Options) -> DataFrame:
 
 
 def sort_keys(options: Options) -> list[Column]:
-    column = {"published": F.col("published_at"), "words": F.col("word_count"), "added": F.col("id"), "title": F.col("title")}[options.sort]
+    column = {"published": F.col("published_at"), "words": F.col("word_count"), "added": F.col("id"), "title": F.collate("title", TITLE_COLLATION)}[options.sort]
     down = options.descending
     keys = [F.col("relevance").desc()] if options.search.strip() else []
     if options.sort == "published" and options.undated == "observed":
@@ -114,23 +117,20 @@ def sort_keys(options: Options) -> list[Column]:
 
 
 def ranked(works: DataFrame, options: Options) -> DataFrame:
-    """Selected works with row_no. The ranks come from a range-partitioned sort and offsets per partition, not from
-    one task: rows of a sorted partition are numbered within it and lifted by the sizes of the partitions before."""
-    chosen = select(works, options).orderBy(*sort_keys(options))
-    placed = chosen.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # one row per partition
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.join(offsets, "_p").withColumn("row_no", F.col("_k") + F.col("_o") + 1).drop("_p", "_k", "_o")
+    """Selected works with row_no, all columns kept."""
+    return storage.numbered(select(works, options), sort_keys(options), "row_no")
 
 
 def language_facets(works: DataFrame) -> DataFrame:
-    """Per code the number of works and the label of the first one."""
+    """Per code the number of works, the label of the first one and the place in the list: most works first."""
     coded = works.filter(F.coalesce("language", F.lit("")) != "")
-    return coded.groupBy("language").agg(F.count("*").alias("n_works"), F.min_by(F.coalesce("language_label", "language"), "id").alias("label"))
+    found = coded.groupBy("language").agg(F.count("*").alias("n_works"), F.min_by(F.coalesce("language_label", "language"), "id").alias("label"))
+    return storage.numbered(found, [F.col("n_works").desc(), F.col("language")], "place")
 
 
 def tag_facets(work_tags: DataFrame) -> DataFrame:
-    """Per case-folded tag the number of works and the spelling of the first one."""
+    """Per case-folded tag the number of works, the spelling of the first one and the place in the list."""
     keyed = work_tags.withColumn("tag_key", F.lower("name"))
     per_work = keyed.groupBy("tag_key", "work_id").agg(F.min("name").alias("name"))
-    return per_work.groupBy("tag_key").agg(F.count("*").alias("n_works"), F.min_by("name", "work_id").alias("name"))
+    found = per_work.groupBy("tag_key").agg(F.count("*").alias("n_works"), F.min_by("name", "work_id").alias("name"))
+    return storage.numbered(found, [F.col("n_works").desc(), F.col("tag_key")], "place")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions import dates, formats, html, text
+from foliant.functions import codes, dates, formats, html, text
 from foliant.operators import group, query, view
 from foliant.plans import ingest
 from foliant.sources import catalog
@@ -75,12 +75,12 @@ def library_counts(spark, sf_dir):
     return view.counts(*[table(spark, sf_dir, n) for n in ("works", "files", "relations", "pending")])
 
 
-@query_of("language_facets", "SELECT language, count(*) AS n_works, min_by(coalesce(language_label, language), id) AS label FROM works WHERE language IS NOT NULL GROUP BY language", ("works",))
+@query_of("language_facets", "SELECT language, count(*) AS n_works, min_by(coalesce(language_label, language), id) AS label, row_number() OVER (ORDER BY count(*) DESC, language) AS place FROM works WHERE language IS NOT NULL GROUP BY language", ("works",))
 def language_facets(spark, sf_dir):
     return query.language_facets(table(spark, sf_dir, "works"))
 
 
-@query_of("tag_facets", "SELECT lower(name) AS tag_key, count(DISTINCT work_id) AS n_works, min_by(name, work_id) AS name FROM work_tags GROUP BY 1", ("work_tags",))
+@query_of("tag_facets", "SELECT lower(name) AS tag_key, count(DISTINCT work_id) AS n_works, min_by(name, work_id) AS name, row_number() OVER (ORDER BY count(DISTINCT work_id) DESC, lower(name)) AS place FROM work_tags GROUP BY lower(name)", ("work_tags",))
 def tag_facets(spark, sf_dir):
     return query.tag_facets(table(spark, sf_dir, "work_tags"))
 
@@ -135,14 +135,14 @@ def group_series(spark, sf_dir):
     return group.by_series(ranked, table(spark, sf_dir, "works_series")).select("id", "anchor", "group_rank", "group_size", "place")
 
 
-@query_of("related_works", "SELECT x AS work_id, y AS other_id, title AS other_title, published_at AS other_published FROM (SELECT work_a AS x, work_b AS y FROM relations UNION ALL SELECT work_b, work_a FROM relations) JOIN works ON id = y", ("works", "relations"))
+@query_of("related_works", "SELECT x AS work_id, y AS other_id, title AS other_title, published_at AS other_published, row_number() OVER (PARTITION BY x ORDER BY published_at NULLS LAST, y) AS place FROM (SELECT work_a AS x, work_b AS y FROM relations UNION ALL SELECT work_b, work_a FROM relations) JOIN works ON id = y", ("works", "relations"))
 def related_works(spark, sf_dir):
-    return view.related_works(table(spark, sf_dir, "relations"), table(spark, sf_dir, "works")).select("work_id", "other_id", "other_title", "other_published")
+    return view.related_works(table(spark, sf_dir, "relations"), table(spark, sf_dir, "works")).select("work_id", "other_id", "other_title", "other_published", F.col("place").cast("long").alias("place"))
 
 
-@query_of("pending_context", "SELECT p.external_id, p.from_work_id, p.title, coalesce(w.title, '') AS from_title FROM pending p LEFT JOIN works w ON p.from_work_id = w.id WHERE NOT p.dismissed", ("works", "pending"))
+@query_of("pending_context", "SELECT p.external_id, p.from_work_id, p.title, coalesce(w.title, '') AS from_title, row_number() OVER (ORDER BY p.title NULLS LAST, p.external_id, p.from_work_id) AS place FROM pending p LEFT JOIN works w ON p.from_work_id = w.id WHERE NOT p.dismissed", ("works", "pending"))
 def pending_context(spark, sf_dir):
-    return view.pending_with_context(table(spark, sf_dir, "pending"), table(spark, sf_dir, "works")).select("external_id", "from_work_id", "title", "from_title")
+    return view.pending_with_context(table(spark, sf_dir, "pending"), table(spark, sf_dir, "works")).select("external_id", "from_work_id", "title", "from_title", "place")
 
 
 @query_of("series_sizes", "SELECT work_id, series_id, position, count(*) OVER (PARTITION BY series_id) AS series_size FROM works_series", ("works_series",))
@@ -171,10 +171,16 @@ def merge_candidates(spark, sf_dir):
     return view.merge_candidates(table(spark, sf_dir, "works"), table(spark, sf_dir, "files"))
 
 
-@query_of("format_labels", "SELECT work_id, seq, format_detail, CASE WHEN format_class = 'other' THEN 'Other · ' || upper(format_detail) ELSE upper(format_detail) END AS label, CASE WHEN size_bytes < 1024 THEN size_bytes::VARCHAR || ' B' ELSE 'large' END AS size FROM files", ("files",))
+@query_of(
+    "format_labels",
+    """, sized AS (SELECT *, size_bytes * CASE seq % 3 WHEN 0 THEN 1 WHEN 1 THEN 977 ELSE 991013 END AS n FROM files)
+SELECT work_id, seq, format_detail, CASE WHEN format_class = 'other' THEN 'Other · ' || upper(format_detail) ELSE upper(format_detail) END AS label,
+ CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN (floor(n * 10 / 1024.0::DECIMAL(38, 1) + 0.5) / 10)::DECIMAL(18, 1)::VARCHAR || ' KB' ELSE (floor(n * 10 / 1048576.0::DECIMAL(38, 1) + 0.5) / 10)::DECIMAL(18, 1)::VARCHAR || ' MB' END AS size FROM sized""",
+    ("files",),
+)
 def format_labels(spark, sf_dir):
-    size = F.when(F.col("size_bytes") < 1024, formats.bytes_display(F.col("size_bytes"))).otherwise("large")
-    return table(spark, sf_dir, "files").select("work_id", "seq", "format_detail", formats.format_label(F.col("format_class"), F.col("format_detail")).alias("label"), size.alias("size"))
+    n = F.col("size_bytes") * F.when(F.col("seq") % 3 == 0, 1).when(F.col("seq") % 3 == 1, 977).otherwise(991013)
+    return table(spark, sf_dir, "files").select("work_id", "seq", "format_detail", formats.format_label(F.col("format_class"), F.col("format_detail")).alias("label"), formats.bytes_display(n).alias("size"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,9 +204,16 @@ def content_duplicates(spark, sf_dir):
     return hashed.join(owner, "file_hash").select("doc_id", "file_hash", "owner", (F.col("doc_id") > F.col("owner")).alias("batch_repeat"))
 
 
-@query_of("language_guess", "SELECT doc_id, CAST(NULL AS VARCHAR) AS guess, coalesce(len(regexp_extract_all(text, '[\\p{L}\\p{N}]')), 0)::BIGINT AS n_letters FROM documents")
+@query_of(
+    "language_guess",
+    r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN '漢字仮名' || substr(text, 1, 20) WHEN 2 THEN 'かな' || substr(text, 1, 80) WHEN 3 THEN '한국어로' || substr(text, 1, 40) ELSE text END AS t FROM documents),
+c AS (SELECT doc_id, coalesce(len(regexp_extract_all(t, '[\p{L}\p{N}]')), 0)::BIGINT AS n_letters, coalesce(len(regexp_extract_all(t, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]')), 0) AS han, coalesce(len(regexp_extract_all(t, '[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}]')), 0) AS kana, coalesce(len(regexp_extract_all(t, '[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}]')), 0) AS hangul FROM t)
+SELECT doc_id, CASE WHEN n_letters = 0 THEN NULL WHEN kana * 100 > n_letters THEN 'ja' WHEN hangul * 100 > 5 * n_letters THEN 'ko' WHEN han * 100 > 15 * n_letters THEN 'zh' END AS guess, n_letters FROM c""",
+)
 def language_guess(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.guess_language(F.col("text")).alias("guess"), text.script_counts(F.col("text"))["total"].alias("n_letters"))
+    mixed = F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("漢字仮名"), F.substring("text", 1, 20))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("かな"), F.substring("text", 1, 80))).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("한국어로"), F.substring("text", 1, 40))).otherwise(F.col("text"))
+    rows = docs(spark, sf_dir).select("doc_id", mixed.alias("t"))
+    return rows.select("doc_id", text.guess_language(F.col("t")).alias("guess"), text.script_counts(F.col("t"))["total"].alias("n_letters"))
 
 
 @query_of("matching_documents", r"SELECT doc_id FROM documents WHERE contains(' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', 'token') AND contains(lower(text), 'the')")
@@ -216,10 +229,14 @@ def page_text(spark, sf_dir):
 
 @query_of(
     "loose_dates",
-    "SELECT o_orderkey AS id, substr(cast(cast(o_orderdate AS date) AS string), 1, 7) || '-01' AS iso, 'month' AS date_precision FROM orders",
+    """WITH d AS (SELECT o_orderkey AS id, o_orderkey % 8 AS kind, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m') AS m, strftime(o_orderdate, '%d') AS day FROM orders)
+SELECT id, CASE WHEN kind IN (4, 5, 6) THEN NULL WHEN kind IN (0, 7) THEN y || '-01-01' WHEN kind = 1 THEN y || '-' || m || '-01' ELSE y || '-' || m || '-' || day END AS iso,
+ CASE WHEN kind IN (4, 5, 6) THEN NULL WHEN kind IN (0, 7) THEN 'year' WHEN kind = 1 THEN 'month' ELSE 'day' END AS date_precision FROM d""",
 )
 def loose_dates(spark, sf_dir):
-    written = F.translate(F.substring(F.col("o_orderdate").cast("date").cast("string"), 1, 7), "-", "/")
+    kind, at = F.col("o_orderkey") % 8, F.col("o_orderdate")
+    written = F.when(kind == 0, F.date_format(at, "yyyy")).when(kind == 1, F.date_format(at, "yyyy/MM")).when(kind == 2, F.date_format(at, "yyyy.M.d")).when(kind == 3, F.concat(F.lit(" "), F.date_format(at, "yyyy-MM-dd"), F.lit(" ")))
+    written = written.when(kind == 4, F.date_format(at, "yyyy-'13'")).when(kind == 5, F.date_format(at, "yyyy-MM-'32'")).when(kind == 6, F.date_format(at, "yyyy-MM-dd-'1'")).otherwise(F.date_format(at, "yyyy-'xx'-dd"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), dates.parse_loose(written).alias("d")).select("id", "d.iso", F.col("d.precision").alias("date_precision"))
 
 
@@ -269,9 +286,202 @@ def pending_resolved(spark, sf_dir):
     return left.select("external_id", "from_work_id")
 
 
-@query_of("read_model")
+@query_of(
+    "read_model",
+    r""", f AS (SELECT *, max(version) OVER (PARTITION BY work_id, format_detail) AS latest FROM files),
+fl AS (SELECT work_id, string_agg(format_detail || ':' || version || ':' || CASE WHEN version = latest THEN 'current' ELSE 'archived' END, ' ' ORDER BY version <> latest, CASE format_class WHEN 'html' THEN 0 WHEN 'pdf' THEN 1 ELSE 2 END, version DESC, format_detail) AS files FROM f GROUP BY work_id),
+tg AS (SELECT work_id, string_agg(name, '|' ORDER BY lower(name), name) AS tags FROM work_tags GROUP BY work_id),
+sr AS (SELECT work_id, string_agg(series_id || ':' || coalesce(position::VARCHAR, '-'), ' ' ORDER BY series_id) AS series FROM works_series GROUP BY work_id),
+rl AS (SELECT x AS work_id, string_agg(y::VARCHAR, ' ' ORDER BY y) AS related FROM (SELECT DISTINCT work_a AS x, work_b AS y FROM relations UNION SELECT work_b, work_a FROM relations) GROUP BY x)
+SELECT id, files, coalesce(tags, '') AS tags, series, related, sha256(trim(regexp_replace(lower(concat_ws(' ', title, coalesce(author, ''), coalesce(summary, ''), coalesce(language_label, ''), coalesce(tags, ''))), '[^a-z0-9]+', ' ', 'g'))) AS search_sha256
+FROM works LEFT JOIN fl ON id = fl.work_id LEFT JOIN tg ON id = tg.work_id LEFT JOIN sr ON id = sr.work_id LEFT JOIN rl ON id = rl.work_id""",
+    ("works", "files", "work_tags", "works_series", "relations"),
+)
 def read_model(spark, sf_dir):
-    return view.work_view(*[table(spark, sf_dir, n) for n in ("works", "files", "work_tags", "works_series", "relations")])
+    rows = view.work_view(*[table(spark, sf_dir, n) for n in ("works", "files", "work_tags", "works_series", "relations")])
+    listed = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["format_detail"], f["version"].cast("string"), f["role"])), " ")
+    series = F.array_join(F.transform("series", lambda x: F.concat_ws(":", x["series_id"].cast("string"), F.coalesce(x["position"].cast("string"), F.lit("-")))), " ")
+    return rows.select("id", listed.alias("files"), F.array_join("tags", "|").alias("tags"), series.alias("series"), F.array_join(F.col("related").cast("array<string>"), " ").alias("related"), F.sha2("search_text", 256).alias("search_sha256"))
+
+
+def batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as files to import, works that exist, and files that these have."""
+    rows = docs(spark, sf_dir).filter("doc_id is not null")
+    digest = F.sha2("text", 256).alias("file_hash")
+    detail = F.when(F.col("doc_id") % 2 == 1, "txt").otherwise("html")
+    name = F.concat(F.lit("work"), (F.col("doc_id") % 150).cast("string"), F.lit("."), detail)
+    files = rows.select(F.concat(F.lit("in/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), name.alias("name"), F.struct(F.when(detail == "html", "html").otherwise("other").alias("class"), detail.alias("detail")).alias("format"), digest, F.length("text").cast("long").alias("size_bytes"), F.lit(None).cast(f"struct<{html.PARSED.replace(' ', ':').replace(',:', ',')}>").alias("parsed"), text.word_count(F.col("text")).alias("word_count"))
+    works = spark.range(100).select("id", F.concat(F.lit("Work"), F.col("id").cast("string")).alias("title"), F.lit(None).cast("string").alias("external_id"), F.lit(0).cast("long").alias("word_count"), F.lit("has_file").alias("status"))
+    stored = rows.filter("doc_id % 10 = 0").select((F.col("doc_id") % 60).alias("work_id"), F.when(F.col("doc_id") % 4 == 0, "txt").otherwise("html").alias("format_detail"), digest, F.lit(1).alias("version"))
+    return ingest.group_key(files), works, stored
+
+
+PLANNED = """WITH f AS (SELECT doc_id, 'in/' || lpad(doc_id::VARCHAR, 9, '0') AS path, doc_id % 150 AS stem, CASE WHEN doc_id % 2 = 1 THEN 'txt' ELSE 'html' END AS detail, sha256(text) AS h FROM documents WHERE doc_id IS NOT NULL),
+st AS (SELECT doc_id % 60 AS work_id, CASE WHEN doc_id % 4 = 0 THEN 'txt' ELSE 'html' END AS detail, sha256(text) AS h FROM documents WHERE doc_id % 10 = 0),
+a AS (SELECT f.*, hash_owner FROM f LEFT JOIN (SELECT h, min(work_id) AS hash_owner FROM st GROUP BY h) USING (h)),
+o AS (SELECT h, min(path) AS first_path, arg_min(stem, path) AS first_stem FROM a WHERE hash_owner IS NULL GROUP BY h),
+k AS (SELECT a.*, CASE WHEN hash_owner IS NOT NULL THEN 'work:' || hash_owner ELSE 'stem:work' || first_stem END AS group_key, hash_owner IS NULL AND path > first_path AS batch_repeat FROM a LEFT JOIN o USING (h)),
+g AS (SELECT group_key, coalesce(min(hash_owner), CASE WHEN arg_min(stem, path) < 100 THEN arg_min(stem, path) END) AS existing_work_id FROM k GROUP BY group_key),
+p AS (SELECT k.*, existing_work_id, min(CASE WHEN hash_owner IS NULL THEN path END) OVER (PARTITION BY k.group_key, k.detail) AS earliest FROM k JOIN g USING (group_key)),
+plan AS (SELECT path, group_key, existing_work_id, batch_repeat, h, CASE WHEN hash_owner IS NOT NULL THEN 'skipped_duplicate' WHEN existing_work_id IS NULL THEN 'create_work'
+  WHEN path > earliest OR EXISTS (SELECT 1 FROM st WHERE st.work_id = p.existing_work_id AND st.detail = p.detail) THEN 'keep_both' ELSE 'attach' END AS action FROM p)
+"""
+
+
+@query_of("plan_actions", PLANNED + "SELECT path, group_key, existing_work_id, batch_repeat, action FROM plan")
+def plan_actions(spark, sf_dir):
+    files, works, stored = batch(spark, sf_dir)
+    return ingest.plan_files(files, works, stored, keep_both=True).select("path", "group_key", "existing_work_id", "batch_repeat", "action")
+
+
+@query_of(
+    "plan_summary",
+    PLANNED + "SELECT count(DISTINCT CASE WHEN existing_work_id IS NULL THEN group_key END) AS works_new, count(DISTINCT CASE WHEN existing_work_id IS NOT NULL THEN group_key END) AS works_existing, count(*) AS files_total, count(*) FILTER (action <> 'skipped_duplicate') AS files_to_store, count(*) FILTER (action = 'skipped_duplicate') AS duplicates FROM plan",
+)
+def plan_summary(spark, sf_dir):
+    files, works, stored = batch(spark, sf_dir)
+    return ingest.summary(ingest.plan_files(files, works, stored, keep_both=True))
+
+
+@query_of(
+    "import_report",
+    PLANNED + "SELECT count(DISTINCT CASE WHEN existing_work_id IS NULL THEN group_key END) AS works_created, count(DISTINCT CASE WHEN existing_work_id IS NOT NULL THEN group_key END) AS works_matched, count(DISTINCT CASE WHEN action <> 'skipped_duplicate' THEN h END) AS files_stored, count(*) - count(DISTINCT CASE WHEN action <> 'skipped_duplicate' THEN h END) AS files_skipped, 0::BIGINT AS relations_stored, 0::BIGINT AS relations_pending FROM plan",
+)
+def import_report(spark, sf_dir):
+    files, works, stored = batch(spark, sf_dir)
+    none = spark.createDataFrame([], "work_a long, work_b long")
+    pending = spark.createDataFrame([], "external_id string, from_work_id long, title string, dismissed boolean")
+    plan = ingest.plan_files(files, works, stored, keep_both=True)
+    return ingest.execute({"works": works, "files": stored, "relations": none, "pending": pending}, plan)[1]
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with an id and a role."""
+    number = F.when(F.col("format_detail") == "html", 0).when(F.col("format_detail") == "pdf", 1).otherwise(2)
+    return view.current_versions(table(spark, sf_dir, "files")).withColumn("id", F.col("work_id") * 1000 + F.col("seq") * 3 + number)
+
+
+FILED = ", filed AS (SELECT *, work_id * 1000 + seq * 3 + CASE format_detail WHEN 'html' THEN 0 WHEN 'pdf' THEN 1 ELSE 2 END AS id, CASE WHEN version = max(version) OVER (PARTITION BY work_id, format_detail) THEN 'current' ELSE 'archived' END AS role FROM files)\n"
+
+
+@query_of("current_version_set", FILED + "SELECT id, CASE WHEN work_id % 2 = 1 THEN role WHEN version = 1 THEN 'current' ELSE 'archived' END AS role FROM filed", ("files",))
+def current_version_set(spark, sf_dir):
+    files = filed(spark, sf_dir)
+    return catalog.set_current(files, files.filter("work_id % 2 = 0 and version = 1").select("id")).select("id", "role")
+
+
+@query_of("versions_deleted", FILED + "SELECT id, role FROM filed WHERE NOT (work_id % 3 = 0 AND role = 'archived')", ("files",))
+def versions_deleted(spark, sf_dir):
+    files = filed(spark, sf_dir)
+    return catalog.delete_versions(files, files.filter("work_id % 3 = 0 and role = 'archived'").select("id")).select("id", "role")
+
+
+@query_of(
+    "files_stored",
+    """, top AS (SELECT work_id, format_detail, max(version) AS last FROM files GROUP BY ALL),
+n AS (SELECT id AS work_id, 'html' AS format_detail, unnest([1, 2]) AS k FROM works WHERE id % 3 = 0),
+v AS (SELECT n.work_id, n.format_detail, coalesce(last, 0) + k AS version, CASE WHEN k = 2 THEN 'current' ELSE 'archived' END AS role FROM n LEFT JOIN top USING (work_id, format_detail))
+SELECT work_id, format_detail, version, role FROM v UNION ALL
+SELECT work_id, format_detail, version, CASE WHEN work_id IN (SELECT work_id FROM v) AND format_detail = 'html' THEN 'archived' WHEN version = last THEN 'current' ELSE 'archived' END FROM files JOIN top USING (work_id, format_detail)""",
+    ("works", "files"),
+)
+def files_stored(spark, sf_dir):
+    files = view.current_versions(table(spark, sf_dir, "files")).withColumn("file_hash", F.concat_ws("-", "work_id", "format_detail", "seq"))
+    new = table(spark, sf_dir, "works").filter("id % 3 = 0").select(F.col("id").alias("work_id"), F.lit("html").alias("format_detail"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("seq"))
+    # the third has the bytes of the second
+    new = new.withColumn("file_hash", F.concat_ws("-", F.lit("new"), "work_id", F.least(F.col("seq"), F.lit(2)).cast("string")))
+    return catalog.store_files(files, new).select("work_id", "format_detail", F.col("version").cast("long").alias("version"), "role")
+
+
+@query_of("tags_replaced", "SELECT work_id, name FROM work_tags WHERE work_id % 5 <> 0 UNION ALL SELECT id, 'New' FROM works WHERE id % 5 = 0", ("works", "work_tags"))
+def tags_replaced(spark, sf_dir):
+    edits = table(spark, sf_dir, "works").filter("id % 5 = 0").select(F.col("id").alias("work_id"), F.array(F.lit(" New "), F.lit("new"), F.lit("")).alias("tags"))
+    return catalog.replace_tags(table(spark, sf_dir, "work_tags"), edits)[0].select("work_id", "name")
+
+
+@query_of(
+    "series_replaced",
+    """SELECT work_id, series_id, position FROM works_series WHERE work_id % 6 <> 0
+UNION ALL SELECT id, (SELECT max(series_id) FROM works_series) + 1 + CASE id % 4 WHEN 0 THEN 0 ELSE 1 END, 2 FROM works WHERE id % 6 = 0""",
+    ("works", "works_series"),
+)
+def series_replaced(spark, sf_dir):
+    links = table(spark, sf_dir, "works_series")
+    series = links.select("series_id").distinct().select("series_id", F.concat(F.lit("Series "), F.col("series_id").cast("string")).alias("name"))
+    part = (F.col("id") % 4).cast("string")
+    member = lambda name, position: F.struct(name.alias("name"), F.lit(position).cast(links.schema["position"].dataType).alias("position"))
+    edits = table(spark, sf_dir, "works").filter("id % 6 = 0").select(F.col("id").alias("work_id"), F.array(member(F.concat(F.lit(" Saga "), part), 1), member(F.concat(F.lit("saga "), part), 2), member(F.lit(" "), 3)).alias("memberships"))
+    return catalog.replace_series(links, series, edits)[0].select("work_id", "series_id", F.col("position").cast("long").alias("position"))
+
+
+@query_of(
+    "record_only_added",
+    "SELECT (SELECT max(id) FROM works) + row_number() OVER (ORDER BY 'Kept ' || lpad(c_custkey::VARCHAR, 9, '0')) AS id, 'Kept ' || lpad(c_custkey::VARCHAR, 9, '0') AS title, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS author, 'record_only' AS status, 0::BIGINT AS word_count FROM customer",
+    ("works",),
+)
+def record_only_added(spark, sf_dir):
+    works = table(spark, sf_dir, "works")
+    new = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit(" Kept "), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit("  ")).alias("title"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("  ").alias("author"))
+    return catalog.insert_record_only(works, new).filter(F.col("title").startswith("Kept ")).select("id", "title", "author", "status", "word_count")
+
+
+@query_of(
+    "works_edited",
+    """SELECT id, CASE WHEN id % 3 = 0 THEN 'New title' ELSE title END AS title, CASE WHEN id % 4 = 0 THEN NULL ELSE author END AS author,
+ CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2001-02-01' ELSE published_at END AS published_at, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'month' ELSE published_prec END AS published_prec,
+ CASE id % 5 WHEN 0 THEN false WHEN 1 THEN true ELSE date_is_approx END AS date_is_approx, CASE WHEN id % 7 = 0 THEN 5 ELSE word_count END::BIGINT AS word_count, CASE WHEN id % 7 = 0 THEN 'manual' ELSE word_count_source END AS word_count_source,
+ CASE WHEN id % 8 = 0 THEN 'record_only' ELSE status END AS status FROM works""",
+    ("works",),
+)
+def works_edited(spark, sf_dir):
+    works = table(spark, sf_dir, "works")
+    i = F.col("id")
+    edits = works.select(
+        "id", F.when(i % 3 == 0, " New title ").when(i % 3 == 1, " ").alias("title"), F.when(i % 4 == 0, "").alias("author"), F.when(i % 5 == 0, " ").when(i % 5 == 1, "2001/2").alias("published"),
+        F.lit(True).alias("published_approx"), F.when(i % 7 == 0, 5).otherwise(-1).cast("long").alias("word_count"), F.when(i % 8 == 0, "record_only").alias("status"),
+    )
+    return catalog.edit_works(works, edits).select("id", "title", "author", "published_at", "published_prec", "date_is_approx", "word_count", "word_count_source", "status")
+
+
+@query_of(
+    "source_tags_copied",
+    """, own AS (SELECT work_id, list_sort(list(DISTINCT name)) AS names FROM work_tags GROUP BY work_id)
+SELECT id AS work_id, concat_ws('|', array_to_string(coalesce(names, []), '|'), CASE WHEN NOT list_contains(list_transform(coalesce(names, []), lambda x: lower(x)), lower(summary)) THEN summary END, 'Extra') AS tags FROM works LEFT JOIN own ON id = own.work_id WHERE id % 2 = 0 AND names IS NOT NULL""",
+    ("works", "work_tags"),
+)
+def source_tags_copied(spark, sf_dir):
+    works = table(spark, sf_dir, "works").withColumn("source_tags", F.array("summary", F.lit("Extra")))
+    tags = table(spark, sf_dir, "work_tags")
+    merged = catalog.copy_source_tags(works, tags, tags.filter("work_id % 2 = 0").select("work_id"))
+    return merged.select("work_id", F.array_join("tags", "|").alias("tags"))
+
+
+@query_of(
+    "file_badges",
+    "SELECT work_id, count(*) AS n_files, bool_or(seq % 4 = 0) AS missing FROM files GROUP BY work_id",
+    ("files",),
+)
+def file_badges(spark, sf_dir):
+    files = table(spark, sf_dir, "files").withColumn("rel_path", F.concat_ws("/", "work_id", "format_detail", "seq"))
+    return view.file_badges(view.with_presence(files, files.filter("seq % 4 <> 0").select("rel_path")))
+
+
+@query_of(
+    "explanations",
+    """SELECT id, coalesce(substr(published_at, 1, CASE published_prec WHEN 'year' THEN 4 WHEN 'month' THEN 7 ELSE 10 END), '') AS draft,
+ CASE published_prec WHEN 'year' THEN '只知道年份' WHEN 'month' THEN '只知道年月' WHEN 'day' THEN '完整日期' ELSE '没有日期' END || CASE WHEN date_is_approx THEN '，数值为估算' ELSE '' END AS date_title,
+ CASE word_count_source WHEN 'ao3' THEN 'AO3 给出的官方字数，精确' ELSE '字数未知，可以自己填' END AS count_title, CASE language WHEN 'en' THEN 'English' WHEN 'de' THEN 'Deutsch' WHEN 'fr' THEN 'Français' WHEN 'zh' THEN '中文-普通话 國語' WHEN 'ja' THEN '日本語' END AS label,
+ CASE language_label WHEN 'English' THEN 'en' WHEN 'Deutsch' THEN 'de' END AS code FROM works""",
+    ("works",),
+)
+def explanations(spark, sf_dir):
+    works = table(spark, sf_dir, "works")
+    return works.select("id", dates.draft(F.col("published_at"), F.col("published_prec")).alias("draft"), codes.date_title(F.col("published_prec"), F.col("date_is_approx")).alias("date_title"), codes.count_title(F.col("word_count_source")).alias("count_title"), codes.language_label(F.col("language")).alias("label"), codes.language_code(F.col("language_label")).alias("code"))
+
+
+@query_of("pending_note", "SELECT string_agg(title, '|' ORDER BY title) AS titles, (SELECT count(*) > 3 FROM pending WHERE NOT dismissed AND title IS NOT NULL) AS more FROM (SELECT title FROM pending WHERE NOT dismissed AND title IS NOT NULL ORDER BY title LIMIT 3)", ("pending",))
+def pending_note(spark, sf_dir):
+    return view.pending_note(table(spark, sf_dir, "pending")).select(F.array_join("titles", "|").alias("titles"), "more")
 
 
 def queries() -> dict:

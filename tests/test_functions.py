@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from foliant.functions import dates, formats, html, text
+from foliant.functions import codes, dates, formats, html, text
 from foliant.operators.query import fold_literal, parse_query
 
 
@@ -9,14 +9,23 @@ def one(spark, values, schema, column):
 
 
 def test_fold(spark):
-    cases = {"One, two, three": "one two three", "一，二，三": "一二三", "粽驴abc": "粽驴 abc", "ＡＢＣ１２３": "abc123", "...": "", "ΟΔΟΣ": "οδοσ", "a-一 b": "a 一 b"}
+    cases = {"Ships; sails & sea": "ships sails sea", "山。海！川": "山海川", "茶tea茶": "茶 tea 茶", "ＱＲ７": "qr7", "?!": "", "ΚΟΣΜΟΣ": "κοσμοσ", "x-山 y": "x 山 y"}
     assert one(spark, cases, "t string", text.fold(F.col("t"))) == list(cases.values())
     assert [fold_literal(t) for t in cases] == list(cases.values())
 
 
 def test_words_and_language(spark):
-    assert one(spark, ["你好世界 hello world 42", "!!! ... ---", "hello, world!", None], "t string", text.word_count(F.col("t"))) == [7, 0, 2, 0]
-    assert one(spark, ["你好世界", "こんにちは世界", "안녕하세요", "hello", ""], "t string", text.guess_language(F.col("t"))) == ["zh", "ja", "ko", None, None]
+    assert one(spark, ["山海 three short words 7", "-- ??", "red, blue; green", None], "t string", text.word_count(F.col("t"))) == [6, 0, 3, 0]
+    assert one(spark, ["山海川月", "さくらの山", "바다와 산", "plain words", ""], "t string", text.guess_language(F.col("t"))) == ["zh", "ja", "ko", None, None]
+
+
+def test_codes(spark):
+    assert one(spark, ["English", " 中文-粵語", "Suomi", "Quenya", None], "t string", codes.language_code(F.col("t"))) == ["en", "zh", "fi", None, None]
+    assert one(spark, [" EN", "xx"], "t string", codes.language_label(F.col("t"))) == ["English", "xx"]
+    assert one(spark, ["translation_into", "inspired_by", "x"], "t string", codes.relation_kind(F.col("t"))) == ["translation", "related", None]
+    assert one(spark, ["1,234 words", "", "none"], "t string", codes.typed_count(F.col("t"))) == [1234, 0, 0]
+    assert one(spark, ["3", " 4.5", "x", ""], "t string", codes.typed_position(F.col("t"))) == [3, 4, None, None]
+    assert one(spark, ["year", None], "t string", codes.date_title(F.col("t"), F.lit(True))) == ["只知道年份，数值为估算", "没有日期，数值为估算"]
 
 
 def test_json_and_tags(spark):
@@ -46,9 +55,9 @@ def test_formats(spark):
     assert [tuple(s) for s in one(spark, ["Abcabx"], "t string", formats.highlight(F.col("t"), "ab"))[0]] == [("Ab", True), ("c", False), ("ab", True), ("x", False)]
 
 
-PAGE = """<html><head><title>No</title></head><body><div id=preface><p class=message>At <a href="http://example.test/works/77?x=1">here</a></p>
-<dl class=tags><dt>Rating:</dt><dd><a>General</a></dd><dt>Additional Tags:</dt><dd><a>Fluff</a>, <a>Tea</a></dd><dt>Language:</dt><dd>English</dd><dt>Stats:</dt><dd>Published: 2019-05-01 Words: 1,234 Chapters: 2/?</dd></dl>
-<ul><li>A translation of <a href="/works/5">Other</a> by x</li></ul><h1>The Tale</h1><div class=byline><a rel=author>Ann</a></div><p>Summary</p><blockquote><p>Short &amp; sweet</p></blockquote></div><p>Text<p>More</body></html>"""
+PAGE = """<html><head><title>No</title></head><body><div id=preface><h1>Site</h1><a rel=author>Nobody</a><p>See <a href="http://example.test/works/1">this</a></p><p class=message>At <a href="http://example.test/works/77?x=1">here</a></p>
+<dl class=tags><dt>Rating:</dt><dd><a>General</a></dd><dt>Additional Tags:</dt><dd><a>Fluff</a>, <a>Tea</a></dd><dt>Language:</dt><dd>English</dd><dt>Collections:</dt><dd><a>Winter</a></dd><dt>Stats:</dt><dd>Published: 2019-05-01 Words: 1,234 Chapters: 2/?</dd></dl>
+<ul><li>A translation of <a href="/works/5">Other</a> by <a rel=author href="/users/x">Xan</a> <span lang=fr>Français</span></li><li>Remix of a lost work</li><li>see also</li></ul><div class=meta><h1>The Tale</h1></div><div class=byline><a rel=author>Ann</a></div><p>Summary</p><blockquote><p>Short &amp; sweet</p></blockquote></div><p>Text<p>More</body></html>"""
 
 
 def test_download(spark):
@@ -56,7 +65,8 @@ def test_download(spark):
     assert got[1:] == [None, None]
     r = got[0]
     assert (r.work_id, r.title, r.author, r.summary, r.language_label, r.tags, r.published, r.words, r.chapters) == ("77", "The Tale", "Ann", "Short & sweet", "English", ["General", "Fluff", "Tea"], "2019-05-01", 1234, "2/?")
-    assert [(x.kind, x.work_id) for x in r.related] == [("translation_of", "5")]
+    assert (r.rating, r.additional, r.collections, r.warnings) == (["General"], ["Fluff", "Tea"], ["Winter"], [])
+    assert [(x.kind, x.work_id, x.title, x.author, x.language, x.language_label) for x in r.related] == [("translation_of", "5", "Other", "Xan", "fr", "Français"), ("remix_of", None, None, None, None, None)]
     assert one(spark, ["<p>a<br>b</p><!-- c --><p>d &amp; e</p>"], "t string", html.html_text(F.col("t"))) == ["a\nb\n\nd & e"]
 
 
