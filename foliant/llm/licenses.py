@@ -192,8 +192,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
 
 
-def ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(F.array().cast("array<string>"))
+def bigrams(words: Column) -> Column:
+    return longer(words, words)
+
+
+def longer(grams: Column, words: Column) -> Column:
+    """Each gram with the word after it; slices are taken of whole arrays, since one per gram would copy the array."""
+    n = F.size("words") - F.size(grams) + 1
+    most = F.greatest(F.size(grams) - 1, F.lit(0))
+    return F.zip_with(F.slice(grams, 1, most), F.slice(words, n + 1, most), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -215,10 +222,14 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = rows.filter("worth").select("doc_id", "row_no", F.posexplode(F.split("text", paragraph_break())).alias("line", "paragraph"))
     # a place that only the whole text shows, across two paragraphs, still leaves the document its row
     worth = F.lower("paragraph").rlike(pattern)
-    lines = lines.withColumn("words", F.when(worth, tokens(F.col("paragraph"))).otherwise(F.array().cast("array<string>"))).filter((F.size("words") > 0) | (F.col("line") == 0)).drop("paragraph")
+    lines = lines.withColumn("worth", worth).filter(F.col("worth") | (F.col("line") == 0))
+    # the generator keeps the optimiser from splitting the paragraph anew for every n-gram
+    words = F.when(F.col("worth"), tokens(F.col("paragraph"))).otherwise(F.array().cast("array<string>"))
+    lines = lines.select("doc_id", "row_no", "line", F.explode(F.array(words)).alias("words"))
     lines = lines.withColumn("anchored", F.arrays_overlap("words", anchors))
-    grams = F.array_distinct(F.concat(*[ngrams(F.col("words"), n) for n in (1, 2, 3)]))
-    spread = lines.select("doc_id", "row_no", "line", "anchored", F.size(F.array_distinct(ngrams(F.col("words"), 2))).alias("n2"), F.explode_outer(grams).alias("gram"))
+    lines = lines.withColumn("two", bigrams(F.col("words"))).select("*", F.explode(F.array(longer(F.col("two"), F.col("words")))).alias("three"))
+    grams = F.array_distinct(F.concat("words", "two", "three"))
+    spread = lines.select("doc_id", "row_no", "line", "anchored", F.size(F.array_distinct("two")).alias("n2"), F.explode_outer(grams).alias("gram"))
     table = literal(spark, [{"gram": g, "w": weights.get(g, [0.0] * len(FAMILIES)), "t": shared.get(g, [])} for g in sorted(weights.keys() | shared.keys())], "gram: string, w: array<double>, t: array<int>")
     known = spread.join(F.broadcast(table), "gram", "left").filter("w is not null or line = 0")
     # sums per paragraph: scores per family and shared 2-grams per template
