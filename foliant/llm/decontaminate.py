@@ -190,10 +190,10 @@ def merged(starts: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray, np
 
 def search_shards(index: DataFrame, queries: Queries, slop: int | None = None, share: float = 0.8) -> DataFrame:
     """Matches of a block's windows in every stored shard, a row per document."""
-    windows = list(queries.windows.items())
     by_length: dict[int, list[tuple[int, ...]]] = {}
     for terms in queries.windows:
         by_length.setdefault(len(terms), []).append(terms)
+    n_terms = len(queries.vocabulary)
     tables = {n: np.array(rows, np.int64) for n, rows in by_length.items()}
     # a match may begin before its document: by slop, and by the terms it misses
     lead = (slop or 0) + max((n - max(1, int(np.ceil(share * n))) for n in tables), default=0)
@@ -216,18 +216,20 @@ def search_shards(index: DataFrame, queries: Queries, slop: int | None = None, s
                 bounds = np.r_[0, np.cumsum(one["counts"], dtype=np.int64)]
                 gaps = np.frombuffer(one["postings"], np.int32)
                 post = {t: np.cumsum(gaps[bounds[k] : bounds[k + 1]], dtype=np.int64) for k, t in enumerate(one["terms"])}
-                none = np.zeros(0, np.int64)
                 at, lengths, close, close_lengths = [], [], [], []
                 items: list[set[str]] = [set() for _ in range(n)]
-                for terms, holders in windows:
-                    lists = [post.get(t, none) for t in terms]
-                    if all(map(len, lists)):
-                        hit = phrase(lists)
+                there = np.zeros(n_terms, bool)
+                there[one["terms"]] = True
+                for size, table in tables.items():
+                    # only windows of which the shard has every term
+                    for k in np.flatnonzero(there[table].all(1)).tolist():
+                        terms = by_length[size][k]
+                        hit = phrase([post[t] for t in terms])
                         if len(hit):
                             at.append(hit)
-                            lengths.append(len(terms))
+                            lengths.append(size)
                             for d in np.unique(np.searchsorted(starts, hit, "right") - 1).tolist():
-                                items[d].update(holders)
+                                items[d].update(queries.windows[terms])
                 for size, table in tables.items() if slop is not None else ():
                     close.append(near_starts(post, table, min(slop, slop * size // WINDOW), share))
                     close_lengths.append(size)

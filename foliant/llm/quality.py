@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", (common.fold4("doc_id") == sampling.HELD_OUT).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= LEAST_TAIL).alias("selected"))
+    return score(docs, model).select("doc_id", F.coalesce(common.fold4("doc_id") == sampling.HELD_OUT, F.lit(False)).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= LEAST_TAIL).alias("selected"))
 
 
 QUERIES = {"op5_quality": op5_quality}

@@ -166,10 +166,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE,
                     rows = rows[shard_rows:]
             yield from answer(rows)
 
-        part = base.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
+        part = base.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if n_blocks > 1:
+            # one block at a time: its queries leave driver and executors before the next is collected
+            part = common.store(part, "answers")
+            sent.unpersist()
         found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

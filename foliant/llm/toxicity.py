@@ -268,7 +268,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs, common.table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", (common.fold4("doc_id") == sampling.HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(common.fold4("doc_id") == sampling.HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES = {"op3_toxicity": op3_toxicity}
