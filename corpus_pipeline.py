@@ -7,7 +7,6 @@ return the columns of their input. run() writes each stage's rows to the shared
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliant.llm import common, decontaminate, mixing, neardup, secrets, toxicity
 
@@ -34,10 +33,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with how often the mix takes them; those it does not take go."""
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    mixed = mixing.mix(docs, keep=names)
-    return mixed.filter(F.col("copies") > 0).select(*names, "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    """The mixed corpus: each document as often as the mix takes it, those it does not take not at all."""
+    return mixing.emit(docs)
 
 
 STAGES = [
@@ -54,5 +51,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.store(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept: list[DataFrame] = []
+        # what a stage has stored on its way goes when its rows are written, and then the rows of the stage before
+        with common.scratch(lambda kept=kept: kept[0]):
+            kept.append(common.store(stage(spark, docs, sf_dir), f"stage-{name}"))
+        common.discard(docs)
+        docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
