@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foliant import storage
 from foliant.functions import text
 
-#: Titles sort as in Chinese libraries: Latin by letters, Han by pinyin.
+#: Titles sort as in Chinese libraries: Han by pinyin, then Latin by letters.
 TITLE_COLLATION = "zh_Hans_CHN"
 SCOPES = ("title", "author", "tag", "comment", "summary", "lang")
 # Weight of a match in each scope.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,43 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(~F.concat(F.lit("/"), below).rlike(r"/\.[^/]*(?:/|$)")).select("path", "content")
 
 
+def list_paths(paths: list[str]) -> list[str]:
+    """Files to import, sorted, each once: those named, whatever their names, and those below named folders but for
+    names that begin with a dot. Runs where the files are picked; what is picked there is a list that fits there."""
+    found = set()
+    for path in paths:
+        if not os.path.isdir(path):
+            found.add(path)
+        for folder, below, names in os.walk(path):
+            below[:] = [d for d in below if not d.startswith(".")]
+            found.update(os.path.join(folder, n) for n in names if not n.startswith("."))
+    return sorted(found)
+
+
+def read_paths(paths: DataFrame) -> DataFrame:
+    """path, content and error of files in a folder that all executors share. A file that can't be read has an error
+    and no content."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        yield pd.DataFrame({"path": [path], "content": [f.read()], "error": [None]})
+                except OSError as e:
+                    yield pd.DataFrame({"path": [path], "content": [None], "error": [e.strerror or str(e)]})
+
+    return paths.select("path").mapInPandas(run, "path string, content binary, error string")
+
+
+def require_readable(files: DataFrame) -> DataFrame:
+    """path and content of files, or one error that names all that could not be read."""
+    wrong = files.filter("error is not null").select("path", "error").orderBy("path").collect()
+    if wrong:
+        raise OSError("cannot read " + "; ".join(f"{r.path}: {r.error}" for r in wrong))
+    return files.drop("error")
+
+
 def inspect(files: DataFrame) -> DataFrame:
     """Per file: name, format, hash, text and parsed metadata where there are any, and a word count."""
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)

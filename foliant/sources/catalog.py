@@ -134,6 +134,13 @@ def insert_record_only(works: DataFrame, new: DataFrame) -> DataFrame:
     return insert(works, new.select(checked.alias("title"), author.alias("author"), F.lit(0).cast("long").alias("word_count"), F.lit("record_only").alias("status")))
 
 
+def require_works(works: DataFrame, ids: DataFrame) -> None:
+    """Fails, with some of them, if works lacks any of ids: id."""
+    lost = [r.id for r in ids.select("id").distinct().join(works.select("id"), "id", "left_anti").orderBy("id").limit(10).collect()]
+    if lost:
+        raise ValueError(f"no works with ids {', '.join(map(str, lost))}")
+
+
 def edit_works(works: DataFrame, edits: DataFrame) -> DataFrame:
     """edits: id and any of title, author, summary, my_comment, language, language_label, status, word_count, published,
     published_approx, completed. Null keeps a value and an empty string clears it, but a title is only replaced by one
