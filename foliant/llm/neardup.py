@@ -383,6 +383,8 @@ def linked(stars: DataFrame, vecs: DataFrame, similarity: float = SIMILARITY) ->
         n_hubs *= 64
     if found:
         roots = graph.merged(roots, functools.reduce(DataFrame.unionByName, found).select("a", "b"))
+    for links in found:
+        common.discard(links)
     return roots
 
 
@@ -427,7 +429,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = common.store(_classes(docs, similarity), "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "key")).alias("_first")
     kept = found.filter("root is not null").groupBy("root").agg(first).select("root", F.col("_first.doc_id").alias("_id"), F.col("_first.key").alias("_key"))
-    lost = found.filter("root is not null").join(kept, "root").withColumn("_lost", ~F.col("doc_id").eqNullSafe(F.col("_id")) | (F.col("key") != F.col("_key")))
+    other = ~F.col("doc_id").eqNullSafe(F.col("_id")) | (F.col("key") != F.col("_key"))
+    # a row without words is of no class and stays
+    lost = found.join(kept, "root", "left").withColumn("_lost", F.when(F.col("root").isNull(), False).otherwise(other))
     per_id = lost.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("_lost").alias("n_lost"))
     gone = common.store(per_id.filter("n_lost = n and doc_id is not null").select(F.col("doc_id").alias("_gone")), "gone")
     out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
@@ -435,7 +439,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     shared = common.store(per_id.filter("(n > 1 or doc_id is null) and n_lost < n or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_shared")), "shared-ids")
     if shared.isEmpty():
         return out
-    keys = common.store(lost.filter(~F.col("_lost")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "kept-keys")
+    keys = common.store(lost.filter(~F.col("_lost") & F.col("key").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "kept-keys")
     marked = out.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     names = docs.columns
     whole = with_key(marked.filter("_shared").select(*names))
