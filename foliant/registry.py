@@ -221,7 +221,13 @@ def matching_documents(spark, sf_dir):
     return docs(spark, sf_dir).filter(text.matches_terms(text.fold(F.col("text")), query.fold_literal("Token, the").split())).select("doc_id")
 
 
-@query_of("page_text")
+@query_of(
+    "page_text",
+    r"""WITH s AS (SELECT page_id, array_to_string(list_transform(string_split_regex(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(?i)</?script[^>]*>'), lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, '<', chr(1)) ELSE x END), '') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</?(?:p|br|div|li|blockquote|h1|h2|h3)(?:\s[^>]*)?/?>', chr(10), 'gi'), '</?[a-zA-Z!][^>]*>', '', 'g') AS t FROM s),
+u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, chr(1), '<'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM b)
+SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text, false AS is_work FROM u""",
+)
 def page_text(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", html.html_text(F.col("html")).alias("text"), html.parse(F.col("html")).isNotNull().alias("is_work"))
