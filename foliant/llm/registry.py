@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontaminate, licenses, mixing, neardup, pii, quality, secrets, substrings, topk, toxicity
+from foliant.llm import collocations, decontaminate, langid, licenses, mixing, neardup, pii, quality, secrets, substrings, topk, toxicity, whitening
 
-MODULES = (licenses, secrets, toxicity, pii, quality, mixing, neardup, decontaminate, topk, substrings)
+MODULES = (licenses, secrets, toxicity, pii, quality, mixing, neardup, decontaminate, topk, substrings, whitening, collocations, langid)
 
 
 def queries() -> dict:
