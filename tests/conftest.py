@@ -16,3 +16,12 @@ def spark():
     session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "/tmp/checkpoints/foliant-tests").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture(autouse=True)
+def no_tables_left():
+    """What a test stores goes with it."""
+    from foliant import storage
+
+    with storage.scratch():
+        yield
