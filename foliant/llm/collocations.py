@@ -2,9 +2,9 @@
 
 Texts are lower-cased (A-Z only), cut into pieces at sentence signs and line ends, and pieces into words.
 
-1. All n-grams of one to MAX_N words inside pieces become rows, a 64-bit key of language and words with its number in
-   the run of words at hand, and are hash-aggregated. Two n-grams of one key only add up, so a key under MIN_COUNT has
-   no n-gram that reaches it. The keys that reach it set bits in a table of FILTER_BITS bits, of fixed size.
+1. All n-grams of one to MAX_N words inside pieces become 64-bit keys of language and words, which are hash-aggregated,
+   packed many to a row (hashcounts). Two n-grams of one key only add up, so a key under MIN_COUNT has no n-gram that
+   reaches it. The keys that reach it set bits in a table of fixed size, 2 ** FILTER_BITS.
 2. n-grams whose bit is set become rows again, now as language and phrase, and are counted exactly. Others can't reach
    MIN_COUNT and are not needed further: every part of a phrase is at least as frequent as the phrase.
 3. A candidate's cuts are joined with the counts of their prefix and suffix and scored in decimals; the lowest counts.
@@ -29,14 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm import common
+from foliant.llm import common, hashcounts
 
 MAX_N, MIN_COUNT, TOP = 4, 30, 2000
 #: A longer phrase explains a shorter one from this percentage of its count on.
 EXPLAINED = 80
 FACTOR = 2_000_000
-#: Bits of the table of keys that reach MIN_COUNT (8 MB); the more there are the more rarer phrases are counted as well.
-FILTER_BITS = 1 << 26
+#: Two to this power are the bits of the table of keys that reach MIN_COUNT (8 MB). With more keys than that, more
+#: rarer phrases are counted as well, and are left out by their count.
+FILTER_BITS = 26
 #: Words that are worked on at once, words of a long piece, and bytes of a text.
 RUN_WORDS, PIECE_WORDS, TEXT_BYTES = 250_000, 50_000, 1 << 20
 #: Words whose hash a worker remembers.
@@ -137,42 +138,35 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def key_counts(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
-    """key and f: how often n-grams of this key occur, all 1..max_n-grams of all texts."""
+def frequent_keys(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT, size: int = FILTER_BITS) -> hashcounts.Bits:
+    """The bits of all keys of n-grams that occur least times or more, counted over all 1..max_n-grams of all texts."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         hashes = Hashes()
         for run in runs(batches, max_n):
             for _, _, keys in run.keys(hashes, max_n):
-                key, n = np.unique(keys.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"key": key, "n": n})
-
-    return texts(docs).mapInArrow(explode, "key long, n long").groupBy("key").agg(F.sum("n").alias("f"))
+                yield keys
 
+    bits = hashcounts.shard_bits(docs)
+    table = common.store(hashcounts.counted(texts(docs), explode, least, bits), "ngram-keys")
+    out = hashcounts.bits_of(table, size, bits)
+    common.discard(table)
+    return out
 
-def frequent_bits(docs: DataFrame, max_n: int, least: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """The bit of every key that reaches least, as bytes; bits / 64 rows at most come to the driver."""
-    at = F.col("key").bitwiseAND(F.lit(bits - 1))
-    words = key_counts(docs, max_n).filter(F.col("f") >= least).select(F.shiftright(at, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bit"].to_numpy()
-    return out.view(np.uint64)
 
-
-def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT, bits: int = FILTER_BITS) -> DataFrame:
+def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT, size: int = FILTER_BITS) -> DataFrame:
     """lang, phrase and f of every n-gram that occurs least times or more, and with phrase null the words of a language."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frequent_bits(docs, max_n, least, bits))
+    wanted = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, max_n, least, size))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = Hashes(), wanted.value
+        hashes = Hashes()
         for run in runs(batches, max_n):
             langs = np.repeat(np.arange(len(run.langs)), run.lengths)
             found: Counter = Counter()
             for lang, starts in zip(run.langs, run.starts, strict=True):
                 found[lang, None] += starts
             for n, at, keys in run.keys(hashes, max_n):
-                low = keys & np.uint64(bits - 1)
-                at = at[(table[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1]
+                at = at[wanted.value.has(keys)]
                 found.update((run.langs[p], run.words[k] if n == 1 else b" ".join(run.words[k : k + n])) for k, p in zip(at.tolist(), langs[at].tolist(), strict=True))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "phrase": pa.array([k[1] for k in found], pa.binary()), "n": pa.array(found.values(), pa.int64())})
 

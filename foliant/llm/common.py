@@ -1,76 +1,26 @@
-"""Helpers the operators share: tables, shared storage and batch-wise mapping."""
+"""Helpers the operators share: tables and batch-wise mapping; stored tables are those of the library."""
 
 from __future__ import annotations
 
-import contextlib
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.storage import discard, discard_all, scratch, shared_dir, store, stored_paths
+
+__all__ = ["discard", "discard_all", "scratch", "shared_dir", "store", "stored_paths"]
+
 #: Rows handled at once inside a Python worker; bounds its memory beside one Arrow batch.
 SLICE_ROWS = 512
-#: Tables that store() has written and nothing has deleted yet.
-_STORED: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share, as spark.checkpoint.dir names it. Only where all run in one process, as
-    in tests, it may be unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if re.match(r"local(\[|$)", spark.sparkContext.master):
-        return f"{tempfile.gettempdir()}/foliant-checkpoints"
-    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, nothing depends on an executor's disk."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/foliant/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._foliant_path = path
-    _STORED.append(out)
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a table that store() wrote, once nothing reads it any more."""
-    path = getattr(df, "_foliant_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        _STORED[:] = [x for x in _STORED if x._foliant_path != path]
-
-
-@contextlib.contextmanager
-def scratch(keep: Callable[[], DataFrame | None] = lambda: None) -> Iterator[None]:
-    """Delete at the end what store() has written inside, but for the table that keep() gives."""
-    before = {x._foliant_path for x in _STORED}
-    yield
-    kept = getattr(keep(), "_foliant_path", None)
-    for x in [x for x in _STORED if x._foliant_path not in before and x._foliant_path != kept]:
-        discard(x)
-
-
-def discard_all() -> None:
-    """Delete every table that store() has written; for callers that have written a query's rows."""
-    for x in list(_STORED):
-        discard(x)
-
-
 def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over bounded slices. fn gets a RecordBatch of df and yields RecordBatches in the schema."""
 

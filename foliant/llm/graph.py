@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = step.filter("root <> was").limit(1).count()
         common.discard(roots)
         roots = step.select("node", "root")
-        roots._foliant_path = step._foliant_path
+        roots._stored_at = step._stored_at
         if not moved:
             return roots
 

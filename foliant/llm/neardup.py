@@ -1,13 +1,15 @@
 """Operator 7: near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's words are its ASCII-lower-cased white-space tokens; its shingles are runs of five words (all words, if
-fewer), weighted by term frequency times inverse document frequency, 1 + ln((N + 1) / df). With T distinct shingles in all texts together
-(counted per text), document frequencies are exact for every shingle that stands in at least T / COMMON texts, and by
-the pigeonhole principle there are at most COMMON of those; rarer ones all have the weight of that frequency. So the
-table that is broadcast has a fixed bound, and a shingle's weight depends on its share of the texts, not on their
-number. The 1 and the common weight of rare shingles keep the copies of a text that much of the corpus holds alike:
-with an unbounded frequency one changed word would outweigh what they share.
-
+fewer), weighted by term frequency times inverse document frequency. Document frequencies df are exact, over all texts.
+The inverse one is taken relative to that of a shingle of one text only, 1 + ln((N + 1) / df) / ln(N + 1), which lies
+between 1 and 2 in a corpus of any size: with an unbounded one a changed word would outweigh all that the copies of
+a text share as soon as much of the corpus holds them.
+
+0. Shingles of two texts or more are counted (hashcounts) and set bits in a table of fixed size. A text's other
+   shingles are its own; where they weigh so much that no text can reach the similarity, the text is alike to nothing
+   but exact copies. The others form batches. The HOT most frequent shingles are known to every task; all others of a
+   batch whose bit is set are looked up in the counted table, by a shuffle of packed arrays, and come back in order.
 1. Texts of the same words become one node (128-bit key).
 2. BANDS x ROWS samples: each draws the shingle with the smallest a = c / (y e^r) of Ioffe's scheme, so that two
    texts agree in a sample with probability equal to their weighted Jaccard similarity. Bands of ROWS samples give
@@ -33,26 +35,31 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from foliant.llm import common, graph
+from foliant.llm import common, graph, hashcounts
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-#: Shingles with a document frequency of their own, at most.
-COMMON = 1 << 14
-#: Counters of the first count; four per shingle that may be common, so that few rare ones pass for common.
-COUNTERS = 1 << 16
-#: Counters that travel in one row.
-CHUNK = 1 << 14
+#: The most frequent shingles, which every task knows; the others are looked up. All are exact.
+HOT = 1 << 14
+#: Two to this power are the bits of the table of shingles that two texts or more have (16 MB).
+FILTER_BITS = 27
+#: Shingles of a batch of texts, about; a longer text is a batch of its own.
+BATCH = 1 << 18
+#: Keys that a task remembers, so that it sends the vector of exact copies once.
+REMEMBERED = 100_000
+#: In the place of a shingle, counts texts with words.
+TEXTS = np.uint64(0)
 SEED = 20240229
 #: Shingles sketched at once: keeps the arrays of a step in the processor's cache.
 STEP = 1024
@@ -82,104 +89,142 @@ def shingles(text: bytes, size: int = SHINGLE) -> tuple[bytes | None, np.ndarray
     return key, out
 
 
-def counter_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
-
+def frequencies(docs: DataFrame, bits: int) -> DataFrame:
+    """Counted table of the document frequencies of all shingles of two texts or more, and under TEXTS of the texts."""
 
-def counters(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """How many texts have a shingle of each counter, the number of texts and of their distinct shingles. Each task
-    adds up its own counters; sums of the same chunk meet in one task, a row at a time."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, total = np.zeros(COUNTERS, np.int64), 0, 0
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for at in range(0, batch.num_rows, common.SLICE_ROWS):
+                n = 0
                 for text in common.text_bytes(batch["text"].slice(at, common.SLICE_ROWS)):
                     h = shingles(text)[1]
                     if len(h):
-                        own = np.unique(h)
-                        np.add.at(counts, counter_of(own), 1)
                         n += 1
-                        total += len(own)
-        yield from rows(counts, n, total)
-
-    def rows(counts: np.ndarray, n: int, total: int) -> Iterator[pa.RecordBatch]:
-        for chunk in range(COUNTERS // CHUNK):
-            part = counts[chunk * CHUNK : (chunk + 1) * CHUNK]
-            used = np.flatnonzero(part)
-            if len(used):
-                yield row(chunk, used, part[used])
-        yield row(-1, np.arange(2), np.array([n, total]))
-
-    def row(chunk: int, used: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "at": [used.astype(np.uint16).tobytes()], "n": [values.astype(np.int64).tobytes()]})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, at, n in zip(*(batch[c].to_pylist() for c in ("chunk", "at", "n")), strict=True):
-                sums.setdefault(chunk, np.zeros(CHUNK, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
-        for chunk, part in sums.items():
-            used = np.flatnonzero(part)
-            yield row(chunk, used, part[used])
-
-    schema = "chunk int, at binary, n binary"
-    counts, n, total = np.zeros(COUNTERS, np.int64), 0, 0
-    summed = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toArrow()
-    for chunk, at, values in zip(*(summed[c].to_pylist() for c in ("chunk", "at", "n")), strict=True):
-        at, values = np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(values, np.int64)
-        if chunk >= 0:
-            counts[chunk * CHUNK + at] = values
-        else:
-            n, total = (int(values[at == k].sum()) for k in (0, 1))
-    return counts, n, total
-
-
-class Weights:
-    """Inverse document frequencies: of the common shingles one by one, and one for all rarer."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, least: float) -> None:
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.idf = 1 + np.log((n + 1) / counts[order])
-        self.rare = 1 + float(np.log((n + 1) / max(least, 1.0)))
-        self.maybe = np.zeros(COUNTERS, bool)
-        self.maybe[counter_of(self.hashes)] = True
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), self.rare)
-        at = np.flatnonzero(self.maybe[counter_of(hashes)])
-        if len(at):
-            place = np.searchsorted(self.hashes, hashes[at]).clip(max=len(self.hashes) - 1)
-            hit = self.hashes[place] == hashes[at]
-            out[at[hit]] = self.idf[place[hit]]
-        return out
+                        yield np.unique(h)
+                yield np.full(n, TEXTS)
 
-    def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles, ascending, and their weights."""
-        own, tf = np.unique(hashes, return_counts=True)
-        return own, (tf * self.of(own)).astype(np.float32)
+    return hashcounts.counted(docs.select("text"), distinct, 2, bits)
 
 
-def weights(docs: DataFrame) -> Weights:
-    """Counts every shingle that may be common, which are those of large counters: a counter is never too small."""
-    counts, n, total = counters(docs)
-    least = total / COMMON
-    large = docs.sparkSession.sparkContext.broadcast(counts >= max(least, 1))
+@dataclass
+class Frequencies:
+    """The number of texts, the bits of repeated shingles, and the most frequent of those with their frequencies."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = []
-        for text in common.text_bytes(batch["text"]):
-            h = shingles(text)[1]
-            found.append(np.unique(h[large.value[counter_of(h)]]))
-        own, times = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_pydict({"hash": own.view(np.int64), "n": times.astype(np.int64)})
+    n: int
+    repeated: hashcounts.Bits
+    hot: np.ndarray
+    hot_df: np.ndarray
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        whole = np.log(self.n + 1)
+        return 1 + (whole - np.log(df)) / whole
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Document frequencies of the hot shingles, 0 for all others."""
+        if not len(self.hot):
+            return np.zeros(len(hashes), np.int64)
+        place = np.searchsorted(self.hot, hashes).clip(max=len(self.hot) - 1)
+        return np.where(self.hot[place] == hashes, self.hot_df[place], 0)
+
+    def may_pair(self, repeated: np.ndarray, tf: np.ndarray, similarity: float) -> bool:
+        """Whether a text with these frequencies can be similar to a different one: both share repeated shingles only,
+        none of which weighs more than one of two texts."""
+        shared = float(tf[repeated].sum()) * float(self.idf(np.array(2.0)))
+        return shared >= (similarity - SLACK) * (shared + 2.0 * float(tf[~repeated].sum()))
+
+
+def summary(table: DataFrame, bits: int) -> Frequencies:
+    hot, df = hashcounts.most_frequent(table, HOT + 1)
+    n = int(df[hot == TEXTS].sum())
+    return Frequencies(max(n, 1), hashcounts.bits_of(table, FILTER_BITS, bits), hot[hot != TEXTS], df[hot != TEXTS])
+
+
+DRAWN = "doc_id bigint, key binary, batch bigint, keys array<binary>, sizes array<int>, hashes binary, tf binary, ask binary"
+
+
+def drawn(docs: DataFrame, known: Broadcast, similarity: float) -> DataFrame:
+    """Two kinds of rows: doc_id and key of every row of docs, and batches of the texts that may be similar to others:
+    their keys, numbers of distinct shingles, those and their frequencies in the text, and the shingles to look up."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("batch", pa.int64()), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("hashes", pa.binary()), ("tf", pa.binary()), ("ask", pa.binary())])
+
+    def batch_row(number: int, held: list[tuple[bytes, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        every = np.concatenate([own for _, own, _ in held])
+        ask = np.unique(every[known.value.repeated.has(every) & (known.value.known(every) == 0)])
+        row = {"doc_id": [None], "key": [None], "batch": [number], "keys": [[k for k, _, _ in held]], "sizes": [[len(own) for _, own, _ in held]], "hashes": [every.tobytes()], "tf": [np.concatenate([tf for _, _, tf in held]).astype(np.int32).tobytes()], "ask": [hashcounts.pack(ask)]}
+        return pa.RecordBatch.from_pydict(row, schema)
 
-    summed = common.map_slices(docs.select("text"), "hash bigint, n bigint", run).groupBy("hash").agg(F.sum("n").alias("n"))
-    # at most COMMON rows: each stands for total / COMMON of all distinct shingles of the texts
-    rows = summed.filter(F.col("n") >= least).toArrow()
-    large.unpersist()
-    return Weights(rows["hash"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size, seen = TaskContext.get().partitionId() << 32, [], 0, set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, common.SLICE_ROWS):
+                part, keys = batch.slice(at, common.SLICE_ROWS), []
+                for text in common.text_bytes(part["text"]):
+                    key, h = shingles(text)
+                    keys.append(key)
+                    if not key or key in seen:
+                        continue
+                    own, tf = np.unique(h, return_counts=True)
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    if known.value.may_pair(known.value.repeated.has(own), tf, similarity):
+                        held.append((key, own, tf))
+                        size += len(own)
+                    if size >= BATCH:
+                        yield batch_row(number, held)
+                        number, held, size = number + 1, [], 0
+                none = [None] * len(keys)
+                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].cast(pa.int64()), "key": keys, **{c: none for c in schema.names[2:]}}, schema)
+        if held:
+            yield batch_row(number, held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, DRAWN)
+
+
+def weighted(batches_: DataFrame, answers: DataFrame, known: Broadcast, similarity: float) -> DataFrame:
+    """key, distinct shingles, their weights and the bands of every text of the batches that may be similar to another,
+    by the exact weight of its repeated shingles. answers: batch, shard, n, as hashcounts.looked_up() gives them."""
+    sampler = Sampler()
+    payload = ("keys", "sizes", "hashes", "tf", "ask")
+    asked = batches_.select("batch", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("n"), *payload)
+    answered = answers.select("batch", "shard", "n", *[F.lit(None).cast(batches_.schema[c].dataType).alias(c) for c in payload])
+    out_schema = pa.schema([("key", pa.binary()), ("hashes", pa.binary()), ("weights", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+    def whole(row: dict, n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every, tf, ask = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["tf"], np.int32), hashcounts.unpack(row["ask"])
+        df = np.maximum(known.value.known(every), 1)
+        if len(ask):
+            counts = np.concatenate(n).astype(np.int64)
+            place = np.searchsorted(ask, every).clip(max=len(ask) - 1)
+            df = np.where(ask[place] == every, np.maximum(counts[place], 1), df)
+        w = (tf * known.value.idf(df)).astype(np.float32)
+        parts, chosen = [], []
+        at = 0
+        for key, size in zip(row["keys"], row["sizes"], strict=True):
+            own, weight, often = every[at : at + size], w[at : at + size], df[at : at + size] > 1
+            at += size
+            if float(weight[often].sum(dtype=np.float64)) >= (similarity - SLACK) * float(weight.sum(dtype=np.float64)):
+                parts.append((own, weight))
+                chosen.append(key)
+        for k in range(0, len(parts), common.SLICE_ROWS):
+            some = parts[k : k + common.SLICE_ROWS]
+            bands = band_hashes(sampler.sketch([(h, np.log(x)) for h, x in some]))
+            yield pa.RecordBatch.from_pydict({"key": chosen[k : k + common.SLICE_ROWS], "hashes": [h.tobytes() for h, _ in some], "weights": [x.tobytes() for _, x in some], "bands": bands.tolist()}, out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, n = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["shard"] >= 0:
+                    n.append(hashcounts.of_planes(r["n"]))
+                    continue
+                if row:
+                    yield from whole(row, n)
+                row, n = r, []
+        if row:
+            yield from whole(row, n)
+
+    return asked.unionByName(answered).repartition("batch").sortWithinPartitions("batch", "shard").mapInArrow(run, "key binary, hashes binary, weights binary, bands array<bigint>")
 
 
 class Sampler:
@@ -230,47 +275,6 @@ def band_hashes(names: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, table: Broadcast) -> DataFrame:
-    """doc_id, key and bands of every row; key and bands are null for texts without words."""
-    sampler = Sampler()
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, parts, full = [], [], []
-        for k, text in enumerate(common.text_bytes(batch["text"])):
-            key, h = shingles(text)
-            keys.append(key)
-            if key:
-                own, weight = table.value.vector(h)
-                parts.append((own, np.log(weight)))
-                full.append(k)
-        bands: list = [None] * len(keys)
-        if parts:
-            for k, row in zip(full, band_hashes(sampler.sketch(parts)).tolist(), strict=True):
-                bands[k] = row
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
-
-    return common.map_slices(docs.select("doc_id", "text"), "doc_id bigint, key binary, bands array<bigint>", run)
-
-
-def vectors(docs: DataFrame, wanted: DataFrame, table: Broadcast) -> DataFrame:
-    """key, distinct shingles and their weights of the texts in wanted: (doc_id, key), one row of docs per key."""
-    chosen = wanted.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).hint("shuffle_hash")
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_key")
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, hashes, weight = [], [], []
-        for text, want in zip(common.text_bytes(batch["text"]), batch["_key"].to_pylist(), strict=True):
-            key, h = shingles(text)
-            if key == want:
-                own, w = table.value.vector(h)
-                keys.append(key)
-                hashes.append(own.tobytes())
-                weight.append(w.tobytes())
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "hashes": pa.array(hashes, pa.binary()), "weights": pa.array(weight, pa.binary())})
-
-    return common.map_slices(rows, "key binary, hashes binary, weights binary", run)
-
-
 def shared_weight(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> np.ndarray:
     """For each shingle of x the weight that y has as well; x and y ascend."""
     place = np.searchsorted(y, x).clip(max=len(y) - 1)
@@ -388,12 +392,26 @@ def linked(stars: DataFrame, vecs: DataFrame, similarity: float = SIMILARITY) ->
     return roots
 
 
+def vectors(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id and key of every row of docs (key null without words); and key, hashes, weights and bands of the texts
+    that may be similar to others. A text can be there several times. Both are stored."""
+    bits = hashcounts.shard_bits(docs)
+    table = common.store(frequencies(docs, bits), "frequencies")
+    known = docs.sparkSession.sparkContext.broadcast(summary(table, bits))
+    both = common.store(drawn(docs, known, similarity), "drawn")
+    batches = both.filter("batch is not null")
+    vecs = common.store(weighted(batches, hashcounts.looked_up(batches.select("batch", F.col("ask").alias("hashes")), table, bits), known, similarity), "weighted")
+    ids = common.store(both.filter("batch is null").select("doc_id", "key"), "ids")
+    for old in (table, both):
+        common.discard(old)
+    return ids, vecs
+
+
 def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     """doc_id, key, class_id and n_copies for every row of docs; reads stored tables."""
-    table = docs.sparkSession.sparkContext.broadcast(weights(docs))
-    drawn = common.store(sketches(docs, table), "sketches")
-    nodes = common.store(drawn.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "nodes")
-    member = nodes.select("key", F.explode("bands").alias("bucket"))
+    ids, every = vectors(docs, similarity)
+    nodes = common.store(ids.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "nodes")
+    member = every.select("key", F.explode("bands").alias("bucket")).distinct()
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     # a node's buckets are BANDS at most
     per_key = member.join(shared, "bucket").groupBy("key").agg(F.sum("n").alias("central"), F.collect_list("bucket").alias("buckets"))
@@ -401,9 +419,8 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     buckets = per_key.select("key", "central", F.explode("buckets").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.max(F.struct("central", "key"))["key"].alias("hub"))
     stars = common.store(buckets.join(hubs, "bucket").filter("key <> hub").select("key", "hub").distinct(), "stars")
-    # a row of docs with the key's words: its smallest id, or any row if an id is repeated (the key is compared again)
-    wanted = nodes.join(per_key.select("key"), "key", "left_semi").select("doc_id", "key")
-    vecs = common.store(vectors(docs, wanted, table).dropDuplicates(["key"]), "vectors")
+    vecs = common.store(every.select("key", "hashes", "weights").join(per_key.select("key"), "key", "left_semi").dropDuplicates(["key"]), "vectors")
+    common.discard(every)
     common.discard(per_key)
     roots = linked(stars, vecs, similarity)
     for old in (stars, vecs):
@@ -415,7 +432,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     per_node = common.store(per_node, "classes")
     for old in (nodes, roots):
         common.discard(old)
-    return drawn.select("doc_id", "key").join(per_node, F.col("key") == F.col("_key"), "left").select("doc_id", "key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return ids.join(per_node, F.col("key") == F.col("_key"), "left").select("doc_id", "key", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -18,8 +18,8 @@ def brute_classes(texts: dict[int, str], similarity: float = neardup.SIMILARITY)
         size = min(5, len(w))
         bags[i] = (w, Counter(w[k : k + size] for k in range(len(w) - size + 1)) if w else Counter())
     df = Counter(x for _, bag in bags.values() for x in bag)
-    n, least = sum(bool(w) for w, _ in bags.values()), sum(df.values()) / neardup.COMMON
-    idf = {x: 1 + math.log((n + 1) / max(c, least, 1)) for x, c in df.items()}
+    n = max(1, sum(bool(w) for w, _ in bags.values()))
+    idf = {x: 1 + math.log((n + 1) / c) / math.log(n + 1) for x, c in df.items()}
     own = {}
     for i, (w, bag) in bags.items():
         if w:
@@ -91,15 +91,42 @@ def test_small_corpus_equals_brute_force(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == want
 
 
-def test_document_frequencies(spark):
+def test_document_frequencies(spark, monkeypatch):
+    """Weights are those of plain counts, whether a shingle is hot or looked up, in one batch or many."""
     rng = random.Random(1)
-    texts = {i: " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60))) for i in range(300)}
-    found = neardup.weights(table(spark, texts))
+    texts = {i: " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60))) for i in range(300)}
     df = Counter(x for t in texts.values() for x in set(neardup.shingles(t.encode())[1].tolist()))
     n = sum(bool(t) for t in texts.values())
-    assert sorted(found.hashes.tolist()) == sorted(df)
-    assert np.allclose(found.of(np.array(list(df), np.uint64)), [1 + math.log((n + 1) / max(c, sum(df.values()) / neardup.COMMON)) for c in df.values()])
-    assert found.of(np.array([12345], np.uint64)).tolist() == [found.rare]
+    for hot, batch in ((neardup.HOT, neardup.BATCH), (20, 100), (1, 1000)):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        monkeypatch.setattr(neardup, "BATCH", batch)
+        ids, vecs = neardup.vectors(table(spark, texts), 0.0)
+        assert ids.count() == len(texts)
+        seen = {}
+        for r in vecs.collect():
+            h, w = np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.weights, np.float32)
+            seen[bytes(r.key)] = dict(zip(h.tolist(), w.tolist(), strict=True))
+        assert len(seen) == len({t for t in texts.values() if t})
+        for t in texts.values():
+            if t:
+                key, h = neardup.shingles(t.encode())
+                want = {x: c * (1 + math.log((n + 1) / df[x]) / math.log(n + 1)) for x, c in Counter(h.tolist()).items()}
+                got = seen[key]
+                assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-5 * want[x] for x in want)
+
+
+def test_null_and_repeated_ids_join_by_words(spark):
+    """Near copies without ids of their own: rows of joins stay in proportion to the texts."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = [edited(base, rng, 1) for _ in range(400)]
+    for ids in ([None] * 400, [7] * 400, list(range(400))):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        found, vecs = neardup.vectors(df, neardup.SIMILARITY)
+        assert found.count() == 400 and 300 < vecs.count() <= 400
+        got = neardup.classes(df).collect()
+        assert len(got) == 400 and len({r.class_id for r in got}) == 1
+        assert neardup.keep_one(df).count() == 1
 
 
 def test_one_row_of_each_class_stays(spark):
