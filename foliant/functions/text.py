@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import unicodedata
 
 import pandas as pd
@@ -14,6 +16,8 @@ KANA = r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}"
 HANGUL = r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}"
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 BREAK = "\u0001"
+# Signs that may be Han, or become it by NFKC: all from the radicals on.
+HAN_MAYBE = r"[\x{2E80}-\x{10FFFF}]"
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:
@@ -28,8 +32,15 @@ def nfkc(text: Column) -> Column:
 
 def fold(text: Column, normalised: bool = False) -> Column:
     """Search form: NFKC, lower case, runs of other characters as one break. A break between two Han characters goes;
-    elsewhere it is a space, and so is every border of Han and other characters. normalised: text is NFKC already."""
+    elsewhere it is a space, and so is every border of Han and other characters. normalised: text is NFKC already.
+    ASCII needs one replacement, other text without Han characters one as well."""
     low = F.lower(F.translate(text if normalised else nfkc(text), "Σ", "σ"))
+    other = F.trim(F.regexp_replace(low, f"[^{ALNUM}]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.when(F.length(text) == F.octet_length(text), plain).when(F.rlike(text, F.lit(HAN_MAYBE)), _fold_han(low)).otherwise(other)
+
+
+def _fold_han(low: Column) -> Column:
     broken = F.regexp_replace(low, f"[^{ALNUM}]+", BREAK)
     joined = F.regexp_replace(broken, f"([{HAN}]){BREAK}(?=[{HAN}])", "$1")
     spaced = F.regexp_replace(joined, f"([{HAN}])(?=[^{HAN}{BREAK}])", "$1 ")
@@ -37,16 +48,20 @@ def fold(text: Column, normalised: bool = False) -> Column:
     return F.trim(F.translate(spaced, BREAK, " "))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often use names it; the optimizer can't take it apart."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def terms(folded: Column) -> Column:
     return F.filter(F.split(folded, " "), lambda t: t != "")
 
 
 def matches_terms(folded_text: Column, folded_terms: list[str]) -> Column:
     """The same for terms known when the plan is made."""
-    out = folded_text.isNotNull()
-    for t in folded_terms:
-        out = out & F.contains(folded_text, F.lit(t))
-    return out
+    if not folded_terms:
+        return folded_text.isNotNull()
+    return F.exists(F.array(folded_text), lambda f: functools.reduce(operator.and_, [F.contains(f, F.lit(t)) for t in folded_terms]))
 
 
 def strength(folded_text: Column, term: Column) -> Column:

@@ -67,41 +67,43 @@ def scope_text(works: DataFrame, scope: str) -> Column:
 
 
 def with_folded(works: DataFrame) -> DataFrame:
-    """Folded columns once per row, shared by the filter and the relevance."""
-    for scope in SCOPES:
-        works = works.withColumn(f"_fold_{scope}", scope_text(works, scope))
-    return works
+    """A folded column per scope, for tables that are stored and searched again."""
+    return works.select("*", *[scope_text(works, scope).alias(f"_fold_{scope}") for scope in SCOPES])
 
 
-def term_columns(search: str) -> list[tuple[Column, Column]]:
-    """For every term whether a work matches and how relevant it is; needs the folded columns."""
-    out = []
-    for scope, raw in parse_query(search):
-        term = fold_literal(raw)
-        scopes = SCOPES if scope == "all" else (scope,)
+def searched(search: str) -> list[tuple[tuple[str, ...], str]]:
+    """For every term the scopes it may stand in, and its folded form."""
+    return [(SCOPES if scope == "all" else (scope,), fold_literal(raw)) for scope, raw in parse_query(search)]
+
+
+def relevance(folded: Column, search: str) -> Column:
+    """The weighted relevance of a row, null if a term is missing. folded: a struct with the folded text of each scope.
+    A term of signs only is in no row."""
+    hits, scores = [], []
+    for scopes, term in searched(search):
         if not term:
-            out.append((F.lit(False), F.lit(0)))
+            hits.append(F.lit(False))
             continue
-        hit = functools.reduce(operator.or_, [F.contains(F.col(f"_fold_{s}"), F.lit(term)) for s in scopes])
-        score = functools.reduce(operator.add, [text.strength(F.col(f"_fold_{s}"), F.lit(term)) * WEIGHTS[s] for s in scopes])
-        out.append((hit, score))
-    return out
+        hits.append(functools.reduce(operator.or_, [F.contains(folded[s], F.lit(term)) for s in scopes]))
+        scores.append(functools.reduce(operator.add, [text.strength(folded[s], F.lit(term)) * WEIGHTS[s] for s in scopes]))
+    return F.when(functools.reduce(operator.and_, hits), functools.reduce(operator.add, scores) if scores else F.lit(0))
 
 
 def select(works: DataFrame, options: Options) -> DataFrame:
-    """Works that pass every filter, with relevance."""
+    """Works that pass every filter, with relevance. Folded columns that works has are used, others are made, once."""
     out = works if options.include_record_only else works.filter(F.col("status") != "record_only")
     if options.languages:
         out = out.filter(F.coalesce("language", F.lit("")).isin(*options.languages))
     if options.tags:
         wanted = sorted({t.lower() for t in options.tags})
         out = out.filter(F.size(F.array_intersect(F.transform("tags", F.lower), F.array(*map(F.lit, wanted)))) == len(wanted))
+    stored = [f"_fold_{s}" for s in SCOPES]
     if not options.search.strip():
-        return out.withColumn("relevance", F.lit(0))
-    out = with_folded(out)
-    found = term_columns(options.search)
-    out = out.filter(functools.reduce(operator.and_, [hit for hit, _ in found])).withColumn("relevance", functools.reduce(operator.add, [score for _, score in found]))
-    return out.drop(*[f"_fold_{s}" for s in SCOPES])
+        return out.withColumn("relevance", F.lit(0)).drop(*stored)
+    folded = F.struct(*[(F.col(c) if c in works.columns else scope_text(works, s)).alias(s) for s, c in zip(SCOPES, stored, strict=True)])
+    # a generator, so that neither the filter nor what reads the relevance folds again
+    found = F.filter(F.transform(F.array(folded), lambda f: relevance(f, options.search)), lambda r: r.isNotNull())
+    return out.select("*", F.explode(found).alias("relevance")).drop(*stored)
 
 
 def sort_keys(options: Options) -> list[Column]:

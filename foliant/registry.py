@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant import storage
 from foliant.functions import codes, dates, formats, html, text
-from foliant.operators import group, query, view
+from foliant.operators import group, query, trigrams, view
 from foliant.plans import ingest
 from foliant.sources import catalog
 from foliant.sources.adapter import with_views
@@ -55,6 +56,13 @@ def search_ranked(spark, sf_dir):
     return query.ranked(table(spark, sf_dir, "works"), options).select("row_no", "id", "title", F.col("relevance").cast("int").alias("relevance"))
 
 
+@query_of("search_indexed", SQL["search_ranked"])
+def search_indexed(spark, sf_dir):
+    """The same search through a trigram index of the works."""
+    index = trigrams.index_works(table(spark, sf_dir, "works"), storage.Folder(spark, "works-index").path)
+    return trigrams.search(index, query.Options(search="tale customer#000 title:9")).select("row_no", "id", "title", F.col("relevance").cast("int").alias("relevance"))
+
+
 @query_of(
     "works_display",
     """SELECT id, CASE WHEN published_at IS NULL THEN NULL ELSE (CASE WHEN date_is_approx THEN '~' ELSE '' END) || substr(published_at, 1, CASE published_prec WHEN 'year' THEN 4 WHEN 'month' THEN 7 ELSE 10 END) END AS published_display,
@@ -206,12 +214,13 @@ def content_duplicates(spark, sf_dir):
 
 @query_of(
     "language_guess",
-    r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN '漢字仮名' || substr(text, 1, 20) WHEN 2 THEN 'かな' || substr(text, 1, 80) WHEN 3 THEN '한국어로' || substr(text, 1, 40) ELSE text END AS t FROM documents),
+    r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN repeat('漢字仮名', (doc_id % 200)::INT) || text WHEN 2 THEN repeat('かな', (doc_id % 40)::INT) || text WHEN 3 THEN text || repeat('한국어로', (doc_id % 100)::INT) ELSE text END AS t FROM documents),
 c AS (SELECT doc_id, coalesce(len(regexp_extract_all(t, '[\p{L}\p{N}]')), 0)::BIGINT AS n_letters, coalesce(len(regexp_extract_all(t, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]')), 0) AS han, coalesce(len(regexp_extract_all(t, '[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}]')), 0) AS kana, coalesce(len(regexp_extract_all(t, '[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}]')), 0) AS hangul FROM t)
 SELECT doc_id, CASE WHEN n_letters = 0 THEN NULL WHEN kana * 100 > n_letters THEN 'ja' WHEN hangul * 100 > 5 * n_letters THEN 'ko' WHEN han * 100 > 15 * n_letters THEN 'zh' END AS guess, n_letters FROM c""",
 )
 def language_guess(spark, sf_dir):
-    mixed = F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("漢字仮名"), F.substring("text", 1, 20))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("かな"), F.substring("text", 1, 80))).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("한국어로"), F.substring("text", 1, 40))).otherwise(F.col("text"))
+    times = lambda word, n: F.repeat(F.lit(word), (F.col("doc_id") % n).cast("int"))
+    mixed = F.when(F.col("doc_id") % 5 == 1, F.concat(times("漢字仮名", 200), "text")).when(F.col("doc_id") % 5 == 2, F.concat(times("かな", 40), "text")).when(F.col("doc_id") % 5 == 3, F.concat("text", times("한국어로", 100))).otherwise(F.col("text"))
     rows = docs(spark, sf_dir).select("doc_id", mixed.alias("t"))
     return rows.select("doc_id", text.guess_language(F.col("t")).alias("guess"), text.script_counts(F.col("t"))["total"].alias("n_letters"))
 
@@ -221,6 +230,13 @@ def matching_documents(spark, sf_dir):
     return docs(spark, sf_dir).filter(text.matches_terms(text.fold(F.col("text")), query.fold_literal("Token, the").split())).select("doc_id")
 
 
+@query_of("documents_indexed", SQL["matching_documents"])
+def documents_indexed(spark, sf_dir):
+    """The same through a trigram index of the texts."""
+    index = trigrams.index_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", ["doc_id"], storage.Folder(spark, "documents-index").path)
+    return trigrams.containing(index, "text", "Token, the").select("doc_id")
+
+
 @query_of(
     "page_text",
     r"""WITH s AS (SELECT page_id, array_to_string(list_transform(string_split_regex(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(?i)</?script[^>]*>'), lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, '<', chr(1)) ELSE x END), '') AS t FROM pages),

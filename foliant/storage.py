@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tables that store() has written and nothing has deleted yet.
-_STORED: list[DataFrame] = []
+_STORED: list[DataFrame | Folder] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +38,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame | None) -> None:
+class Folder:
+    """A folder of its own in the shared one, for what a caller writes itself. Owned like a stored table."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.sparkSession = spark
+        self.path = self._stored_at = f"{shared_dir(spark).rstrip('/')}/foliant/{name}-{uuid.uuid4().hex}"
+        _STORED.append(self)
+
+
+def discard(df: DataFrame | Folder | None) -> None:
     """Delete a table that store() wrote, once nothing reads it any more; other tables are left alone."""
     path = getattr(df, "_stored_at", None)
     if path:
