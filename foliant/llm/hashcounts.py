@@ -1,8 +1,8 @@
 """Exact counts of the 64-bit hashes of a whole corpus, and their lookup, by shuffles of packed arrays.
 
 A row of the shuffle holds many hashes of one shard, ascending, as the byte planes of their differences, so that a hash
-costs about as many bytes as it adds. Shards are ranges of hashes; there are about as many as the input has splits, so
-that a shard is about the size of one and hot hashes, counted before they travel, weigh no more than others.
+costs about as many bytes as it adds. Shards are ranges of hashes; there are a few for each split of the input, so
+that a shard is smaller than one and hot hashes, counted before they travel, weigh no more than others.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 def shard_bits(source: DataFrame) -> int:
     """Bits of a shard's number."""
-    return max(4, min(20, (common.pieces_of(source) - 1).bit_length()))
+    return max(4, min(22, (4 * common.pieces_of(source) - 1).bit_length()))
 
 
 def by_shard(ascending: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -98,14 +98,14 @@ def counted(source: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iter
                 yield rows(iter([(at, h[often], n[often])]))
 
         for batch in batches:
-            for shard, h, n in zip(*(batch[c].to_pylist() for c in ("shard", "hashes", "n")), strict=True):
+            for k, shard in enumerate(batch["shard"].to_pylist()):
                 if shard != at:
                     if held:
                         yield from whole()
                     at, held, size = shard, [], 0
-                held.append((unpack(h), of_planes(n)))
+                held.append((unpack(batch["hashes"][k].as_py()), of_planes(batch["n"][k].as_py())))
                 size += len(held[-1][0])
-                if size > 4 * CHUNK:
+                if size > 2 * CHUNK and len(held) > 1:
                     held = [added(held)]
                     size = len(held[0][0])
         if held:
