@@ -166,7 +166,7 @@ def summary_of(nodes: list[Node]) -> str | None:
 
 
 def parse_download(html: str) -> dict | None:
-    """Metadata of a downloaded work page, or None unless its message links to a work."""
+    """Metadata of a downloaded work page, or None unless its message links to a work and it has a title."""
     tree = _Tree()
     tree.feed(html)
     nodes = list(tree.root.walk())
@@ -175,6 +175,8 @@ def parse_download(html: str) -> dict | None:
         return None
     heads, authors = [n for n in nodes if n.tag == "h1"], [n for n in nodes if n.tag == "a" and n.attrs.get("rel") == "author"]
     title = first_text([n for n in heads if within(n, "div", "meta")]) or first_text(heads)
+    if not title:
+        return None
     author = first_text([n for n in authors if within(n, "div", "byline")]) or first_text(authors)
     labels: dict[str, list[str]] = {}
     related: list[dict] = []

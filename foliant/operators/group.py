@@ -2,42 +2,95 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant import storage
 from foliant.functions import text
+from foliant.operators.components import components
 
 FAR = 2**62
+#: Links that one task walks at most; larger components are decided in rounds.
+WALK_LINKS = 200_000
 
 
 def claim(ranks: DataFrame, claimers: DataFrame, members: DataFrame) -> DataFrame:
     """ranks: id, rank. claimers: (claimer, via), members: (via, member); a claimer claims the members of its via.
     Gives id, rank and anchor, as the walk in rank order would.
 
-    Rounds over undecided works: with an anchor among the works that would claim it and no undecided one before
-    that, a work joins the first such anchor; without undecided ones it is an anchor. Per via only the first anchor
-    and the first undecided claimer count, so a via of n works costs n rows a round and not n * n. Each round is a
-    written table.
+    Works that no link touches are their own anchors. Links fall into components, which do not see each other: if all
+    links together are few, one task walks them; else components are found, those of few links are walked, many to a
+    task, and the others are decided in rounds. So the length of a chain costs no rounds unless it is longer than a task walks.
     """
     rank_of = lambda name: ranks.select(F.col("id").alias(name), F.col("rank").alias(f"{name}_rank"))
-    claiming = storage.store(claimers.distinct().join(rank_of("claimer"), "claimer"), "claimers")
-    claimed = storage.store(members.distinct().join(rank_of("member"), "member"), "members")
-    state = storage.store(ranks.select("id", "rank", F.lit(None).cast("long").alias("anchor")), "anchors")
+    claiming = claimers.distinct().join(rank_of("claimer"), "claimer").select(F.col("claimer").alias("id"), "via", F.lit(True).alias("claims"), F.col("claimer_rank").alias("rank"))
+    claimed = members.distinct().join(rank_of("member"), "member").select(F.col("member").alias("id"), "via", F.lit(False).alias("claims"), F.col("member_rank").alias("rank"))
+    links = storage.store(claiming.unionByName(claimed), "links")
+    n = links.count()
+    if n <= WALK_LINKS:
+        found = walked(links.withColumn("bucket", F.lit(0)))
+    else:
+        parts = components(storage.store(links.select(F.concat(F.lit("w"), "id").alias("a"), F.concat(F.lit("v"), "via").alias("b")).distinct(), "edges"))
+        own = links.join(parts.select(F.col("node").alias("_node"), "root"), F.concat(F.lit("v"), "via") == F.col("_node")).drop("_node")
+        own = storage.store(own, "component-links")
+        sizes = storage.store(own.groupBy("root").agg(F.count("*").alias("n")), "component-sizes")
+        few = F.col("n") <= WALK_LINKS // 4
+        small = own.join(sizes.filter(few).select("root"), "root", "left_semi")
+        # buckets of whole components, of half of what a task walks on average
+        found = walked(small.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(1 + 2 * n // WALK_LINKS))).drop("root"))
+        large = sizes.filter(~few)
+        if not large.isEmpty():
+            found = found.unionByName(in_rounds(storage.store(own.join(large.select("root"), "root", "left_semi").drop("root"), "large-links")))
+    found = storage.store(found, "anchors")
+    return ranks.select("id", "rank").join(found, "id", "left").select("id", "rank", F.coalesce("anchor", "id").alias("anchor"))
+
+
+def walk(links: pd.DataFrame) -> pd.DataFrame:
+    """The walk itself over whole components: id and anchor. Members of a via are claimed once, so it is linear."""
+    members: dict = {}
+    vias: dict = {}
+    for i, via, claims in zip(links["id"], links["via"], links["claims"], strict=True):
+        if claims:
+            vias.setdefault(i, []).append(via)
+        else:
+            members.setdefault(via, []).append(i)
+    order = links[["rank", "id"]].drop_duplicates().sort_values(["rank", "id"])["id"]
+    anchors: dict = {}
+    for i in order:
+        if i not in anchors:
+            anchors[i] = i
+            for via in vias.get(i, ()):
+                for m in members.pop(via, ()):
+                    anchors.setdefault(m, i)
+    return pd.DataFrame({"id": list(anchors), "anchor": list(anchors.values())})
+
+
+def walked(links: DataFrame) -> DataFrame:
+    """id and anchor. links: id, via, claims, rank and bucket; a component is in one bucket as a whole."""
+    kind = links.schema["id"].dataType.simpleString()
+    return links.groupBy("bucket").applyInPandas(walk, f"id {kind}, anchor {kind}")
+
+
+def in_rounds(links: DataFrame) -> DataFrame:
+    """id and anchor, in rounds over undecided works: with an anchor among the works that would claim it and no
+    undecided one before that, a work joins the first such anchor; without undecided ones it is an anchor. Per via only
+    the first anchor and the first undecided claimer count, so a via of n works costs n rows a round and not n * n. Each
+    round is a written table."""
+    claiming, claimed = (links.filter(F.col("claims") == kind).select("id", "via", "rank") for kind in (True, False))
+    state = storage.store(links.select("id", "rank", F.lit(None).cast(links.schema["id"].dataType).alias("anchor")).distinct(), "rounds")
     while True:
-        seen = claiming.join(state.select(F.col("id").alias("claimer"), F.col("anchor").alias("a")), "claimer")
-        per_via = seen.groupBy("via").agg(F.min(F.when(F.col("a") == F.col("claimer"), F.struct("claimer_rank", "claimer"))).alias("v"), F.min(F.when(F.col("a").isNull(), F.col("claimer_rank"))).alias("u"))
+        seen = claiming.join(state.select("id", "anchor"), "id")
+        per_via = seen.groupBy("via").agg(F.min(F.when(F.col("anchor") == F.col("id"), F.struct("rank", "id"))).alias("v"), F.min(F.when(F.col("anchor").isNull(), F.col("rank"))).alias("u"))
         met = claimed.join(per_via, "via")
-        judged = met.groupBy(F.col("member").alias("id")).agg(F.min(F.when(F.col("v.claimer_rank") < F.col("member_rank"), F.col("v"))).alias("first"), F.min(F.when(F.col("u") < F.col("member_rank"), F.col("u"))).alias("open"))
+        judged = met.groupBy("id").agg(F.min(F.when(F.col("v.rank") < F.col("rank"), F.col("v"))).alias("first"), F.min(F.when(F.col("u") < F.col("rank"), F.col("u"))).alias("open"))
         joined = state.join(judged, "id", "left")
-        decided = F.when(F.col("first").isNotNull() & (F.coalesce("open", F.lit(FAR)) > F.col("first.claimer_rank")), F.col("first.claimer")).when(F.col("first").isNull() & F.col("open").isNull(), F.col("id"))
-        step = storage.store(joined.select("id", "rank", F.coalesce("anchor", decided).alias("anchor")), "anchors")
+        decided = F.when(F.col("first").isNotNull() & (F.coalesce("open", F.lit(FAR)) > F.col("first.rank")), F.col("first.id")).when(F.col("first").isNull() & F.col("open").isNull(), F.col("id"))
+        step = storage.store(joined.select("id", "rank", F.coalesce("anchor", decided).alias("anchor")), "rounds")
         storage.discard(state)
         state = step
         if not state.filter("anchor is null").limit(1).count():
-            storage.discard(claiming)
-            storage.discard(claimed)
-            return state
+            return state.select("id", "anchor")
 
 
 def emit(grouped: DataFrame, member_order: list) -> DataFrame:

@@ -121,7 +121,12 @@ for _name, _sort, _down, _undated, _order in (
     "group_translations",
     """, r AS (SELECT id, translation_role, row_number() OVER (ORDER BY word_count DESC, id) AS rank FROM works WHERE status <> 'record_only'),
 e AS (SELECT work_a AS x, work_b AS y FROM relations UNION ALL SELECT work_b, work_a FROM relations),
-g AS (SELECT r.id, r.rank, r.translation_role, CASE WHEN o.rank < r.rank THEN o.id ELSE r.id END AS anchor FROM r LEFT JOIN (SELECT e.x, p.id, p.rank FROM e JOIN r p ON e.y = p.id) o ON r.id = o.x)
+near AS (SELECT x, list(y) AS ys FROM e GROUP BY x),
+-- relations stay inside blocks of twelve works, so that each block is walked by itself
+b AS (SELECT id, rank, id // 12 AS block, row_number() OVER (PARTITION BY id // 12 ORDER BY rank) AS k, coalesce(ys, []) AS ys FROM r LEFT JOIN near ON x = id),
+walk(block, k, id, anchor, anchors) AS (SELECT DISTINCT block, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM b
+ UNION ALL SELECT b.block, b.k, b.id, coalesce(list_filter(w.anchors, lambda a: list_contains(b.ys, a))[1], b.id), CASE WHEN len(list_filter(w.anchors, lambda a: list_contains(b.ys, a))) = 0 THEN list_append(w.anchors, b.id) ELSE w.anchors END FROM walk w JOIN b ON b.block = w.block AND b.k = w.k + 1),
+g AS (SELECT r.id, r.rank, r.translation_role, walk.anchor FROM r JOIN walk ON walk.id = r.id)
 SELECT id, anchor, min(rank) OVER (PARTITION BY anchor) AS group_rank, count(*) OVER (PARTITION BY anchor) AS group_size,
  CASE WHEN row_number() OVER (PARTITION BY anchor ORDER BY CASE translation_role WHEN 'original' THEN 0 WHEN 'translation' THEN 1 ELSE 2 END, rank) > 1 THEN 1 ELSE 0 END AS depth FROM g""",
     ("works", "relations"),
@@ -134,7 +139,14 @@ def group_translations(spark, sf_dir):
 @query_of(
     "group_series",
     """, r AS (SELECT id, row_number() OVER (ORDER BY word_count DESC, id) AS rank FROM works WHERE status <> 'record_only'),
-g AS (SELECT r.id, r.rank, s.position, first_value(r.id) OVER (PARTITION BY s.series_id ORDER BY r.rank) AS anchor FROM r JOIN works_series s ON r.id = s.work_id)
+own AS (SELECT work_id, min(series_id) AS first, list(series_id) AS mine, min(CASE WHEN series_id >= 1000000000 THEN series_id - 1000000000 ELSE series_id // 3 END) AS block FROM works_series GROUP BY work_id),
+-- series join the works of three customers at most, so that each three are walked by themselves
+b AS (SELECT id, rank, block, first, mine, row_number() OVER (PARTITION BY block ORDER BY rank) AS k FROM r JOIN own ON work_id = id),
+walk(block, k, id, anchor, anchors, firsts) AS (SELECT DISTINCT block, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[] FROM b
+ UNION ALL SELECT block, k, id, coalesce(at_, id), CASE WHEN at_ IS NULL THEN list_append(anchors, id) ELSE anchors END, CASE WHEN at_ IS NULL THEN list_append(firsts, first) ELSE firsts END
+ FROM (SELECT b.block, b.k, b.id, b.first, w.anchors, w.firsts, list_filter(w.anchors, lambda a, i: list_contains(b.mine, w.firsts[i]))[1] AS at_ FROM walk w JOIN b ON b.block = w.block AND b.k = w.k + 1)),
+a AS (SELECT r.id, r.rank, coalesce(walk.anchor, r.id) AS anchor FROM r LEFT JOIN walk ON walk.id = r.id),
+g AS (SELECT a.*, s.position FROM a LEFT JOIN own ON own.work_id = a.anchor LEFT JOIN works_series s ON s.work_id = a.id AND s.series_id = own.first)
 SELECT id, anchor, min(rank) OVER (PARTITION BY anchor) AS group_rank, count(*) OVER (PARTITION BY anchor) AS group_size, row_number() OVER (PARTITION BY anchor ORDER BY position NULLS LAST, rank) AS place FROM g""",
     ("works", "works_series"),
 )

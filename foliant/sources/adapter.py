@@ -23,8 +23,11 @@ FROM orders JOIN customer ON o_custkey = c_custkey""",
        row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS version, sum(cast(l_quantity AS bigint)) AS size_bytes, l_linenumber AS seq
 FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linenumber""",
     "work_tags": """SELECT DISTINCT l_orderkey AS work_id, CASE WHEN l_orderkey % 2 = 0 THEN p_type ELSE lower(p_type) END AS name FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "works_series": """SELECT o_orderkey AS work_id, o_custkey AS series_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS position FROM orders""",
-    "relations": """SELECT a.o_orderkey AS work_a, b.o_orderkey AS work_b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 4 = 0""",
+    "works_series": """SELECT o_orderkey AS work_id, o_custkey AS series_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS position FROM orders WHERE o_orderkey % 7 <> 5
+UNION ALL SELECT o_orderkey, cast(1000000000 + floor(o_custkey / 3) AS bigint), CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 5 END FROM orders WHERE o_orderkey % 10 = 3""",
+    "relations": """SELECT a.o_orderkey AS work_a, b.o_orderkey AS work_b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 12 IN (0, 1, 2, 3, 6, 10)
+UNION ALL SELECT a.o_orderkey, b.o_orderkey FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 2 WHERE a.o_orderkey % 12 = 6
+UNION ALL SELECT a.o_orderkey, b.o_orderkey FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 3 WHERE a.o_orderkey % 12 = 6""",
     "pending": """SELECT cast(user_id AS string) AS external_id, event_id AS from_work_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS title, value < 50 AS dismissed FROM events WHERE event_type IN ('error', 'signup')""",
 }
 TABLES = ("orders", "customer", "lineitem", "part", "events", "documents", "pages", "labels")
@@ -41,4 +44,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(*names: str) -> str:
     """WITH clause of the same tables for SQL."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)

@@ -222,3 +222,56 @@ def test_relations(spark):
     resolved, pending = ingest.plan_relations(parsed, spark.createDataFrame([("20011",), ("9307",)], "external_id string"))
     assert rows(resolved) == [("9307", "20011")]
     assert rows(pending) == [("5", "9307", "later")]
+
+
+def test_a_rising_chain_is_walked_in_few_jobs(spark):
+    """Each work is claimed by the next one: a round per work, were it decided in rounds."""
+    n = 5000
+    rng = random.Random(8)
+    names = rng.sample(range(10**6), n)
+    ranks = spark.createDataFrame([(w, k) for k, w in enumerate(names)], "id long, rank long")
+    pairs = [(a, b) for a, b in zip(names, names[1:], strict=False)]
+    both = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "claimer long, member long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = group.claim(ranks, both.selectExpr("claimer", "claimer as via"), both.selectExpr("claimer as via", "member"))
+    found = {r.id: r.anchor for r in got.collect()}
+    n_jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("", "")
+    assert found == {w: names[k - k % 2] for k, w in enumerate(names)}
+    assert n_jobs < 20
+
+
+@pytest.mark.parametrize("limit", [400, 60, 8])
+def test_walks_and_rounds_agree(spark, monkeypatch, limit):
+    """Components found first, some walked and some, or all, in rounds."""
+    rng = random.Random(limit)
+    n = 60
+    pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(30)} | {(k, k + 1) for k in range(40, 55)})
+    pairs = [(a, b) for a, b in pairs if a != b]
+    order = rng.sample(range(n), n)
+    want = {}
+    for w in order:
+        if w not in want:
+            want[w] = w
+            for a, b in pairs:
+                if w in (a, b):
+                    want.setdefault(a + b - w, w)
+    both = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "claimer long, member long")
+    ranks = spark.createDataFrame([(w, k) for k, w in enumerate(order)], "id long, rank long")
+    monkeypatch.setattr(group, "WALK_LINKS", limit)
+    got = group.claim(ranks, both.selectExpr("claimer", "claimer as via"), both.selectExpr("claimer as via", "member"))
+    assert {r.id: r.anchor for r in got.collect()} == want
+
+
+def test_a_page_without_a_title_is_plain_text(spark, tmp_path):
+    page = '<html><body><div id="preface"><p class="message">Posted at <a href="http://example.test/works/123">here</a></p>{}</div><p>Some words here</p></body></html>'
+    (tmp_path / "a.html").write_text(page.format(""))
+    (tmp_path / "b.html").write_text(page.format("<h1>Named</h1>"))
+    files = {r.name: r for r in ingest.inspect(ingest.scan(spark, str(tmp_path))).collect()}
+    assert files["a.html"].word_count and files["a.html"].parsed is None
+    assert files["b.html"].parsed.title == "Named"
+    none = spark.createDataFrame([], "id long, title string, external_id string")
+    stored = spark.createDataFrame([], "work_id long, format_detail string, file_hash string")
+    plan = ingest.plan_files(ingest.group_key(ingest.inspect(ingest.scan(spark, str(tmp_path)))), none, stored)
+    assert {r.name: r.title for r in plan.collect()}["a.html"] == "a"
