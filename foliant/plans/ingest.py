@@ -2,64 +2,35 @@
 
 from __future__ import annotations
 
-import os
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant import storage
 from foliant.functions import codes, dates, formats, html, text
-from foliant.sources import catalog
+from foliant.sources import catalog, files
+
+#: Unreadable files that an error names.
+NAMED = 1000
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """path and content of all files under path. Names below it that begin with a dot are left out, and so is what lies
-    in such folders; path itself may have one in its own way. Spark's readers do not list names that begin with an
-    underscore."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
-    whole = F.regexp_replace(F.col("path"), "^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
-    below = F.when(whole == root, "").otherwise(F.substring_index(whole, root.rstrip("/") + "/", -1))
-    return files.filter(~F.concat(F.lit("/"), below).rlike(r"/\.[^/]*(?:/|$)")).select("path", "content")
-
-
-def list_paths(paths: list[str]) -> list[str]:
-    """Files to import, sorted, each once: those named, whatever their names, and those below named folders but for
-    names that begin with a dot. Runs where the files are picked; what is picked there is a list that fits there."""
-    found = set()
-    for path in paths:
-        if not os.path.isdir(path):
-            found.add(path)
-        for folder, below, names in os.walk(path):
-            below[:] = [d for d in below if not d.startswith(".")]
-            found.update(os.path.join(folder, n) for n in names if not n.startswith("."))
-    return sorted(found)
+    in such folders; path itself may have one in its own way. Files that cannot be read are left to require_readable()."""
+    return files.read(files.listed(spark, [path])).filter("error is null").drop("error")
 
 
 def read_paths(paths: DataFrame) -> DataFrame:
-    """path, content and error of files in a folder that all executors share. A file that can't be read has an error
-    and no content."""
-
-    def run(batches):
-        for batch in batches:
-            for path in batch["path"]:
-                try:
-                    with open(path, "rb") as f:
-                        yield pd.DataFrame({"path": [path], "content": [f.read()], "error": [None]})
-                except OSError as e:
-                    yield pd.DataFrame({"path": [path], "content": [None], "error": [e.strerror or str(e)]})
-
-    return paths.select("path").mapInPandas(run, "path string, content binary, error string")
+    """path, content and error of named files. A file that can't be read has an error and no content."""
+    return files.read(paths.select("path", F.lit(None).cast("long").alias("length"), F.lit(None).cast("string").alias("error")).distinct())
 
 
-def require_readable(files: DataFrame) -> DataFrame:
-    """path and content of files, or one error that names all that could not be read."""
-    wrong = files.filter("error is not null").select("path", "error").orderBy("path").collect()
+def require_readable(found: DataFrame) -> DataFrame:
+    """path and content of files, or one error that names those that could not be read, NAMED of them at most."""
+    wrong = found.filter("error is not null").select("path", "error").orderBy("path").limit(NAMED + 1).collect()
     if wrong:
-        raise OSError("cannot read " + "; ".join(f"{r.path}: {r.error}" for r in wrong))
-    return files.drop("error")
+        more = "; and more" if len(wrong) > NAMED else ""
+        raise OSError("cannot read " + "; ".join(f"{r.path}: {r.error}" for r in wrong[:NAMED]) + more)
+    return found.drop("error")
 
 
 def inspect(files: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from foliant import storage
 from foliant.functions import codes, dates, formats, html, text
 from foliant.operators import group, query, trigrams, view
 from foliant.plans import ingest
-from foliant.sources import catalog
+from foliant.sources import catalog, files
 from foliant.sources.adapter import with_views
 from foliant.sources.adapter import view as table
 
@@ -217,6 +217,22 @@ def folded_hash(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded_sha256"))
 
 
+@query_of(
+    "files_round_trip",
+    """SELECT CASE doc_id % 4 WHEN 1 THEN '_' ELSE '' END || 'doc-' || doc_id || '.txt' AS name, CASE WHEN doc_id % 3 = 0 THEN '_shelf' ELSE 'shelf' END || (doc_id % 7) AS folder, strlen(coalesce(text, '')) AS length, sha256(coalesce(text, '')) AS file_hash, NULL::VARCHAR AS error
+ FROM documents WHERE doc_id % 4 <> 2""",
+)
+def files_round_trip(spark, sf_dir):
+    """Texts written as files, some with names that are not listed, and what lists and reads them."""
+    hidden = F.when(F.col("doc_id") % 4 == 1, "_").when(F.col("doc_id") % 4 == 2, ".").otherwise("")
+    shelf = F.concat(F.when(F.col("doc_id") % 3 == 0, "_shelf").otherwise("shelf"), F.col("doc_id") % 7)
+    path = storage.Folder(spark, "library").path
+    files.write_tree(docs(spark, sf_dir).select(F.concat(shelf, F.lit("/"), hidden, F.lit("doc-"), "doc_id", F.lit(".txt")).alias("rel_path"), F.coalesce("text", F.lit("")).alias("content")), path)
+    found = files.read(files.listed(spark, [path]))
+    part = lambda k: F.element_at(F.split("path", "/"), -k)
+    return found.select(part(1).alias("name"), part(2).alias("folder"), F.length("content").cast("long").alias("length"), formats.file_hash(F.col("content")).alias("file_hash"), "error")
+
+
 @query_of("content_duplicates", "SELECT doc_id, sha256(text) AS file_hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS owner, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS batch_repeat FROM documents")
 def content_duplicates(spark, sf_dir):
     hashed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("file_hash"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.sources import files as files_of
 from foliant.operators import group, query, view
 from foliant.plans import ingest
 from foliant.sources import catalog, demo
@@ -59,9 +60,9 @@ def test_vocabularies_of_the_demo(spark):
 def test_files_that_cannot_be_read(spark, tmp_path):
     (tmp_path / "_a.txt").write_text("x")
     (tmp_path / ".b.txt").write_text("y")
-    paths = ingest.list_paths([str(tmp_path), str(tmp_path / ".b.txt"), str(tmp_path / "none.txt")])
-    assert [p.rsplit("/", 1)[1] for p in paths] == [".b.txt", "_a.txt", "none.txt"]
-    files = ingest.read_paths(spark.createDataFrame([(p,) for p in paths], "path string"))
+    listing = files_of.listed(spark, [str(tmp_path), str(tmp_path / ".b.txt"), str(tmp_path / "none.txt")])
+    assert sorted(r.path.rsplit("/", 1)[1] for r in listing.collect()) == [".b.txt", "_a.txt", "none.txt"]
+    files = ingest.read_paths(listing)
     assert {r.path.rsplit("/", 1)[1]: (r.content and bytes(r.content)) for r in files.collect()} == {".b.txt": b"y", "_a.txt": b"x", "none.txt": None}
     with pytest.raises(OSError, match="none.txt"):
         ingest.require_readable(files)
