@@ -5,6 +5,7 @@ Queries cover whole tables. Orders are shown as row_no or place columns, since r
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from foliant import storage
 from foliant.functions import codes, dates, formats, html, text
 from foliant.operators import group, query, trigrams, view
 from foliant.plans import ingest
-from foliant.sources import catalog, files
+from foliant.sources import catalog, changes, files
 from foliant.sources.adapter import with_views
 from foliant.sources.adapter import view as table
 
@@ -186,9 +187,32 @@ def tags_per_work(spark, sf_dir):
     return view.tags_of_works(table(spark, sf_dir, "work_tags")).select("work_id", F.array_join("tags", "|").alias("tags"))
 
 
-@query_of("merge_candidates", "SELECT w.id, w.title, coalesce(string_agg(DISTINCT f.format_detail, ',' ORDER BY f.format_detail), '') AS formats FROM (SELECT * FROM works ORDER BY id DESC LIMIT 300) w LEFT JOIN files f ON f.work_id = w.id GROUP BY ALL", ("works", "files"))
+EDITED = """, second AS (SELECT id, title || ' (2)' AS title, status FROM works WHERE id % 7 = 0 AND id % 5 <> 0 UNION ALL SELECT id, title, status FROM works WHERE id % 7 <> 0 AND id % 5 <> 0 UNION ALL SELECT id + 1000000000, title, status FROM works WHERE id % 11 = 0),
+feed AS (SELECT coalesce(s.id, w.id) AS id, CASE WHEN w.id IS NULL THEN 'added' WHEN s.id IS NULL THEN 'removed' ELSE 'changed' END AS kind, 2 AS state FROM works w FULL JOIN second s ON s.id = w.id WHERE w.id IS NULL OR s.id IS NULL OR s.title <> w.title)
+"""
+
+
+def edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Works in two states: some go, some get another title, some are new."""
+    works = table(spark, sf_dir, "works").select("id", "title", "status")
+    title = F.when(F.col("id") % 7 == 0, F.concat("title", F.lit(" (2)"))).otherwise(F.col("title"))
+    return works, works.filter("id % 5 <> 0").withColumn("title", title).unionByName(works.filter("id % 11 = 0").withColumn("id", F.col("id") + 1000000000))
+
+
+@query_of("works_changed", EDITED + "SELECT id, kind, state FROM feed", ("works",))
+def works_changed(spark, sf_dir):
+    return changes.feed(*edited(spark, sf_dir), "id", 2)
+
+
+@query_of(
+    "merge_candidates",
+    EDITED + "SELECT w.id, w.title, coalesce(string_agg(DISTINCT f.format_detail, ',' ORDER BY f.format_detail), '') AS formats FROM (SELECT s.id, s.title FROM second s LEFT JOIN feed ON feed.id = s.id AND kind <> 'removed' ORDER BY coalesce(state, 1) DESC, s.id DESC LIMIT 300) w LEFT JOIN files f ON f.work_id = w.id GROUP BY ALL",
+    ("works", "files"),
+)
 def merge_candidates(spark, sf_dir):
-    return view.merge_candidates(table(spark, sf_dir, "works"), table(spark, sf_dir, "files"))
+    """The works that the last state changed come first."""
+    before, after = edited(spark, sf_dir)
+    return view.merge_candidates(changes.updated(after, changes.feed(before, after, "id", 2), "id", 1), table(spark, sf_dir, "files"))
 
 
 @query_of(
@@ -321,12 +345,44 @@ def fill_and_edit(spark, sf_dir):
     return catalog.edit(filled, edits, ["language", "word_count"])
 
 
-@query_of("delete_cascade", "SELECT 'files' AS kind, count(*) AS n FROM files WHERE work_id % 3 <> 0 UNION ALL SELECT 'relations', count(*) FROM relations WHERE work_a % 3 <> 0 AND work_b % 3 <> 0 UNION ALL SELECT 'works', count(*) FROM works WHERE id % 3 <> 0", ("works", "files", "relations"))
+def listed(parts: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Rows of several tables as kind and row, their columns joined by bars, nulls as dashes."""
+    one = lambda kind, df, columns: df.select(F.lit(kind).alias("kind"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("row"))
+    rows = [one(kind, df, columns) for kind, (df, columns) in parts.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def sql_list(*parts: tuple[str, str, str]) -> str:
+    """The same in SQL: kind, columns, and what follows SELECT."""
+    text_of = lambda c: f"coalesce({c}::VARCHAR, '-')"
+    one = lambda kind, columns, rest: f"SELECT '{kind}' AS kind, concat_ws('|', {', '.join(map(text_of, columns.split(',')))}) AS row {rest}"
+    return "\nUNION ALL ".join(one(*p) for p in parts)
+
+
+LINKED = ("works", "files", "work_tags", "works_series", "relations", "pending")
+
+
+@query_of(
+    "delete_cascade",
+    """, left_tags AS (SELECT DISTINCT name FROM work_tags WHERE work_id % 3 <> 0), left_series AS (SELECT DISTINCT series_id FROM works_series WHERE work_id % 3 <> 0)
+"""
+    + sql_list(
+        ("works", "id,title", "FROM works WHERE id % 3 <> 0"), ("files", "work_id,format_detail,version,size_bytes", "FROM files WHERE work_id % 3 <> 0 OR work_id NOT IN (SELECT id FROM works)"), ("tags of works", "work_id,name", "FROM work_tags WHERE work_id % 3 <> 0 OR work_id NOT IN (SELECT id FROM works)"),
+        ("series of works", "work_id,series_id,position", "FROM works_series WHERE work_id % 3 <> 0"), ("relations", "work_a,work_b", "FROM relations WHERE work_a % 3 <> 0 AND work_b % 3 <> 0"), ("pending", "external_id,from_work_id,title", "FROM pending WHERE from_work_id % 3 <> 0 OR from_work_id NOT IN (SELECT id FROM works)"),
+        ("tags", "name", "FROM left_tags"), ("series", "series_id", "FROM left_series"),
+        ("report", "a,b,c", "FROM (SELECT (SELECT count(*) FROM works WHERE id % 3 = 0) AS a, (SELECT count(DISTINCT name) FROM work_tags) - (SELECT count(*) FROM left_tags) AS b, (SELECT count(DISTINCT series_id) FROM works_series) - (SELECT count(*) FROM left_series) AS c)"),
+    ),
+    LINKED,
+)
 def delete_cascade(spark, sf_dir):
-    tables = {n: table(spark, sf_dir, n) for n in ("works", "files", "relations")}
-    left = catalog.delete(tables, tables["works"].filter("id % 3 = 0"))
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n") for name, df in left.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """A third of the works goes, with all that hangs on them and the tags and series that nothing else has."""
+    tables = {n: table(spark, sf_dir, n) for n in LINKED}
+    tables |= {"tags": tables["work_tags"].select("name").distinct(), "series": tables["works_series"].select("series_id").distinct()}
+    left, report = catalog.delete_works(tables, tables["works"].filter("id % 3 = 0"))
+    return listed({
+        "works": (left["works"], ["id", "title"]), "files": (left["files"], ["work_id", "format_detail", "version", "size_bytes"]), "tags of works": (left["work_tags"], ["work_id", "name"]), "series of works": (left["works_series"], ["work_id", "series_id", "position"]),
+        "relations": (left["relations"], ["work_a", "work_b"]), "pending": (left["pending"], ["external_id", "from_work_id", "title"]), "tags": (left["tags"], ["name"]), "series": (left["series"], ["series_id"]), "report": (report, ["works_removed", "tags_pruned", "series_pruned"]),
+    })
 
 
 @query_of("pending_resolved", "SELECT external_id, from_work_id FROM pending WHERE external_id NOT IN (SELECT external_id FROM works)", ("works", "pending"))
@@ -405,6 +461,26 @@ def import_report(spark, sf_dir):
     return ingest.execute({"works": works, "files": stored, "relations": none, "pending": pending}, plan)[1]
 
 
+@query_of(
+    "import_tables",
+    PLANNED
+    + """, heads AS (SELECT group_key, min(path) AS group_order, arg_min(stem, path) AS first FROM k GROUP BY group_key),
+ids AS (SELECT group_key, group_order, first, existing_work_id, coalesce(existing_work_id, 99 + row_number() OVER (PARTITION BY existing_work_id IS NULL ORDER BY group_order)) AS work_id FROM g JOIN heads USING (group_key)),
+coming AS (SELECT work_id, detail, plan.h, row(group_order, path) AS seq, action <> 'keep_both' AS replaces FROM plan JOIN (SELECT path, detail FROM k) USING (path) JOIN ids ON ids.group_key = plan.group_key WHERE action <> 'skipped_duplicate' AND NOT batch_repeat),
+slots AS (SELECT *, max(replaces::INT) OVER s AS any_, max(CASE WHEN replaces THEN seq END) OVER s AS final FROM coming WINDOW s AS (PARTITION BY work_id, detail)),
+placed AS (SELECT s.*, CASE WHEN replaces THEN 1 ELSE greatest(CASE WHEN EXISTS (SELECT 1 FROM st WHERE st.work_id = s.work_id AND st.detail = s.detail) THEN 1 ELSE 0 END, any_) + row_number() OVER (PARTITION BY work_id, detail, replaces ORDER BY seq) END AS version,
+  CASE WHEN seq = max(seq) OVER (PARTITION BY work_id, detail) THEN 'current' ELSE 'archived' END AS role FROM slots s WHERE NOT replaces OR seq = final)
+"""
+    + sql_list(("work", "id,title,status", "FROM (SELECT range AS id, 'Work' || range AS title, 'has_file' AS status FROM range(100) UNION ALL SELECT work_id, 'work' || first, 'has_file' FROM ids WHERE existing_work_id IS NULL)"), ("file", "work_id,detail,version,h,role", "FROM (SELECT work_id, detail, version, h, role FROM placed UNION ALL SELECT work_id, detail, 1, h, 'archived' FROM st)")),
+)
+def import_tables(spark, sf_dir):
+    """Works and files as the import leaves them."""
+    files, works, stored = batch(spark, sf_dir)
+    tables = {"works": works, "files": stored, "relations": spark.createDataFrame([], "work_a long, work_b long"), "pending": spark.createDataFrame([], "external_id string, from_work_id long, title string, dismissed boolean")}
+    after = ingest.execute(tables, ingest.plan_files(files, works, stored, keep_both=True))[0]
+    return listed({"work": (after["works"], ["id", "title", "status"]), "file": (after["files"], ["work_id", "format_detail", "version", "file_hash", "role"])})
+
+
 def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with an id and a role."""
     number = F.when(F.col("format_detail") == "html", 0).when(F.col("format_detail") == "pdf", 1).otherwise(2)
@@ -443,16 +519,27 @@ def files_stored(spark, sf_dir):
     return catalog.store_files(files, new).select("work_id", "format_detail", F.col("version").cast("long").alias("version"), "role")
 
 
-@query_of("tags_replaced", "SELECT work_id, name FROM work_tags WHERE work_id % 5 <> 0 UNION ALL SELECT id, 'New' FROM works WHERE id % 5 = 0", ("works", "work_tags"))
+@query_of(
+    "tags_replaced",
+    ", links AS (SELECT work_id, name FROM work_tags WHERE work_id % 5 <> 0 UNION ALL SELECT id, 'New' FROM works WHERE id % 5 = 0)\n" + sql_list(("link", "work_id,name", "FROM links"), ("tag", "name", "FROM (SELECT DISTINCT name FROM links)"), ("count", "name,n", "FROM (SELECT name, count(*) AS n FROM links GROUP BY name)")),
+    ("works", "work_tags"),
+)
 def tags_replaced(spark, sf_dir):
+    """Links, vocabulary and counts per tag after edits; the counts are those from before, kept up by the edit's changes."""
+    before = table(spark, sf_dir, "work_tags")
     edits = table(spark, sf_dir, "works").filter("id % 5 = 0").select(F.col("id").alias("work_id"), F.array(F.lit(" New "), F.lit("new"), F.lit("")).alias("tags"))
-    return catalog.replace_tags(table(spark, sf_dir, "work_tags"), edits)[0].select("work_id", "name")
+    links, names = catalog.replace_tags(before, edits)
+    counts = changes.kept_up(changes.counted(before, ["name"]), changes.delta(before, links, edits, "work_id", ["name"]), ["name"])
+    return listed({"link": (links, ["work_id", "name"]), "tag": (names, ["name"]), "count": (counts, ["name", "n"])})
 
 
 @query_of(
     "series_replaced",
-    """SELECT work_id, series_id, position FROM works_series WHERE work_id % 6 <> 0
-UNION ALL SELECT id, (SELECT max(series_id) FROM works_series) + 1 + CASE id % 4 WHEN 0 THEN 0 ELSE 1 END, 2 FROM works WHERE id % 6 = 0""",
+    """, top AS (SELECT max(series_id) AS top FROM works_series),
+links AS (SELECT work_id, series_id, position FROM works_series WHERE work_id % 6 <> 0 UNION ALL SELECT id, top + 1 + CASE id % 4 WHEN 0 THEN 0 ELSE 1 END, 2 FROM works, top WHERE id % 6 = 0),
+named AS (SELECT DISTINCT series_id, CASE WHEN series_id > top THEN 'Saga ' || (2 * (series_id - top - 1)) ELSE 'Series ' || series_id END AS name FROM links, top)
+"""
+    + sql_list(("link", "work_id,series_id,position", "FROM links"), ("series", "series_id,name", "FROM named")),
     ("works", "works_series"),
 )
 def series_replaced(spark, sf_dir):
@@ -460,8 +547,9 @@ def series_replaced(spark, sf_dir):
     series = links.select("series_id").distinct().select("series_id", F.concat(F.lit("Series "), F.col("series_id").cast("string")).alias("name"))
     part = (F.col("id") % 4).cast("string")
     member = lambda name, position: F.struct(name.alias("name"), F.lit(position).cast(links.schema["position"].dataType).alias("position"))
-    edits = table(spark, sf_dir, "works").filter("id % 6 = 0").select(F.col("id").alias("work_id"), F.array(member(F.concat(F.lit(" Saga "), part), 1), member(F.concat(F.lit("saga "), part), 2), member(F.lit(" "), 3)).alias("memberships"))
-    return catalog.replace_series(links, series, edits)[0].select("work_id", "series_id", F.col("position").cast("long").alias("position"))
+    edits = table(spark, sf_dir, "works").filter("id % 6 = 0").select(F.col("id").alias("work_id"), F.array(member(F.concat(F.lit(" Saga "), part), 1), member(F.concat(F.lit("Saga "), part), 2), member(F.lit(" "), 3)).alias("memberships"))
+    after, vocabulary = catalog.replace_series(links, series, edits)
+    return listed({"link": (after, ["work_id", "series_id", "position"]), "series": (vocabulary, ["series_id", "name"])})
 
 
 @query_of(

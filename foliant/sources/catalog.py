@@ -231,6 +231,47 @@ def delete(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]
     return out
 
 
+def delete_works(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """delete(), and tags and series that no work has any more go from their vocabularies. Gives the tables and one row of
+    counts: works, tags and series that went. tables may have tags (name) and series (series_id, name); ids: id."""
+    out = delete(tables, ids)
+    one, gone = F.lit(1).alias("_one"), []
+    gone.append(tables["works"].join(ids.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("works_removed")))
+    for name, links, on in (("tags", "work_tags", "name"), ("series", "works_series", "series_id")):
+        if name in tables:
+            out[name] = tables[name].join(out[links].select(on).distinct(), on, "left_semi")
+            gone.append(tables[name].join(out[links].select(on).distinct(), on, "left_anti").agg(F.count("*").alias(f"{name}_pruned")))
+    report = gone[0].select("*", one)
+    for part in gone[1:]:
+        report = report.join(part.select("*", one), "_one")
+    return out, report.drop("_one")
+
+
+def remove_folders(root: str, ids: DataFrame) -> DataFrame:
+    """Remove the folders of works under root, a folder that all executors see. Gives id, removed (false where there was
+    none) and error. ids: id."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    schema = pa.schema([("id", pa.int64()), ("removed", pa.bool_()), ("error", pa.string())])
+
+    def run(batches):
+        system, at = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for i, folder in zip(batch["id"].to_pylist(), batch["folder"].to_pylist(), strict=True):
+                there, error = False, None
+                try:
+                    there = system.get_file_info(inside(at, folder)).type == fs.FileType.Directory
+                    if there:
+                        system.delete_dir(inside(at, folder))
+                except OSError as e:
+                    there, error = False, str(e)
+                yield pa.RecordBatch.from_pydict({"id": [i], "removed": [there], "error": [error]}, schema)
+
+    folders = ids.select(F.col("id").cast("long").alias("id")).distinct().withColumn("folder", formats.work_folder(F.col("id")))
+    return storage.store(folders.mapInArrow(run, "id long, removed boolean, error string"), "removed")
+
+
 def set_dismissed(pending: DataFrame, ids: DataFrame | None, dismissed: bool) -> DataFrame:
     """Dismiss or restore every row of the external ids, or all rows."""
     if ids is None:
