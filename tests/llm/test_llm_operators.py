@@ -207,18 +207,20 @@ def test_mixing(docs):
 def test_topk(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, rng.normal(size=8).tolist()) for i in range(300)]
-    vectors += [(300, vectors[0][1]), (301, None), (302, [1.0, None]), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (305, [1.0, 2.0]), (350, [0.5, 0.5]), (5, vectors[5][1])]
+    vectors += [(300, vectors[0][1]), (301, None), (302, [1.0, None]), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (305, [1.0, 2.0]), (350, [0.5, 0.5]), (5, vectors[5][1]), (50, vectors[50][1]), (50, vectors[7][1]), (None, vectors[50][1])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, score int, rank int")
     sound = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(np.int64)) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, a in sound:
-        if q % 50 == 0:
-            scores = sorted((-int(a @ b), i) for i, b in sound if i != q and len(a) == len(b))[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    for n, (q, a) in enumerate(sound):
+        if q is not None and q % 50 == 0:
+            # a query leaves out its own row alone; a row without id comes after those with the same score
+            scores = sorted((-int(a @ b), topk.LAST if i is None else i) for m, (i, b) in enumerate(sound) if m != n and len(a) == len(b))[:5]
+            want += [(q, k + 1, None if i == topk.LAST else i, -s) for k, (s, i) in enumerate(scores)]
+    assert any(w[2] is None for w in want) and sum(w[0] == 50 and w[1] == 1 for w in want) == 3
     for block in (1000, 3):
-        got = topk.topk(df, df.filter("vec_id % 50 = 0"), shard_rows=64, block_queries=block)
-        assert sorted(map(tuple, got.collect())) == sorted(want)
-    assert topk.topk(df.limit(0), df.limit(0)).count() == 0
+        got = topk.topk(df, F.col("vec_id") % 50 == 0, shard_rows=64, block_queries=block)
+        assert sorted(map(repr, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(map(repr, spark.createDataFrame(want, "query_id long, rank int, vec_id long, score long").collect()))
+    assert topk.topk(df.limit(0), F.lit(True)).count() == 0
 
 
 def test_pii():
