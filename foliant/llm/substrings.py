@@ -4,14 +4,16 @@ A word goes if a window of WINDOW words over it also starts in a document with a
 
 1. Anchors. Each window has an anchor, the run of GRAM words in it with the smallest hash, so equal windows have
    equal anchors. Per anchor hash the smallest document (its source), and whether there is another, are summed up.
-2. Shards. A document's windows with a repeated anchor go, as joined segments, to the shard of the anchor's source;
-   the source's own segments are what that shard indexes. A source that many documents read is dealt to several
-   shards, with its segments in each, by how many anchors read it: no shard grows with a passage's popularity.
+2. Shards. A document's windows with a repeated anchor go, as joined segments of SEGMENT windows at most, to the shard
+   of the anchor's source; the source's own segments, of a window that it repeats the first only, are what that shard
+   indexes. A source that many windows read is dealt to several shards, with its segments in each, by how many those
+   are: no shard grows with a passage's popularity, nor with a document that repeats a passage in itself.
 3. Each shard builds an FM-index (wavelet matrix over the Burrows-Wheeler transform) of its source segments and
    streams the others through it: backward search gives their matching statistics and so the windows found in an
    earlier document; of all that hold a window the least, a range minimum over the suffixes, decides.
 4. Windows that share an anchor with the source but are not found there may still repeat between other documents;
-   128-bit hashes of their words are summed up in the same way as the anchors.
+   128-bit hashes of their words are summed up in the same way as the anchors, and the words of those that meet are
+   compared.
 
 Steps 1, 2 and 4 only choose and bring together; none drops a window.
 
@@ -37,8 +39,10 @@ from foliant.llm.fmindex import FMIndex, matched_windows
 
 WINDOW = 13
 GRAM = 5
-#: Repeated anchors whose windows one shard is meant to hold.
-SHARD_ANCHORS = 60_000
+#: Windows that one shard is meant to read.
+SHARD_WINDOWS = 250_000
+#: Windows of a segment at most; a document's segments reach WINDOW - 1 words into each other.
+SEGMENT = 4096
 #: Windows of one lane of the search.
 LANE = 256
 HASH = xxhash.xxh3_64_intdigest
@@ -73,21 +77,29 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """anchor and doc_id, once for each document."""
+    """anchor, doc_id and n, how many windows of the document have the anchor."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found, ids = [], []
+        found, ids, counts = [], [], []
         for doc, text in zip(batch["doc_id"].to_pylist(), common.text_bytes(batch["text"]), strict=True):
             words = text.split()
             if len(words) >= WINDOW:
                 g, place = anchors(words)
-                own = np.unique(g[place[np.r_[True, place[1:] != place[:-1]]]])
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                own, which = np.unique(g[place[first]], return_inverse=True)
                 found.append(own)
                 ids.append(np.full(len(own), doc))
+                counts.append(np.bincount(which, np.diff(np.r_[first, len(place)])).astype(np.int64))
         if found:
-            yield pa.RecordBatch.from_pydict({"anchor": np.concatenate(found).view(np.int64), "doc_id": np.concatenate(ids)})
+            yield pa.RecordBatch.from_pydict({"anchor": np.concatenate(found).view(np.int64), "doc_id": np.concatenate(ids), "n": np.concatenate(counts)})
 
-    return common.map_slices(docs.select("doc_id", "text"), "anchor bigint, doc_id bigint", run)
+    return common.map_slices(docs.select("doc_id", "text"), "anchor bigint, doc_id bigint, n bigint", run)
+
+
+def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window, from two mixtures of its words' hashes."""
+    h = np.fromiter(map(HASH, words), np.uint64, len(words))
+    return mixed(h, WINDOW), mixed(h[::-1], WINDOW)[::-1]
 
 
 def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -132,22 +144,31 @@ def segments(docs: DataFrame, flags: DataFrame, n_shards: int) -> DataFrame:
             repeated = known[at] == here
             groups, kind = np.unique(sources, return_inverse=True)
             source_of = np.where(repeated, kind[at], -1)
-            for a, b in runs(source_of):
-                if source_of[a] < 0:
+            own_source = np.flatnonzero(groups == doc)
+            if len(own_source):
+                # what the document repeats in itself is indexed once
+                mine = np.flatnonzero(source_of == own_source[0])
+                x, y = (h[mine] for h in window_hashes(words))
+                order = np.lexsort((y, x))
+                x, y = x[order], y[order]
+                source_of[mine[order[1:][(x[1:] == x[:-1]) & (y[1:] == y[:-1])]]] = -1
+            for low, high in runs(source_of):
+                if source_of[low] < 0:
                     continue
-                source, n_parts = int(groups[source_of[a]]), int(parts[at[a]])
-                piece = words[a : b + WINDOW - 1]
-                if source == doc:
-                    for where in sorted({shard(source, p) for p in range(n_parts)}):
-                        emit(where, True, doc, key, a, piece)
-                else:
-                    emit(shard(source, xxhash.xxh64_intdigest(str(doc).encode()) % n_parts), False, doc, key, a, piece)
+                source, n_parts = int(groups[source_of[low]]), int(parts[at[low]])
+                for a in range(low, high, SEGMENT):
+                    piece = words[a : min(a + SEGMENT, high) + WINDOW - 1]
+                    if source == doc:
+                        for where in sorted({shard(source, p) for p in range(n_parts)}):
+                            emit(where, True, doc, key, a, piece)
+                    else:
+                        emit(shard(source, xxhash.xxh64_intdigest(f"{doc}:{a}".encode()) % n_parts), False, doc, key, a, piece)
         yield pa.RecordBatch.from_pydict(out, pa.schema([("shard", pa.int32()), ("is_source", pa.bool_()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("first", pa.int32()), ("words", pa.binary())]))
 
     return common.map_slices(rows, "shard int, is_source boolean, doc_id bigint, row_key bigint, first int, words binary", run)
 
 
-JUDGED = "doc_id bigint, row_key bigint, firsts array<int>, lasts array<int>, open_at array<int>, open_hash array<binary>"
+JUDGED = "doc_id bigint, row_key bigint, firsts array<int>, lasts array<int>, open_at array<int>, open_hash array<binary>, open_words array<binary>"
 
 
 def judge(table: pa.Table) -> pa.Table:
@@ -164,7 +185,7 @@ def judge(table: pa.Table) -> pa.Table:
     index = FMIndex(np.fromiter((x for p in parts for x in p), np.int64), len(vocabulary) + 1)
     by_order = np.array(owners, np.int64)[index.order] if owners else np.zeros(0, np.int64)
     reading = np.flatnonzero(~is_source).tolist()
-    out: dict[str, list] = {k: [] for k in ("doc_id", "row_key", "firsts", "lasts", "open_at", "open_hash")}
+    out: dict[str, list] = {k: [] for k in ("doc_id", "row_key", "firsts", "lasts", "open_at", "open_hash", "open_words")}
     for group in range(0, len(reading), 20_000):
         part = reading[group : group + 20_000]
         streams, lanes, readers, starts, at = [], [], [], [], 0
@@ -183,11 +204,11 @@ def judge(table: pa.Table) -> pa.Table:
             gone = [(firsts[k] + a, firsts[k] + b + WINDOW - 1) for a, b in runs(marks) if marks[a]]
             still = np.flatnonzero(~marks)
             words = texts[k].split() if len(still) else []
-            hashes = [xxhash.xxh3_128_digest(b" ".join(words[p : p + WINDOW])) for p in still.tolist()]
-            values = (docs[k], keys[k], [a for a, _ in gone], [b for _, b in gone], (still + firsts[k]).tolist(), hashes)
+            left = [b" ".join(words[p : p + WINDOW]) for p in still.tolist()]
+            values = (docs[k], keys[k], [a for a, _ in gone], [b for _, b in gone], (still + firsts[k]).tolist(), list(map(xxhash.xxh3_128_digest, left)), left)
             for name, value in zip(out, values, strict=True):
                 out[name].append(value)
-    return pa.Table.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("open_at", pa.list_(pa.int32())), ("open_hash", pa.list_(pa.binary()))]))
+    return pa.Table.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("open_at", pa.list_(pa.int32())), ("open_hash", pa.list_(pa.binary())), ("open_words", pa.list_(pa.binary()))]))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -195,23 +216,25 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").filter("doc_id is not null")
     found = common.store(anchor_rows(rows), "anchors")
-    repeated = found.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"), F.count("*").alias("n")).filter("source < _last").select("anchor", "source", "n")
+    repeated = found.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last"), F.sum("n").alias("n")).filter("source < _last").select("anchor", "source", "n")
     repeated = common.store(repeated, "repeated")
-    load = repeated.groupBy("source").agg(F.ceil(F.sum("n") / F.lit(SHARD_ANCHORS)).cast("int").alias("parts"))
-    marked = found.join(repeated.join(load, "source").select("anchor", "source", "parts"), "anchor")
+    load = repeated.groupBy("source").agg(F.ceil(F.sum("n") / F.lit(SHARD_WINDOWS)).cast("int").alias("parts"))
+    marked = found.select("anchor", "doc_id").join(repeated.join(load, "source").select("anchor", "source", "parts"), "anchor")
     flags = common.store(marked.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "source", "parts")).alias("marks")), "flags")
     common.discard(found)
     n = repeated.agg(F.sum("n")).first()[0] or 0
     common.release(spark)
-    cut = segments(rows, flags, max(1, -(-n // SHARD_ANCHORS)))
+    cut = segments(rows, flags, max(1, -(-n // SHARD_WINDOWS)))
     judged = common.store(cut.groupBy("shard").applyInArrow(judge, JUDGED), "judged")
     common.discard(flags)
     common.discard(repeated)
     common.release(spark)
     gone = judged.select("doc_id", "row_key", F.explode(F.arrays_zip("firsts", "lasts")).alias("_z")).select("doc_id", "row_key", F.col("_z.firsts").alias("first"), F.col("_z.lasts").alias("last"))
-    still = judged.select("doc_id", "row_key", F.explode(F.arrays_zip("open_at", "open_hash")).alias("_z")).select("doc_id", "row_key", F.col("_z.open_at").alias("first"), F.col("_z.open_hash").alias("hash"))
-    again = still.groupBy("hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).filter("source < _last").select("hash", "source")
-    late = still.join(again, "hash").filter("doc_id > source").select("doc_id", "row_key", "first", (F.col("first") + WINDOW).alias("last"))
+    still = judged.select("doc_id", "row_key", F.explode(F.arrays_zip("open_at", "open_hash", "open_words")).alias("_z")).select("doc_id", "row_key", F.col("_z.open_at").alias("first"), F.col("_z.open_hash").alias("hash"), F.col("_z.open_words").alias("words"))
+    meeting = still.groupBy("hash").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last").select("hash")
+    met = still.join(meeting, "hash")
+    again = met.groupBy("words").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).filter("source < _last").select("words", "source")
+    late = met.join(again, "words").filter("doc_id > source").select("doc_id", "row_key", "first", (F.col("first") + WINDOW).alias("last"))
     return gone.unionByName(late).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
 
 

@@ -49,7 +49,7 @@ def test_substrings(docs):
     assert substrings.without_repeats(docs.limit(0)).count() == 0
 
 
-def test_windows_of_many_owners(spark):
+def test_windows_of_many_owners(spark, monkeypatch):
     """A window that more documents hold than any fixed look would see, several shards, and windows that only later
     documents share."""
     rng = np.random.default_rng(8)
@@ -67,12 +67,32 @@ def test_windows_of_many_owners(spark):
         w = t.split()
         want[i] = len({q for p in range(len(w) - 12) if min(seen[tuple(w[p : p + 13])]) < i for q in range(p, p + 13)})
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    kept = substrings.SHARD_ANCHORS
-    try:
-        for substrings.SHARD_ANCHORS in (kept, 40):
-            assert {r.doc_id: r.n_removed for r in substrings.without_repeats(df).collect()} == want
-    finally:
-        substrings.SHARD_ANCHORS = kept
+    for windows, segment in ((substrings.SHARD_WINDOWS, substrings.SEGMENT), (100, 3)):
+        monkeypatch.setattr(substrings, "SHARD_WINDOWS", windows)
+        monkeypatch.setattr(substrings, "SEGMENT", segment)
+        assert {r.doc_id: r.n_removed for r in substrings.without_repeats(df).collect()} == want
+
+
+def test_texts_that_repeat_themselves(spark):
+    """One long text of a few passages over and over, as source and as reader: shards stay small, nothing is lost."""
+    rng = np.random.default_rng(9)
+    passage = lambda n: [f"r{rng.integers(10**6)}" for _ in range(n)]
+    one, other = passage(60), passage(25)
+    texts = {1: one * 4000 + other, 2: passage(30) + one + other + passage(20), 3: (one + passage(3)) * 3, 4: other * 2000, 5: one[5:40]}
+    seen = {}
+    for i, w in texts.items():
+        for p in range(len(w) - 12):
+            seen.setdefault(tuple(w[p : p + 13]), i)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    marks = {r.doc_id: r.n_removed for r in substrings.without_repeats(df).collect()}
+    assert marks == {i: len({q for p in range(len(w) - 12) if seen[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}) for i, w in texts.items()}
+    rows = df.select("doc_id", "text")
+    found = substrings.anchor_rows(rows)
+    assert found.filter("doc_id = 1").agg(F.sum("n")).first()[0] == len(texts[1]) - 12
+    flags = found.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", F.lit(1).cast("long").alias("source"), F.lit(3).alias("parts"))).alias("marks"))
+    cut = substrings.segments(rows, flags, 3)
+    assert cut.agg(F.max(F.size(F.split(F.col("words").cast("string"), " ")))).first()[0] <= substrings.SEGMENT + 12
+    assert cut.filter("doc_id = 1").agg(F.sum(F.size(F.split(F.col("words").cast("string"), " ")))).first()[0] < 2000
 
 
 def test_range_minimum():
