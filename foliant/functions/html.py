@@ -1,8 +1,10 @@
-"""HTML as Arrow UDFs over the standard library's parser: page text and structured download metadata."""
+"""HTML: the text of pages as one expression over their tokens, and structured download metadata by an Arrow UDF over the
+standard library's parser."""
 
 from __future__ import annotations
 
 import re
+from html import entities
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,37 +13,11 @@ from pyspark.sql import functions as F
 
 # Tags that stand on lines of their own, and tags without an end.
 BLOCKS = frozenset(("p", "br", "div", "li", "blockquote", "h1", "h2", "h3"))
+# Fixed values of HTML: tags whose start or end also ends an open paragraph.
+ENDING = ("address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "pre", "search", "section", "summary", "table", "ul")
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS:
-            self.out.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        self.out.append(data)
-
-
-def page_text(html: str) -> str:
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    lines: list[str] = []
-    for line in map(str.strip, "".join(parser.out).split("\n")):
-        if line or (lines and lines[-1]):
-            lines.append(line)
-    return "\n".join(lines).strip("\n")
-
-
 class Node:
     def __init__(self, tag: str, attrs: dict, parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
@@ -213,13 +189,76 @@ PARSED = f"work_id string, url string, title string, author string, summary stri
 EMPTY = dict.fromkeys(("work_id", "url", "title", "author", "summary", "language_label", "tags", *LISTS, "published", "completed", "words", "chapters", "related"))
 
 
-def _texts(pages: pd.Series) -> pd.Series:
-    return pages.map(page_text, na_action="ignore")
+#: One token of a page: a comment, a script or style with what is in it, a declaration, a tag, text, or a sign left over.
+TOKEN = r"""(?is)<!--.*?(?:-->|$)|<(script|style)(?=[\s>/])[^>]*+>.*?</\1(?=[\s>/])[^>]*+>|<[!?][^>]*+>|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-z][^>]*+>|[^<]++|<"""
+#: Marks of a paragraph's start and end, of another block's edge, and of an edge that only ends a paragraph.
+START, END, EDGE, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+RAW = r"(?is)<(?:script|style)(?=[\s>/])[^>]*+>(.*?)</(?:script|style)(?=[\s>/])[^>]*+>"
+#: White space at the ends of a line, as Unicode has it.
+ENDS = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+#: Names that count without a semicolon, longest first.
+BARE = sorted((n for n in entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: What numbers from 128 to 159 stand for: the signs of the Western code page.
+WESTERN = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)}
+
+
+def _table(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def _number(code: Column) -> Column:
+    """The character of a code point given as a number; a replacement sign where there is none."""
+    sound = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code.between(128, 159), _table(WESTERN)[code.cast("int")]).when(sound, own).otherwise("\ufffd")
+
+
+def unescaped(text: Column) -> Column:
+    """text with its character references resolved: numbers, names with a semicolon, and the old ones without."""
+    named, bare = _table({n[:-1]: c for n, c in entities.html5.items() if n.endswith(";")}), _table({n: entities.html5[n] for n in BARE})
+
+    def resolved(piece: Column) -> Column:
+        number = lambda pattern, base: F.conv(F.regexp_extract(piece, pattern, 1), base, 10).cast("decimal(20,0)").cast("long")
+        rest = lambda pattern: F.regexp_replace(piece, pattern, "")
+        hexed, decimal, name, old = "^&#[xX]([0-9a-fA-F]{1,12})[0-9a-fA-F]*;?", "^&#([0-9]{1,15})[0-9]*;?", "^&([A-Za-z][A-Za-z0-9]*);", f"^&({'|'.join(BARE)})"
+        known = named[F.regexp_extract(piece, name, 1)]
+        return (
+            F.when(~F.startswith(piece, F.lit("&")), piece)
+            .when(F.rlike(piece, F.lit(hexed)), F.concat(_number(number(hexed, 16)), rest(hexed)))
+            .when(F.rlike(piece, F.lit(decimal)), F.concat(_number(number(decimal, 10)), rest(decimal)))
+            .when(known.isNotNull(), F.concat(known, rest(name)))
+            .when(F.rlike(piece, F.lit(old)), F.concat(bare[F.regexp_extract(piece, old, 1)], rest(old)))
+            .otherwise(piece)
+        )
+
+    return F.when(~F.contains(text, F.lit("&")), text).otherwise(F.array_join(F.transform(F.split(text, "(?=&)"), resolved), ""))
 
 
 def html_text(html: Column) -> Column:
-    """Text of a page, block elements on lines of their own."""
-    return F.pandas_udf(_texts, "string")(html)
+    """Text of a page: a line break at the start and at the end of each block element, lines trimmed, one blank line in a
+    row at most. A paragraph that is not ended ends where the next block starts or ends. Scripts and styles count as text,
+    comments and declarations do not. A tag that does not end is text."""
+    tag = lambda names: F.lit(rf"(?is)^(?:{names})(?:[\s/>].*)?$")
+
+    def shown(token: Column) -> Column:
+        return (
+            F.when(~F.startswith(token, F.lit("<")) | (token == "<"), unescaped(token))
+            .when(F.startswith(token, F.lit("<!")) | F.startswith(token, F.lit("<?")), "")
+            .when(F.rlike(token, F.lit(RAW)), F.regexp_extract(token, RAW, 1))
+            .when(F.rlike(token, tag("<p")), START)
+            .when(F.rlike(token, tag("</p")), END)
+            .when(F.rlike(token, tag("</?br")), "\n\n")
+            .when(F.rlike(token, tag(f"</?(?:{'|'.join(sorted(BLOCKS - {'p', 'br'}))})")), EDGE)
+            .when(F.rlike(token, tag(f"</?(?:{'|'.join(ENDING)})")), CLOSE)
+            .otherwise("")
+        )
+
+    marked = F.array_join(F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), shown), "")
+    # an end without a start is a paragraph of its own
+    ended = F.regexp_replace(F.regexp_replace(marked, f"{START}([^{START}-{CLOSE}]*+){END}?", "\n$1\n"), END, "\n\n")
+    whole = F.translate(ended, f"{EDGE}{CLOSE}", "\n")
+    lines = F.array_join(F.transform(F.split(whole, "\n"), lambda x: F.regexp_replace(x, f"^{ENDS}|{ENDS}$", "")), "\n")
+    return F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), "^\n+|\n+$", "")
 
 
 def _parse(pages: pd.Series) -> pd.DataFrame:

@@ -292,13 +292,37 @@ def documents_indexed(spark, sf_dir):
 @query_of(
     "page_text",
     r"""WITH s AS (SELECT page_id, array_to_string(list_transform(string_split_regex(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(?i)</?script[^>]*>'), lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, '<', chr(1)) ELSE x END), '') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</?(?:p|br|div|li|blockquote|h1|h2|h3)(?:\s[^>]*)?/?>', chr(10), 'gi'), '</?[a-zA-Z!][^>]*>', '', 'g') AS t FROM s),
+m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '</?br(?:\s[^>]*)?/?>', chr(10) || chr(10), 'gi'), '<p(?:\s[^>]*)?/?>', chr(2), 'gi'), '</p(?:\s[^>]*)?>', chr(3), 'gi'), '</?(?:div|li|blockquote|h1|h2|h3)(?:\s[^>]*)?/?>', chr(4), 'gi'), '</?(?:article|footer|header|nav|ol|section|table|ul)(?:\s[^>]*)?/?>', chr(5), 'gi') AS t FROM s),
+b AS (SELECT page_id, replace(replace(replace(regexp_replace(regexp_replace(t, '</?[a-zA-Z!][^>]*>', '', 'g'), '\x02([^\x02-\x05]*)\x03?', chr(10) || '\1' || chr(10), 'g'), chr(3), chr(10) || chr(10)), chr(4), chr(10)), chr(5), '') AS t FROM m),
 u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, chr(1), '<'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM b)
-SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text, false AS is_work FROM u""",
+SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text FROM u""",
 )
 def page_text(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", html.html_text(F.col("html")).alias("text"), html.parse(F.col("html")).isNotNull().alias("is_work"))
+    return pages.select("page_id", html.html_text(F.col("html")).alias("text"))
+
+
+@query_of(
+    "work_pages",
+    r"""WITH d AS (SELECT doc_id, (SELECT max(doc_id) FROM documents) AS top FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS is_work, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN doc_id::VARCHAR END AS work_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 'Tale ' || doc_id END AS title,
+ CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN (doc_id * 37)::BIGINT END AS words, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 3 = 0 THEN '2019-05-01' END AS published,
+ CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'translation' ELSE 'original' END END AS role, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 'Fluff|Tea ' || (doc_id % 4) END AS tags FROM d
+UNION ALL SELECT -1 - page_id, false, NULL, NULL, NULL, NULL, NULL, NULL FROM pages""",
+)
+def work_pages(spark, sf_dir):
+    """Metadata of download pages made of the documents' ids, some without a title or without a link to a work, and of the pages."""
+    n = F.col("doc_id").cast("string")
+    link = F.when(F.col("doc_id") % 5 == 0, F.lit("<p class=message>No link</p>")).otherwise(F.concat(F.lit("<p class=message>At <a href='http://example.test/works/"), n, F.lit("?x=1'>here</a></p>")))
+    head = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("<div class=meta><h1>Tale "), n, F.lit("</h1></div>")))
+    stats = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("Published: 2019-05-01 ")).otherwise(""), F.lit("Words: "), F.format_number(F.col("doc_id") * 37, 0), F.lit(" Chapters: 1/1"))
+    kind = F.when(F.col("doc_id") % 2 == 0, "A translation of").otherwise("Translation into Deutsch available:")
+    made = F.concat(link, F.lit("<dl class=tags><dt>Additional Tags:</dt><dd><a>Fluff</a>, <a>Tea "), (F.col("doc_id") % 4).cast("string"), F.lit("</a></dd><dt>Stats:</dt><dd>"), stats, F.lit("</dd></dl><ul><li>"), kind, F.lit(" <a href='/works/99999999'>Other</a></li></ul>"), head, F.lit("<p>Text</p>"))
+    downloads = docs(spark, sf_dir).filter("doc_id is not null").select("doc_id", made.alias("html"))
+    every = downloads.unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select((-1 - F.col("page_id")).alias("doc_id"), "html"))
+    p = F.col("p")
+    rows = every.select("doc_id", html.parse(F.col("html")).alias("p"))
+    return rows.select("doc_id", p.isNotNull().alias("is_work"), p["work_id"].alias("work_id"), p["title"].alias("title"), p["words"].alias("words"), p["published"].alias("published"), html.translation_role(p["related"]).alias("role"), F.array_join(p["tags"], "|").alias("tags"))
 
 
 @query_of(

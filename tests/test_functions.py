@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from foliant.functions import codes, dates, formats, html, text
@@ -67,7 +70,63 @@ def test_download(spark):
     assert (r.work_id, r.title, r.author, r.summary, r.language_label, r.tags, r.published, r.words, r.chapters) == ("77", "The Tale", "Ann", "Short & sweet", "English", ["General", "Fluff", "Tea"], "2019-05-01", 1234, "2/?")
     assert (r.rating, r.additional, r.collections, r.warnings) == (["General"], ["Fluff", "Tea"], ["Winter"], [])
     assert [(x.kind, x.work_id, x.title, x.author, x.language, x.language_label) for x in r.related] == [("translation_of", "5", "Other", "Xan", "fr", "Français"), ("remix_of", None, None, None, None, None)]
-    assert one(spark, ["<p>a<br>b</p><!-- c --><p>d &amp; e</p>"], "t string", html.html_text(F.col("t"))) == ["a\nb\n\nd & e"]
+    assert one(spark, ["<p>a<br>b</p><!-- c --><p>d &amp; e</p>"], "t string", html.html_text(F.col("t"))) == ["a\n\nb\n\nd & e"]
+
+
+class Text(HTMLParser):
+    """Page text by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out = []
+
+        self.open = False
+
+    def end_paragraph(self):
+        self.out.append("\n" if self.open else "")
+        self.open = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p" or tag in html.ENDING:
+            self.end_paragraph()
+        self.out.append("\n\n" if tag == "br" else "\n" if tag in html.BLOCKS else "")
+        self.open = self.open or tag == "p"
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        if tag == "p" and not self.open:
+            self.out.append("\n\n")
+        elif tag == "p" or tag in html.ENDING:
+            self.end_paragraph()
+        if tag != "p":
+            self.out.append("\n\n" if tag == "br" else "\n" if tag in html.BLOCKS else "")
+
+    def handle_data(self, data):
+        self.out.append(data)
+
+
+def text_by_parser(page):
+    parser = Text()
+    parser.feed(page)
+    parser.close()
+    lines = []
+    for line in map(str.strip, "".join(parser.out).split("\n")):
+        if line or (lines and lines[-1]):
+            lines.append(line)
+    return "\n".join(lines).strip("\n")
+
+
+def test_page_text_equals_a_parser(spark):
+    rng = random.Random(4)
+    parts = ["<p>", "</p>", "<P class='x>y'>", "<br/>", "<br>", "<div id=\"a>b\">", "</div >", "<span>", "</span>", "<!-- c <p> -->", "<script>if (a<b) x='</p>' &amp; y</script>", "<style>p{}</style>", "<!DOCTYPE html>", "<h1>", "</h1>", "<blockquote>", "<pre>", "<li>", "<h10>", "<ul>", "</ul>", "</article>", "text", " ", "\n", "\u00a0", "é", "粽子", "a < b", "5 <6", "&amp;", "&lt;p&gt;", "&copy;", "&copy", "&copyright", "&nbsp;", "&#65;", "&#x1F600;", "&#128;", "&#0;", "&#xD800;", "&unknown;", "&", "& ", "&notin;", "&notit;", "&AMP;", "tail"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(400)] + ["", "plain", "x" * 5000 + "<p>" * 300]
+    got = one(spark, pages, "t string", html.html_text(F.col("t")))
+    for page, text_ in zip(pages, got, strict=True):
+        assert text_ == text_by_parser(page), page
+    assert one(spark, [None], "t string", html.html_text(F.col("t"))) == [None]
+    plan = spark.createDataFrame([("x",)], "t string").select(html.html_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
 
 
 def test_query_terms():
