@@ -68,6 +68,13 @@ def strength(folded_text: Column, term: Column) -> Column:
     return F.when(folded_text == term, 3).when(F.startswith(folded_text, term), 2).when(F.contains(folded_text, term), 1).otherwise(0)
 
 
+def total_strength(folded_text: Column, folded_terms: list[str]) -> Column:
+    """How strongly a text matches all terms together: the sum of each, 0 without terms, null for a null text."""
+    if not folded_terms:
+        return F.when(folded_text.isNotNull(), 0)
+    return once(folded_text, lambda f: F.when(f.isNotNull(), functools.reduce(operator.add, [strength(f, F.lit(t)) for t in folded_terms])))
+
+
 def word_count(text: Column) -> Column:
     """Each Han character is a word; so is each run of other letters and digits."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[{HAN}]|[[{ALNUM}]&&[^{HAN}]]+")), F.lit(0)).cast("long")

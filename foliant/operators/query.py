@@ -7,7 +7,7 @@ import operator
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant import storage
@@ -124,10 +124,11 @@ def ranked(works: DataFrame, options: Options) -> DataFrame:
 
 
 def language_facets(works: DataFrame) -> DataFrame:
-    """Per code the number of works, the label of the first one and the place in the list: most works first."""
+    """Per code the number of works, the label of the first one and the place in the list: most works first. One task
+    numbers the codes, of which there are hundreds at most."""
     coded = works.filter(F.coalesce("language", F.lit("")) != "")
     found = coded.groupBy("language").agg(F.count("*").alias("n_works"), F.min_by(F.coalesce("language_label", "language"), "id").alias("label"))
-    return storage.numbered(found, [F.col("n_works").desc(), F.col("language")], "place")
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.col("n_works").desc(), "language")).cast("long"))
 
 
 def tag_facets(work_tags: DataFrame) -> DataFrame:

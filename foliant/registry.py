@@ -282,6 +282,17 @@ def matching_documents(spark, sf_dir):
     return docs(spark, sf_dir).filter(text.matches_terms(text.fold(F.col("text")), query.fold_literal("Token, the").split())).select("doc_id")
 
 
+@query_of(
+    "match_strength",
+    r"""WITH f AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ς', 'σ'), '[^\p{L}\p{N}]+', ' ', 'g')) AS f FROM documents),
+s AS (SELECT doc_id, f, unnest(['the', 'in', 'is and']) AS t FROM f)
+SELECT doc_id, sum(CASE WHEN f = t THEN 3 WHEN starts_with(f, t) THEN 2 WHEN contains(f, t) THEN 1 ELSE 0 END)::BIGINT AS strength FROM s WHERE f IS NOT NULL GROUP BY doc_id""",
+)
+def match_strength(spark, sf_dir):
+    """The sum of what three terms weigh in each text."""
+    return docs(spark, sf_dir).filter("text is not null").select("doc_id", text.total_strength(text.fold(F.col("text")), ["the", "in", "is and"]).cast("long").alias("strength"))
+
+
 @query_of("documents_indexed", SQL["matching_documents"])
 def documents_indexed(spark, sf_dir):
     """The same through a trigram index of the texts."""
@@ -423,7 +434,7 @@ fl AS (SELECT work_id, string_agg(format_detail || ':' || version || ':' || CASE
 tg AS (SELECT work_id, string_agg(name, '|' ORDER BY lower(name), name) AS tags FROM work_tags GROUP BY work_id),
 sr AS (SELECT work_id, string_agg(series_id || ':' || coalesce(position::VARCHAR, '-'), ' ' ORDER BY series_id) AS series FROM works_series GROUP BY work_id),
 rl AS (SELECT x AS work_id, string_agg(y::VARCHAR, ' ' ORDER BY y) AS related FROM (SELECT DISTINCT work_a AS x, work_b AS y FROM relations UNION SELECT work_b, work_a FROM relations) GROUP BY x)
-SELECT id, files, coalesce(tags, '') AS tags, series, related, sha256(trim(regexp_replace(lower(concat_ws(' ', title, coalesce(author, ''), coalesce(summary, ''), coalesce(language_label, ''), coalesce(tags, ''))), '[^a-z0-9]+', ' ', 'g'))) AS search_sha256
+SELECT id, files, coalesce(tags, '') AS tags, series, related, my_comment, completed_at, source_url, array_to_string(source_tags, '|') AS source_tags, sha256(trim(regexp_replace(lower(concat_ws(' ', title, coalesce(author, ''), coalesce(summary, ''), coalesce(my_comment, ''), coalesce(language_label, ''), coalesce(tags, ''), coalesce(array_to_string(source_tags, ' '), ''))), '[^a-z0-9]+', ' ', 'g'))) AS search_sha256
 FROM works LEFT JOIN fl ON id = fl.work_id LEFT JOIN tg ON id = tg.work_id LEFT JOIN sr ON id = sr.work_id LEFT JOIN rl ON id = rl.work_id""",
     ("works", "files", "work_tags", "works_series", "relations"),
 )
@@ -431,7 +442,7 @@ def read_model(spark, sf_dir):
     rows = view.work_view(*[table(spark, sf_dir, n) for n in ("works", "files", "work_tags", "works_series", "relations")])
     listed = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["format_detail"], f["version"].cast("string"), f["role"])), " ")
     series = F.array_join(F.transform("series", lambda x: F.concat_ws(":", x["series_id"].cast("string"), F.coalesce(x["position"].cast("string"), F.lit("-")))), " ")
-    return rows.select("id", listed.alias("files"), F.array_join("tags", "|").alias("tags"), series.alias("series"), F.array_join(F.col("related").cast("array<string>"), " ").alias("related"), F.sha2("search_text", 256).alias("search_sha256"))
+    return rows.select("id", listed.alias("files"), F.array_join("tags", "|").alias("tags"), series.alias("series"), F.array_join(F.col("related").cast("array<string>"), " ").alias("related"), "my_comment", "completed_at", "source_url", F.array_join("source_tags", "|").alias("source_tags"), F.sha2("search_text", 256).alias("search_sha256"))
 
 
 def batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -16,6 +16,10 @@ VIEWS: dict[str, str] = {
        CASE c_nationkey % 6 WHEN 0 THEN 'English' WHEN 1 THEN 'Deutsch' WHEN 3 THEN 'Chinese' ELSE NULL END AS language_label,
        CASE o_orderkey % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'translation' ELSE NULL END AS translation_role,
        cast(o_orderkey * 13 AS string) AS external_id,
+       CASE WHEN o_orderkey % 8 = 3 THEN concat('Read in ', c_mktsegment, '!') ELSE NULL END AS my_comment,
+       CASE WHEN o_orderkey % 6 = 1 THEN cast(cast(o_orderdate AS date) AS string) ELSE NULL END AS completed_at,
+       CASE WHEN o_orderkey % 4 = 0 THEN concat('http://example.test/works/', cast(o_orderkey * 13 AS string)) ELSE NULL END AS source_url,
+       CASE WHEN o_orderkey % 6 = 2 THEN split(concat('Canon ', c_mktsegment, ',', o_orderpriority), ',') ELSE NULL END AS source_tags,
        CASE WHEN o_orderstatus = 'P' THEN 'record_only' ELSE 'has_file' END AS status
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "files": """SELECT l_orderkey AS work_id, CASE l_returnflag WHEN 'A' THEN 'html' WHEN 'R' THEN 'pdf' ELSE 'other' END AS format_class,

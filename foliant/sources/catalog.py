@@ -114,7 +114,7 @@ def edit(works: DataFrame, edits: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def insert(works: DataFrame, new: DataFrame) -> DataFrame:
-    """Append rows with ids after the largest, in the order of their external id and title. new has no id column; of
+    """Append rows with ids after the largest, in the order of their external id, title and other columns. new has no id column; of
     rows with one external id the first by title enters, and none whose external id the table has."""
     fresh = new
     if "external_id" in new.columns:
@@ -122,7 +122,9 @@ def insert(works: DataFrame, new: DataFrame) -> DataFrame:
         named = fresh.filter("external_id is not null").groupBy("external_id").agg(F.min_by(F.struct(*new.columns), "title").alias("_r")).select("_r.*")
         fresh = fresh.filter("external_id is null").unionByName(named)
     top = works.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    order = [F.col(c) for c in ("external_id", "title") if c in new.columns]
+    # the other columns break ties, so that a rerun numbers alike
+    first = [c for c in ("external_id", "title") if c in new.columns]
+    order = [F.col(c) for c in first] + [F.to_json(F.struct(*sorted(set(new.columns) - set(first))))] * (len(first) < len(new.columns))
     numbered = storage.numbered(fresh, order, "_n").withColumn("id", F.col("_n") + F.lit(top)).drop("_n")
     return works.unionByName(numbered, allowMissingColumns=True)
 
