@@ -91,10 +91,6 @@ HOMOGLYPHS = dict(
 )
 #: A run of spelled digits as long as this is taken for a number; ordinary prose has single ones.
 SPELLED_RUN = 4
-# Endings that make "name at host.ending" an address.
-ENDINGS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|example|test"
-
-
 def bracketed(words: str) -> str:
     # spaces count from the start of their run only, so that a long run is read once
     return rf"(?:(?<![ \t])[ \t]++)?[\[({{<][ \t]*+(?:{words})[ \t]*+[\])}}>][ \t]*+"
@@ -105,18 +101,20 @@ DOT = bracketed(r"dot|\.|punkt|point|punto")
 WORDS = sorted(DIGIT_WORDS, key=len, reverse=True)
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:{'|'.join(WORDS)})(?:[ ,.-]{{1,2}}(?:{'|'.join(WORDS)})(?!\w)){{{SPELLED_RUN - 1},}}(?!\w)", re.I)
 PART = r"[A-Za-z0-9-]+"
-SIGN = rf"{AT}|[ ]at[ ]|@|%40|&#64;"
+SIGN = rf"{AT}|[ ]at[ ]|_at_|[ ]@[ ]|@|%40|&#64;"
 AT_SIGN = re.compile(SIGN, re.I)
 #: What follows the sign of an address, dots disguised or not.
-HOST = re.compile(rf"{PART}(?:(?:\.|{DOT}|[ ]dot[ ]){PART})+", re.I)
+HOST = re.compile(rf"{PART}(?:(?:\.|{DOT}|[ ]dot[ ]|_dot_){PART})+", re.I)
+#: The same after a sign between blanks.
+HOST_SPACED = re.compile(rf"{PART}(?:(?:\.|{DOT}|[ ]dot[ ]|[ ]\.[ ]){PART})+", re.I)
 #: What stands before it, read from right to left.
 BACK_DOT = r"[ \t]*+[\])}>][ \t]*+(?:tod|\.|tknup|tniop|otnup)[ \t]*+[\[({<](?:[ \t]++(?![ \t]))?"
 BACK_LOCAL = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\.|{BACK_DOT}|[ ]tod[ ])[A-Za-z0-9_%+-]++)*+", re.I)
 FIRST = re.compile("[A-Za-z0-9]")
-DOTS = re.compile(rf"{DOT}|[ ]dot[ ]", re.I)
+DOTS = re.compile(rf"{DOT}|[ ]dot[ ]|_dot_|[ ]\.[ ]", re.I)
 #: What a disguised address holds, in lower case; a first test only.
 BRACKETS = re.compile(r"[\[({<][ \t]*+(?:at|@|arroba|dot|\.|punkt|point|punto)[ \t]*+[\])}>]|%40|&#64;")
-PLAIN_AT = re.compile(rf" at {PART}\.(?:{PART}\.)*(?:{ENDINGS})(?![a-z0-9-])")
+PLAIN_AT = re.compile(rf" at {PART}\.(?:{PART}\.)*[a-z]{{2,}}(?![a-z0-9-])| @ {PART} ?\.|_at_{PART}(?:\.|_dot_)")
 SPACES = re.compile("[\u00a0\u2007\u2009\u202f]")
 
 
@@ -177,8 +175,14 @@ def plain_letter(c: str) -> str | None:
 #: Characters that are not seen; rewriting leaves them out.
 UNSEEN = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff"
 INVISIBLE = re.compile(f"[{UNSEEN}]")
+#: Decimal digits of all other scripts.
+FOREIGN_DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
 #: Characters that rewriting may replace: what is not seen, Greek, Cyrillic, foreign digits, full-width and mathematical letters, odd dots, dashes and spaces.
-EXOTIC = re.compile(f"[{UNSEEN}" + "\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010\u2011\u2024\u2212\u2460-\u24ff\u3002\ufe52\uff01-\uff5e\U0001d400-\U0001d7ff\u00a0\u2007\u2009\u202f]")
+EXOTIC = re.compile(f"[{UNSEEN}{FOREIGN_DIGITS}" + "\u0370-\u03ff\u0400-\u052f\u2010\u2011\u2024\u2212\u2460-\u24ff\u3002\ufe52\uff01-\uff5e\U0001d400-\U0001d7ff\u00a0\u2007\u2009\u202f]")
+
+
+#: A first test for those.
+BEYOND_LATIN = re.compile("[\u00a0\u00ad\u0370-\U0010ffff]")
 
 
 def mixed_edits(text: str) -> list[tuple[int, int, str]]:
@@ -221,7 +225,7 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
     backwards = text[::-1] if signs else ""
     edits: list[tuple[int, int, str]] = []
     for m in signs:
-        local, host = BACK_LOCAL.match(backwards, len(text) - m.start()), HOST.match(text, m.end())
+        local, host = BACK_LOCAL.match(backwards, len(text) - m.start()), (HOST_SPACED if m[0] == " @ " else HOST).match(text, m.end())
         if not local or not host:
             continue
         first = FIRST.search(text, len(text) - local.end(), m.start())
@@ -230,7 +234,7 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
         dots = [d.span() for d in DOTS.finditer(text, first.start(), m.start())]
         behind = [d.span() for d in DOTS.finditer(text, m.end(), host.end())]
         disguised = m[0] != "@" or dots or behind
-        clear = m[0].strip().lower() != "at" or behind or re.search(rf"\.(?:{ENDINGS})$", host[0], re.I)
+        clear = m[0].strip().lower() != "at" or behind or re.search(r"\.[a-z]{2,}$", host[0])
         # an end that was the host of the address before is no local part
         if disguised and clear and (not edits or edits[-1][1] <= first.start()):
             edits += [(a, b, ".") for a, b in dots] + [(m.start(), m.end(), "@")] + [(a, b, ".") for a, b in behind]
@@ -239,7 +243,7 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, in source offsets."""
-    exotic = not text.isascii() and EXOTIC.search(text)
+    exotic = not text.isascii() and BEYOND_LATIN.search(text) and EXOTIC.search(text)
     low = text.lower()
     row = roles(low)
     spelled = b"\x01" * SPELLED_RUN in row

@@ -324,6 +324,16 @@ def test_pii_long_texts(part):
     assert spent[1] < 9 * spent[0] + 0.5
 
 
+def test_pii_more_disguises():
+    for text, kind, span in (
+        ("write me at host.museum today", "email", "me at host.museum"), ("card \u09ea\u09e7\u09e7\u09e7 \u09e7\u09e7\u09e7\u09e7 \u09e7\u09e7\u09e7\u09e7 \u09e7\u09e7\u09e7\u09e7 ok", "card", "\u09ea\u09e7\u09e7\u09e7 \u09e7\u09e7\u09e7\u09e7 \u09e7\u09e7\u09e7\u09e7 \u09e7\u09e7\u09e7\u09e7"),
+        ("write joe @ example . com now", "email", "joe @ example . com"), ("to joe_at_example_dot_com or", "email", "joe_at_example_dot_com"), ("call +\u0e54\u0e59 \u0e51\u0e55\u0e51 \u0e52\u0e53\u0e54\u0e55\u0e56\u0e57\u0e58", "phone", "+\u0e54\u0e59 \u0e51\u0e55\u0e51 \u0e52\u0e53\u0e54\u0e55\u0e56\u0e57\u0e58"),
+    ):
+        assert [(k, text[a:b]) for a, b, k in pii.added_spans(text, pii.base_spans(text))] == [(kind, span)], text
+    for text in ("mail a@b.com . Next one", "look at the end.And so", "back_at_home again", "at 5 @ the station . Then"):
+        assert pii.added_spans(text, pii.base_spans(text)) == [], text
+
+
 def test_pii_table(docs, spark):
     clash = docs.withColumn("spans", F.lit(1)).withColumn("n_ip", F.lit(2)).withColumn("base", F.lit(3))
     assert pii.find(clash).collect() == pii.find(docs).collect()
