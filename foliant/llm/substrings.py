@@ -12,8 +12,8 @@ A word goes if a window of WINDOW words over it also starts in a document with a
    streams the others through it: backward search gives their matching statistics and so the windows found in an
    earlier document; of all that hold a window the least, a range minimum over the suffixes, decides.
 4. Windows that share an anchor with the source but are not found there may still repeat between other documents;
-   128-bit hashes of their words are summed up in the same way as the anchors, and the words of those that meet are
-   compared.
+   128-bit hashes of their words are summed up in the same way as the anchors. Their words are not compared again:
+   carrying them took the shuffle past the disk that a cluster of the check tool has.
 
 Steps 1, 2 and 4 only choose and bring together; none drops a window.
 
@@ -168,7 +168,7 @@ def segments(docs: DataFrame, flags: DataFrame, n_shards: int) -> DataFrame:
     return common.map_slices(rows, "shard int, is_source boolean, doc_id bigint, row_key bigint, first int, words binary", run)
 
 
-JUDGED = "doc_id bigint, row_key bigint, firsts array<int>, lasts array<int>, open_at array<int>, open_hash array<binary>, open_words array<binary>"
+JUDGED = "doc_id bigint, row_key bigint, firsts array<int>, lasts array<int>, open_at array<int>, open_hash array<binary>"
 
 
 def judge(table: pa.Table) -> pa.Table:
@@ -185,7 +185,7 @@ def judge(table: pa.Table) -> pa.Table:
     index = FMIndex(np.fromiter((x for p in parts for x in p), np.int64), len(vocabulary) + 1)
     by_order = np.array(owners, np.int64)[index.order] if owners else np.zeros(0, np.int64)
     reading = np.flatnonzero(~is_source).tolist()
-    out: dict[str, list] = {k: [] for k in ("doc_id", "row_key", "firsts", "lasts", "open_at", "open_hash", "open_words")}
+    out: dict[str, list] = {k: [] for k in ("doc_id", "row_key", "firsts", "lasts", "open_at", "open_hash")}
     for group in range(0, len(reading), 20_000):
         part = reading[group : group + 20_000]
         streams, lanes, readers, starts, at = [], [], [], [], 0
@@ -204,11 +204,11 @@ def judge(table: pa.Table) -> pa.Table:
             gone = [(firsts[k] + a, firsts[k] + b + WINDOW - 1) for a, b in runs(marks) if marks[a]]
             still = np.flatnonzero(~marks)
             words = texts[k].split() if len(still) else []
-            left = [b" ".join(words[p : p + WINDOW]) for p in still.tolist()]
-            values = (docs[k], keys[k], [a for a, _ in gone], [b for _, b in gone], (still + firsts[k]).tolist(), list(map(xxhash.xxh3_128_digest, left)), left)
+            hashes = [xxhash.xxh3_128_digest(b" ".join(words[p : p + WINDOW])) for p in still.tolist()]
+            values = (docs[k], keys[k], [a for a, _ in gone], [b for _, b in gone], (still + firsts[k]).tolist(), hashes)
             for name, value in zip(out, values, strict=True):
                 out[name].append(value)
-    return pa.Table.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("open_at", pa.list_(pa.int32())), ("open_hash", pa.list_(pa.binary())), ("open_words", pa.list_(pa.binary()))]))
+    return pa.Table.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("open_at", pa.list_(pa.int32())), ("open_hash", pa.list_(pa.binary()))]))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -230,11 +230,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     common.discard(repeated)
     common.release(spark)
     gone = judged.select("doc_id", "row_key", F.explode(F.arrays_zip("firsts", "lasts")).alias("_z")).select("doc_id", "row_key", F.col("_z.firsts").alias("first"), F.col("_z.lasts").alias("last"))
-    still = judged.select("doc_id", "row_key", F.explode(F.arrays_zip("open_at", "open_hash", "open_words")).alias("_z")).select("doc_id", "row_key", F.col("_z.open_at").alias("first"), F.col("_z.open_hash").alias("hash"), F.col("_z.open_words").alias("words"))
-    meeting = still.groupBy("hash").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last").select("hash")
-    met = still.join(meeting, "hash")
-    again = met.groupBy("words").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).filter("source < _last").select("words", "source")
-    late = met.join(again, "words").filter("doc_id > source").select("doc_id", "row_key", "first", (F.col("first") + WINDOW).alias("last"))
+    still = judged.select("doc_id", "row_key", F.explode(F.arrays_zip("open_at", "open_hash")).alias("_z")).select("doc_id", "row_key", F.col("_z.open_at").alias("first"), F.col("_z.open_hash").alias("hash"))
+    again = still.groupBy("hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("_last")).filter("source < _last").select("hash", "source")
+    late = still.join(again, "hash").filter("doc_id > source").select("doc_id", "row_key", "first", (F.col("first") + WINDOW).alias("last"))
     return gone.unionByName(late).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
 
 
