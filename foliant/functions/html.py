@@ -265,9 +265,13 @@ def _parse(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(parse_download(p) if p else None) or EMPTY for p in pages], columns=list(EMPTY))
 
 
+#: Without one of these no attribute can hold a link to a work, not even by character references.
+MAY_LINK = "/works/|&#|&sol"
+
+
 def parse(html: Column) -> Column:
-    """The parsed work; null unless its id is there."""
-    got = F.pandas_udf(_parse, PARSED)(html)
+    """The parsed work; null unless its id is there. Pages that can't link to a work stay in the JVM."""
+    got = F.pandas_udf(_parse, PARSED)(F.when(F.rlike(html, F.lit(MAY_LINK)), html))
     return F.when(got["work_id"].isNotNull(), got)
 
 

@@ -302,15 +302,15 @@ def documents_indexed(spark, sf_dir):
 
 @query_of(
     "page_text",
-    r"""WITH s AS (SELECT page_id, array_to_string(list_transform(string_split_regex(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(?i)</?script[^>]*>'), lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, '<', chr(1)) ELSE x END), '') AS t FROM pages),
-m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '</?br(?:\s[^>]*)?/?>', chr(10) || chr(10), 'gi'), '<p(?:\s[^>]*)?/?>', chr(2), 'gi'), '</p(?:\s[^>]*)?>', chr(3), 'gi'), '</?(?:div|li|blockquote|h1|h2|h3)(?:\s[^>]*)?/?>', chr(4), 'gi'), '</?(?:article|footer|header|nav|ol|section|table|ul)(?:\s[^>]*)?/?>', chr(5), 'gi') AS t FROM s),
-b AS (SELECT page_id, replace(replace(replace(regexp_replace(regexp_replace(t, '</?[a-zA-Z!][^>]*>', '', 'g'), '\x02([^\x02-\x05]*)\x03?', chr(10) || '\1' || chr(10), 'g'), chr(3), chr(10) || chr(10)), chr(4), chr(10)), chr(5), '') AS t FROM m),
-u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, chr(1), '<'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM b)
-SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text FROM u""",
+    r"""WITH s AS (SELECT page_id, coalesce(regexp_matches(html, '(?is)<p\s[^>]*class\s*=[\s"'']*(?:[^"''>]*\s)?message[\s"''>].*<a\s[^>]*href\s*=[^>]*/works/[0-9]') AND regexp_matches(html, '(?is)<h1[\s>]'), false) AS is_work, array_to_string(list_transform(string_split_regex(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(?i)</?script[^>]*>'), lambda x, i: CASE WHEN i % 2 = 0 THEN replace(x, '<', chr(1)) ELSE x END), '') AS t FROM pages),
+m AS (SELECT page_id, is_work, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '</?br(?:\s[^>]*)?/?>', chr(10) || chr(10), 'gi'), '<p(?:\s[^>]*)?/?>', chr(2), 'gi'), '</p(?:\s[^>]*)?>', chr(3), 'gi'), '</?(?:div|li|blockquote|h1|h2|h3)(?:\s[^>]*)?/?>', chr(4), 'gi'), '</?(?:article|footer|header|nav|ol|section|table|ul)(?:\s[^>]*)?/?>', chr(5), 'gi') AS t FROM s),
+b AS (SELECT page_id, is_work, replace(replace(replace(regexp_replace(regexp_replace(t, '</?[a-zA-Z!][^>]*>', '', 'g'), '\x02([^\x02-\x05]*)\x03?', chr(10) || '\1' || chr(10), 'g'), chr(3), chr(10) || chr(10)), chr(4), chr(10)), chr(5), '') AS t FROM m),
+u AS (SELECT page_id, is_work, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, chr(1), '<'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM b)
+SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text, is_work FROM u""",
 )
 def page_text(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", html.html_text(F.col("html")).alias("text"))
+    return pages.select("page_id", html.html_text(F.col("html")).alias("text"), html.parse(F.col("html")).isNotNull().alias("is_work"))
 
 
 @query_of(

@@ -1,6 +1,7 @@
 import random
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import codes, dates, formats, html, text
@@ -129,5 +130,24 @@ def test_page_text_equals_a_parser(spark):
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
 
 
+def test_page_references_end_with_their_text(spark):
+    """As in a browser: a reference that a tag cuts off is not completed by the text after the tag."""
+    assert one(spark, ["<title>x &am</title><style>p{margin:0}</style>", "a &am<b>p; b"], "t string", html.html_text(F.col("t"))) == ["x &amp{margin:0}", "a &amp; b"]
+
+
+def test_page_text_tells_work_pages(spark, tmp_path):
+    from foliant import registry
+
+    work = "<p class='a message'>At <a href='http://example.test/works/77'>here</a></p><h1>Tale</h1>"
+    pages = [(1, work), (2, "<p>plain</p><h1>x</h1>"), (3, "<p class=message>no link</p><h1>x</h1>"), (4, None), (5, work.replace("/works/", "&sol;&#119;orks&#47;"))]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["is_work"] for r in registry.QUERIES["page_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: True}
+    del got[5]
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == dict(duckdb.execute(f"SELECT page_id, is_work FROM ({registry.SQL['page_text']}) WHERE page_id <> 5").fetchall())
+
+
 def test_query_terms():
     assert parse_query("tag: Title:Rain x") == [("all", "tag:"), ("title", "Rain"), ("all", "x")]
