@@ -2,10 +2,10 @@
 
 The field tags tokens begin, inside or outside, decoded by Viterbi, from the shape of the token, the signs and words
 around it and features of the text. Tokens are runs of four or more letters, digits and signs that keys use; a name and
-its value are two tokens. Whole windows of a line are tagged, words of prose among them: the REACH tokens that follow a
-cue word, an assignment or another token that looks like chance, that token itself and the token before.
-What a window leaves out has no trigger within reach, so that the field has nothing to tell it from prose by; no token
-inside one is kept from the field. A window is one chain; so the best tagging of all windows is that of the text.
+its value are two tokens. All tokens of a text are one chain, and each is tagged; none is left out beforehand. What a
+token adds to the score of each tag is looked up in tables by its word and the gaps beside it. Viterbi then runs over
+what is left between tokens that are outside in every best tagging, whatever stands beside them (Field.surely_out), so
+that the tagging is the best one of the whole text.
 
 Tagged spans of which the base spans leave some token uncovered are added under kind crf, whole: they may overlap
 base spans. The field is trained here, on seeded lines of several generators (GENERATORS), once per process.
@@ -19,11 +19,12 @@ from __future__ import annotations
 import bisect
 import functools
 import math
+import operator
 import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,103 +61,104 @@ def base_spans(text: str) -> list[Span]:
 
 BODY = "A-Za-z0-9+/_.-"
 LEAST_TOKEN = 4
-BODY_SET = frozenset(string.ascii_letters + string.digits + "+/_.-")
 #: A token: a run of body characters with the padding that may end it. What is before "=" is a name of its own.
-TOKEN = re.compile(rf"[{BODY}]{{{LEAST_TOKEN},}}+(?:={{1,2}}(?![{BODY}=]))?")
+TOKEN = re.compile(rf"([{BODY}]{{{LEAST_TOKEN},}}+(?:={{1,2}}(?![{BODY}=]))?)")
 #: Words that announce a secret.
 CUES = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "private", "passphrase")
-#: What else begins a window: an assignment, or a run that looks like chance. Runs have a digit among letters in ten
-#: characters or twenty characters; PLAIN sorts out the numbers and words among those.
-COLON = re.compile(rf":[ \t]*[\"']?[{BODY}]{{{LEAST_TOKEN},}}")
-PLAIN = re.compile(r"[0-9.:/+-]*|[a-z'.-]*|[A-Z]?[a-z.-]*")
-SHORT_RUN, LONG_RUN, LONGEST_WORD = 10, 20, 60
-RUN = re.compile(rf"(?<![{BODY}])[{BODY}]{{{SHORT_RUN},}}+")
-DIGIT = re.compile("[0-9]")
-SMALL = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-#: Tokens that a window reaches on, and characters in which it looks for the next one.
-REACH, REACH_CHARS = 6, 400
 #: Beginnings that issuers of keys use.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_", "pk_", "xox", "eyJ", "AIza", "glpat-", "sk-")
 OUT, BEGIN, INSIDE = 0, 1, 2
-LINE = re.compile(r"[\n\r]")
-
-
-def places_of(text: str, part: str) -> Iterator[int]:
-    k = text.find(part)
-    while k >= 0:
-        yield k
-        k = text.find(part, k + 1)
-
-
-def triggers(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of what begins a window, ascending."""
-    small = text.lower()
-    if len(small) != len(text):
-        small = text.translate(SMALL)
-    out = [(k, k + len(c), "cue") for c in CUES for k in places_of(small, c)]
-    out += [(k, k + len(s), "sign") for s in ("=", "->") for k in places_of(text, s)]
-    out += [(k, k + 1, "sign") for k in places_of(text, ":") if COLON.match(text, k)]
-    if DIGIT.search(text) or max(map(len, text.split()), default=0) >= LONG_RUN:
-        for m in RUN.finditer(text):
-            run = m[0]
-            if (len(run) >= LONG_RUN or DIGIT.search(run)) and not (len(run) < LONGEST_WORD and PLAIN.fullmatch(run)):
-                out.append((*m.span(), "run"))
-    return sorted(out)
-
-
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Chains of tokens to tag, ascending and disjoint: windows that meet are one. Linear in the text: no stretch is
-    searched twice for tokens."""
-    out: list[list[tuple[int, int]]] = []
-    done, empty = 0, 0
-    for at, end, kind in triggers(text):
-        start, have = at, 0
-        if at < done:
-            # in a window already, which reaches on from here
-            have = len(out[-1]) - bisect.bisect_right(out[-1], (at, len(text)))
-            if have >= REACH:
-                continue
-            start = done
-        while kind == "cue" and start > done and text[start - 1] in BODY_SET:
-            start -= 1
-        start = max(start, empty)
-        bound, tokens = max(end, start) + REACH_CHARS, []
-        while start < bound and len(tokens) <= REACH - have:
-            t = TOKEN.search(text, start, bound)
-            if not t:
-                empty = max(empty, bound - LEAST_TOKEN)
-                break
-            if t.end() == bound:
-                t = TOKEN.match(text, t.start())
-            tokens.append(t.span())
-            start = t.end()
-        if tokens:
-            if out and (at < done or tokens[0][0] <= done + 1):
-                out[-1] += tokens
-            else:
-                out.append(tokens)
-            done = tokens[-1][1]
-    return out
+QUOTES = ("\"", "'")
+#: What between() tells apart, and own_kind().
+GAPS = ("line", "line+", "quote", "blank", "none", "assign", "at", "comma", "open", "url", "other")
+OWN = ("w", "W", "x")
+
+
+def split(text: str) -> tuple[list[str], list[str]]:
+    """All tokens of a text, and the gaps before, between and after them."""
+    parts = TOKEN.split(text)
+    return parts[1::2], parts[::2]
+
+
+def spans_of(words: list[str], gaps: list[str]) -> list[tuple[int, int]]:
+    ends = np.cumsum([len(x) for pair in zip(gaps, words, strict=False) for x in pair]).tolist()
+    return list(zip(ends[::2], ends[1::2], strict=True))
+
+
+#: Classes of a token's signs, which are ASCII: digit, lower, upper, other; and those with lower and other as one.
+CLASS = bytes(ord("d" if chr(c).isdigit() else "l" if chr(c).islower() else "u" if chr(c).isupper() else "s") for c in range(128)) + b"s" * 128
+CASES = bytes.maketrans(b"l", b"s")
+CUE = re.compile("|".join(CUES))
+#: Lower and upper letters, vowels and hexadecimal signs.
+TABLES = [np.array([chr(c) in some for c in range(256)], np.int64) for some in (string.ascii_lowercase, string.ascii_uppercase, "aeiouyAEIOUY", string.hexdigits)]
+NAMED = re.compile("[A-Za-z]+[0-9]{1,4}")
+
+
+#: c log2 c of small counts.
+WEIGHED = [0.0, *(c * math.log2(c) for c in range(1, 4096))]
+SMALL = np.array(WEIGHED)
+
+
+def entropy_of(raw: bytes) -> float:
+    n, signs = len(raw), set(raw)
+    if len(signs) == n < len(WEIGHED):
+        return WEIGHED[n] / n
+    counts = map(raw.count, signs)
+    return math.log2(n) - sum([WEIGHED[c] if c < len(WEIGHED) else c * math.log2(c) for c in counts]) / n
+
+
+def figures(word: str) -> tuple:
+    """What shape() tells of a token, as a few small values."""
+    n, raw, low, title = len(word), word.encode(), word.lower(), word.istitle()
+    entropy = entropy_of(raw)
+    vowels = n - len(raw.translate(None, b"aeiouyAEIOUY"))
+    cue, hexed = CUE.search(low) is not None, not raw.translate(None, b"0123456789abcdefABCDEF")
+    kinds = raw.translate(CLASS)
+    digits = kinds.count(b"d")
+    cases = kinds.translate(CASES)
+    switches = sum(map(operator.ne, cases, cases[1:])) / max(1, n - 1)
+    vowels /= max(1, n - digits)
+    flags = (
+        title, not digits and b"s" not in kinds and (title or b"u" not in kinds), "." in word[:-1], word[-1] == ".", word.count("-") > 1, "_" in word, hexed,
+        word.startswith(PREFIXES), word.count("/") > 1 and entropy < 4.2, word[-1] == "=", cue, digits > 0 and NAMED.fullmatch(word) is not None,
+    )
+    return (min(n // 4, 10), min(n // 8, 5), min(int(entropy * 2), 10), int(5 * digits / n), (digits > 0, b"l" in kinds, b"u" in kinds, b"s" in kinds), min(int(switches * 6), 4), int(vowels * 6), int(vowels * 4), flags)
+
+
+def alike(words: list[str]) -> np.ndarray:
+    """A number for each word, under zero unless it is plain; plain words of one number have the same figures(). So those
+    are computed once for each number and not once for each of the many words of prose."""
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    start, owner = np.cumsum(n) - n, np.repeat(np.arange(len(words)), n)
+    sums = lambda table: np.add.reduceat(table[raw], start).astype(np.int64)
+    lower, upper, vowels, hexed = map(sums, TABLES)
+    title = (upper == 1) & (TABLES[1][raw[start]] > 0)
+    # how often each sign comes, which decides the entropy
+    signs = np.sort(owner * 256 + raw)
+    first = np.flatnonzero(np.r_[True, signs[1:] != signs[:-1]])
+    weighed = np.bincount(signs[first] >> 8, SMALL[np.diff(np.r_[first, len(signs)]).clip(max=len(SMALL) - 1)], len(words))
+    entropy = (np.log2(n) * n - weighed) / n
+    # near the edge of a class rounding could decide, and long words are few
+    sound = (lower + upper == n) & ((upper == 0) | title) & (n < 64) & (np.abs(entropy * 2 - np.rint(entropy * 2)) > 1e-9)
+    named = np.fromiter((2 * w.startswith(PREFIXES) + (CUE.search(w.lower()) is not None) for w in words), np.int64, len(words))
+    key = (((n * 64 + vowels) * 32 + (entropy * 2).astype(np.int64)) * 2 + title) * 8 + (hexed == n) * 4 + named
+    return np.where(sound, key, -1)
+
+
+FLAGS = ("title", "plain", "dotted", "ends.", "dashed", "under", "hex", "prefix", "path", "padded", "iscue", "word+digits")
+
+
+def shape_of(figures_: tuple) -> list[str]:
+    """Features of a token by itself."""
+    length, wide, entropy, digits, kinds, switches, vowels, few, flags = figures_
+    classes = "".join(c for c, there in zip("dlus", kinds, strict=True) if there)
+    out = ["bias", f"length={length}", f"entropy={entropy}", f"digits={digits}", f"classes={classes}", f"classes={classes}&length={wide}", f"switches={switches}", f"vowels={vowels}", f"classes={classes}&vowels={few}"]
+    return out + [f for f, there in zip(FLAGS, flags, strict=True) if there]
 
 
-@functools.lru_cache(200_000)
-def shape(word: str) -> tuple[str, ...]:
-    """Features of a token by itself."""
-    n = len(word)
-    counts = Counter(word)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    digits = sum(c.isdigit() for c in word)
-    lower, upper, signs = any(c.islower() for c in word), any(c.isupper() for c in word), any(not c.isalnum() for c in word)
-    switches = sum(x.isdigit() != y.isdigit() or x.isupper() != y.isupper() for x, y in zip(word, word[1:], strict=False)) / max(1, n - 1)
-    classes = f"{'d' * bool(digits)}{'l' * lower}{'u' * upper}{'s' * signs}"
-    out = ["bias", f"length={min(n // 4, 10)}", f"entropy={min(int(entropy * 2), 10)}", f"digits={int(5 * digits / n)}", f"classes={classes}", f"classes={classes}&length={min(n // 8, 5)}", f"switches={min(int(switches * 6), 4)}"]
-    low = word.lower()
-    vowels = sum(c in "aeiouy" for c in low) / max(1, n - digits)
-    out += [f"vowels={int(vowels * 6)}", f"classes={classes}&vowels={int(vowels * 4)}"]
-    out += ["title"] * word.istitle() + ["plain"] * (word.isalpha() and (word.islower() or word.istitle())) + ["dotted"] * ("." in word[:-1]) + ["ends."] * word.endswith(".") + ["dashed"] * (word.count("-") > 1) + ["under"] * ("_" in word)
-    out += ["hex"] * (re.fullmatch("[0-9a-f]+", low) is not None) + ["prefix"] * word.startswith(PREFIXES) + ["path"] * (word.count("/") > 1 and entropy < 4.2) + ["padded"] * word.endswith("=") + ["iscue"] * any(c in low for c in CUES)
-    out += ["word+digits"] * (re.fullmatch("[A-Za-z]+[0-9]{1,4}", word) is not None)
-    return tuple(out)
+def shape(word: str) -> list[str]:
+    return shape_of(figures(word))
 
 
 def between(gap: str) -> str:
@@ -171,31 +173,46 @@ def between(gap: str) -> str:
     return {"@": "at", ",": "comma", "(": "open", "://": "url"}.get(core[:1] if core[:3] != "://" else "://", "other")
 
 
-def around(text: str, chain: list[tuple[int, int]], code: bool) -> list[list[str]]:
+def near_gaps(gaps: list[str]) -> list[str]:
+    """What of the gaps the field looks at."""
+    near = [g if len(g) <= 24 else g[:12] + g[-12:] for g in gaps]
+    near[0], near[-1] = gaps[0][-24:], gaps[-1][:2]
+    return near
+
+
+def is_plain(word: str) -> bool:
+    return word.isalpha() and (word.islower() or word.istitle())
+
+
+def own_kind(word: str) -> str:
+    return ("w" if len(word) < 16 else "W") if is_plain(word) else "x"
+
+
+def has_cue(text: str) -> bool:
+    return CUE.search(text.lower()) is not None
+
+
+def around(words: list[str], gaps: list[str], code: bool) -> list[list[str]]:
     """Features of each token of a chain from what is around it."""
-    words = [text[a:b] for a, b in chain]
-    gaps = [text[max(0, chain[0][0] - 24) : chain[0][0]]] + [text[chain[k][1] : chain[k + 1][0]] for k in range(len(chain) - 1)] + [text[chain[-1][1] : chain[-1][1] + 2]]
-    gaps = [g if len(g) <= 24 else g[:12] + g[-12:] for g in gaps]
+    gaps = near_gaps(gaps)
     kinds = [between(g) for g in gaps]
-    cue = [any(c in w.lower() for c in CUES) for w in words]
-    short_cue = [any(c in g.lower() for c in CUES) for g in gaps]
+    cue, short_cue = list(map(has_cue, words)), list(map(has_cue, gaps))
     out = []
     for k, word in enumerate(words):
         far = next((d for d in range(1, 4) if k >= d and cue[k - d] and "line" not in kinds[k - d + 1 : k + 1]), 0)
         if not far and short_cue[k]:
             far = 1
-        plain = word.isalpha() and (word.islower() or word.istitle())
-        own = "w" if plain and len(word) < 16 else "W" if plain else "x"
+        own = own_kind(word)
         here = [f"gap={kinds[k]}", f"next={kinds[k + 1]}", f"cue={far}", f"cue={far}&gap={kinds[k]}", f"cue={far}&gap={kinds[k]}&{own}", f"{own}&gap={kinds[k]}"]
         here += [f"before={words[k - 1].lower()}"] if k and len(words[k - 1]) < 14 else ["first"] * (not k)
         here += [f"after={words[k + 1].lower()}"] if k + 1 < len(words) and len(words[k + 1]) < 14 else []
-        here += ["closed"] * (gaps[k + 1][:1] in ("\"", "'") and gaps[k][-1:] in ("\"", "'")) + ["code"] * code + [f"code&cue={far}"] * code
+        here += ["closed"] * (gaps[k + 1][:1] in QUOTES and gaps[k][-1:] in QUOTES) + ["code"] * code + [f"code&cue={far}"] * code
         out.append(here)
     return out
 
 
-def features(text: str, chain: list[tuple[int, int]], code: bool) -> list[list[str]]:
-    return [[*shape(text[a:b]), *more] for (a, b), more in zip(chain, around(text, chain, code), strict=True)]
+def features(words: list[str], gaps: list[str], code: bool) -> list[list[str]]:
+    return [[*shape(word), *more] for word, more in zip(words, around(words, gaps, code), strict=True)]
 
 
 def is_code(text: str) -> bool:
@@ -309,30 +326,130 @@ def training_chains(seed: int = 7, n: int = 2000, kinds: tuple[str, ...] = tuple
         yield text, tags
 
 
+class Rows(dict):
+    """Numbers of strings, and a row of values for each, made when it is first asked for."""
+
+    def __init__(self, make: Callable[[list[str]], np.ndarray], width: int) -> None:
+        self.make, self.values = make, np.zeros((1024, width))
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        self.learn(keys)
+        return self.values[np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))]
+
+    def learn(self, keys: list[str]) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = [k for k in set(keys) if k not in self]
+        if new:
+            n = len(self)
+            while n + len(new) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            self.values[n : n + len(new)] = self.make(new)
+            self.update(zip(new, range(n, n + len(new)), strict=True))
+
+
 class Field:
     """Feature weights per tag, and transitions between tags."""
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray) -> None:
         self.names, self.weights, self.moves = names, weights, moves
-        self.shapes: dict[str, np.ndarray] = {}
+        # by distance of the cue, gap before and own kind; by gap after
+        self.at = np.array([[[self.summed([f"gap={g}", f"cue={d}", f"cue={d}&gap={g}", f"cue={d}&gap={g}&{o}", f"{o}&gap={g}"]) for o in OWN] for g in GAPS] for d in range(4)])
+        self.next = np.array([self.summed([f"next={g}"]) for g in GAPS])
+        self.code = np.array([self.summed(["code", f"code&cue={d}"]) for d in range(4)])
+        self.first, self.closed, self.shapes = self.summed(["first"]), self.summed(["closed"]), {}
+        # by number of alike()
+        self.plain, self.blank = {}, np.zeros(5)
+        names_beside = {f.partition("=")[2] for f in names if f.startswith(("before=", "after="))}
+        self.beside = {w: np.r_[self.summed([f"before={w}"]), self.summed([f"after={w}"])] for w in names_beside}
+        self.words, self.gaps = Rows(self._words, 11), Rows(self._gaps, 4)
 
     def __reduce__(self):
         return Field, (self.names, self.weights, self.moves)
 
-    def by_shape(self, word: str) -> np.ndarray:
-        got = self.shapes.get(word)
-        if got is None:
-            if len(self.shapes) > 200_000:
-                self.shapes.clear()
-            got = self.shapes[word] = self.weights[[self.names[f] for f in shape(word) if f in self.names]].sum(0)
-        return got
+    def learn(self, texts: list[str]) -> None:
+        """Look at the words and gaps of many texts at once; that costs less than text by text."""
+        parts = [split(t) for t in texts]
+        self.words.learn([w for words, _ in parts for w in words])
+        self.gaps.learn([g for _, gaps in parts for g in near_gaps(gaps)])
+
+    def summed(self, found: Iterable[str]) -> np.ndarray:
+        return self.weights[[self.names[f] for f in found if f in self.names]].sum(0)
+
+    def _words(self, words: list[str]) -> np.ndarray:
+        """Weights by shape, of what follows a word and of what is before it, whether it is a cue and its own kind."""
+        out = np.zeros((len(words), 11))
+        key = alike(words)
+        same, first, which = np.unique(key, return_index=True, return_inverse=True)
+        for at, k in zip(same.tolist(), first.tolist(), strict=True):
+            if at >= 0 and at not in self.plain:
+                self.plain[at] = self._shape(words[k])
+        plain = np.array([self.plain.get(at, self.blank) for at in same.tolist()])[which]
+        out[:, :3], out[:, 9:] = plain[:, :3], plain[:, 3:]
+        for k in np.flatnonzero(key < 0).tolist():
+            own = self._shape(words[k])
+            out[k, :3], out[k, 9:] = own[:3], own[3:]
+        for k, word in enumerate(words):
+            low = word.lower()
+            if len(word) < 14 and low in self.beside:
+                out[k, 3:9] = self.beside[low]
+        return out
 
-    def emissions(self, text: str, chain: list[tuple[int, int]], code: bool) -> np.ndarray:
-        out = np.zeros((len(chain), 3))
-        for k, ((a, b), more) in enumerate(zip(chain, around(text, chain, code), strict=True)):
-            out[k] = self.by_shape(text[a:b]) + self.weights[[self.names[f] for f in more if f in self.names]].sum(0)
+    def _shape(self, word: str) -> np.ndarray:
+        known = figures(word)
+        row = self.shapes.get(known)
+        if row is None:
+            if len(self.shapes) > REMEMBERED:
+                self.shapes.clear()
+            row = self.shapes[known] = self.summed(shape_of(known))
+        return np.array([*row, known[-1][10], OWN.index(own_kind(word))])
+
+    def _gaps(self, gaps: list[str]) -> np.ndarray:
+        return np.array([(GAPS.index(between(g)), g[:1] in QUOTES, g[-1:] in QUOTES, has_cue(g)) for g in gaps])
+
+    def emissions(self, words: list[str], gaps: list[str], code: bool) -> np.ndarray:
+        """What each token adds to the score of each tag: the weights of features(), looked up."""
+        w, g = self.words.of(words), self.gaps.of(near_gaps(gaps))
+        kind = g[:, 0].astype(np.int64)
+        n, line, cue = len(w), kind[:-1] == GAPS.index("line"), w[:, 9] > 0
+        far, cut = np.zeros(n, np.int64), np.zeros(n, bool)
+        for d in range(1, min(4, n)):
+            cut[d:] |= line[1 : n - d + 1]
+            far[d:] = np.where((far[d:] == 0) & cue[: n - d] & ~cut[d:], d, far[d:])
+        far[(far == 0) & (g[:-1, 3] > 0)] = 1
+        out = w[:, :3] + self.at[far, kind[:-1], w[:, 10].astype(np.int64)] + self.next[kind[1:]]
+        out[1:] += w[:-1, 3:6]
+        out[:-1] += w[1:, 6:9]
+        out[0] += self.first
+        out[(g[1:, 1] > 0) & (g[:-1, 2] > 0)] += self.closed
+        return out + self.code[far] if code else out
+
+    def surely_out(self, e: np.ndarray) -> np.ndarray:
+        """Tokens that no best tagging has begin or inside: another tag there can be made outside, the inside token
+        after it, if there is one, a begin, and the score rises whatever stands on both sides."""
+        m, out = self.moves, np.ones(len(e), bool)
+        follow = np.r_[e[1:, BEGIN] - e[1:, INSIDE], np.inf]
+        for tag in (BEGIN, INSIDE):
+            before = min(m[a, OUT] - m[a, tag] for a in (OUT, BEGIN, INSIDE) if (a, tag) != (OUT, INSIDE))
+            gain = e[:, OUT] - e[:, tag] + min(before, 0.0)
+            loose = min(0.0, *(m[OUT, b] - m[tag, b] for b in (OUT, BEGIN)))
+            tied = m[OUT, BEGIN] - m[tag, INSIDE] + min(0.0, *(m[BEGIN, c] - m[INSIDE, c] for c in (OUT, BEGIN, INSIDE)))
+            out &= (gain + loose > SURE) & (gain + follow + tied > SURE)
         return out
 
+    def best(self, e: np.ndarray) -> list[tuple[int, int]]:
+        """Place and tag of the tokens that the best tagging has not outside."""
+        live = np.flatnonzero(~self.surely_out(e))
+        found = []
+        for part in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1) if len(live) else ():
+            some, first, last = e[part], int(part[0]), int(part[-1])
+            if first:
+                some[0] += self.moves[OUT]
+            if last + 1 < len(e):
+                some[-1] += self.moves[:, OUT]
+            found += [(first + k, tag) for k, tag in enumerate(self.viterbi(some)) if tag != OUT]
+        return found
+
     def viterbi(self, e: np.ndarray) -> list[int]:
         best, back = e[0] + np.array([0, 0, -np.inf]), []
         for row in e[1:]:
@@ -347,6 +464,9 @@ class Field:
         return path[::-1]
 
 
+#: Words whose weights a worker remembers, about, and what rounding may take from a gain.
+REMEMBERED = 200_000
+SURE = 1e-6
 #: A feature counts from this many tokens on.
 LEAST_SEEN = 4
 
@@ -357,9 +477,10 @@ def trained(kinds: tuple[str, ...] = tuple(GENERATORS), epochs: int = 90, rate:
     found, tags = [], []
     for text, truth in training_chains(kinds=kinds):
         known = {(a, b): t for a, b, t in truth}
-        for chain in windows(text):
-            found.append(features(text, chain, is_code(text)))
-            tags.append([known.get(s, OUT) for s in chain])
+        words, gaps = split(text)
+        if words:
+            found.append(features(words, gaps, is_code(text)))
+            tags.append([known.get(s, OUT) for s in spans_of(words, gaps)])
     often = Counter(f for chain in found for token in chain for f in token)
     names = {f: k for k, f in enumerate(sorted(f for f, n in often.items() if n >= LEAST_SEEN))}
     n, longest, size = len(found), max(map(len, found)), len(names)
@@ -405,16 +526,17 @@ def trained(kinds: tuple[str, ...] = tuple(GENERATORS), epochs: int = 90, rate:
 
 def tagged(text: str, field: Field) -> list[list[tuple[int, int]]]:
     """Tokens of each span the field finds: a begin token with the inside tokens after it."""
+    words, gaps = split(text)
+    found = field.best(field.emissions(words, gaps, is_code(text))) if words else []
+    if not found:
+        return []
+    spans = spans_of(words, gaps)
     out: list[list[tuple[int, int]]] = []
-    found = windows(text)
-    code = is_code(text) if found else False
-    for chain in found:
-        path = field.viterbi(field.emissions(text, chain, code))
-        for token, tag in zip(chain, path, strict=True):
-            if tag == BEGIN:
-                out.append([token])
-            elif tag == INSIDE:
-                out[-1].append(token)
+    for k, tag in found:
+        if tag == BEGIN:
+            out.append([spans[k]])
+        else:
+            out[-1].append(spans[k])
     return out
 
 
@@ -456,6 +578,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         base_text, all_text, counts = [], [], {k: [] for k in KINDS[:3]}
+        field.learn([t or "" for t in batch["text"].to_pylist()])
         for text in batch["text"].to_pylist():
             base, more = all_spans(text or "", field)
             base_text.append(joined(base))
@@ -476,6 +599,7 @@ def redact(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, common.SLICE_ROWS):
                 part = batch.slice(at, common.SLICE_ROWS)
                 texts = []
+                field.learn([t or "" for t in part["text"].to_pylist()])
                 for text in part["text"].to_pylist():
                     base, more = all_spans(text or "", field)
                     out, last = [], 0

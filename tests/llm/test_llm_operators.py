@@ -434,6 +434,24 @@ def test_secrets(docs):
     assert secrets.find(docs).count() == len(TEXTS) and secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == len(TEXTS)
 
 
+def test_every_token_is_tagged():
+    """Also those without a cue, an assignment or a run of chance near them; the tables give what the features give."""
+    moves = np.array([[0, 0, -1e9], [0, 0, 0], [0, 0, 0]])
+    prose = secrets.Field({"plain": 0}, np.array([[0.0, 5.0, 0.0]]), moves)
+    text = "some plain words " * 40 + "and the last"
+    assert len(secrets.tagged_spans(text, prose)) == 121
+    field, rng = secrets.trained(), np.random.default_rng(3)
+    texts = [t for t, _ in secrets.training_chains(seed=5, n=100)] + ["Haanth. threea key-word AKIA0123 xoxabc 'abcdefgh' = \n token\nabcd1234"]
+    field.learn(texts)
+    for text in texts:
+        words, gaps = secrets.split(text)
+        if words:
+            e = field.emissions(words, gaps, secrets.is_code(text))
+            assert np.allclose(e, [field.summed(f) for f in secrets.features(words, gaps, secrets.is_code(text))]), text
+            for e in (e, e + rng.normal(0, 3, e.shape)):
+                assert field.best(e) == [(k, tag) for k, tag in enumerate(field.viterbi(e)) if tag], text
+
+
 def test_wrapped_secret(spark):
     lines = ["kJ8sLq02Zx7Vb5Nm1Qw9Er3Ty6Ui4Op0As8Df2Gh5Jk7Lz1Xc3Vb9Nm6Qw4Er2T", "Y5ui8Op1As3Df6Gh9Jk0Lz2Xc4Vb7Nm5Qw8Er1Ty3Ui6Op9As0Df2Gh4Jk7Lz5Xc", "8Vb1Nm3Qw6Er9Ty0Ui2Op4As7Df5Gh8Jk1Lz3Xc6Vb9Nm0Qw2Er4Ty7Ui5Op8As1"]
     text = "x secret = " + "\n".join(lines) + " end"
