@@ -5,7 +5,7 @@ Texts are lower-cased (A-Z only), cut into pieces at sentence signs and line end
 1. All n-grams of one to MAX_N words inside pieces become 64-bit keys of language and words, which are hash-aggregated,
    packed many to a row (hashcounts). Two n-grams of one key only add up, so a key under MIN_COUNT has no n-gram that
    reaches it. The keys that reach it set bits in a table of fixed size, 2 ** FILTER_BITS.
-2. n-grams whose bit is set become rows again, now as language and phrase, and are counted exactly. Others can't reach
+2. n-grams whose bit is set are counted exactly: in runs by numbers of their words, then as rows of language and phrase. Others can't reach
    MIN_COUNT and are not needed further: every part of a phrase is at least as frequent as the phrase.
 3. A candidate's cuts are joined with the counts of their prefix and suffix and scored in decimals; the lowest counts.
 4. Candidates that a one-word extension mostly explains go by an anti-join: counts of longer phrases never exceed those
@@ -20,11 +20,11 @@ candidates give no rows, an empty table an empty result; other columns are not r
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,9 +39,11 @@ FACTOR = 2_000_000
 #: rarer phrases are counted as well, and are left out by their count.
 FILTER_BITS = 26
 #: Words that are worked on at once, words of a long piece, and bytes of a text.
-RUN_WORDS, PIECE_WORDS, TEXT_BYTES = 250_000, 50_000, 1 << 20
-#: Words whose hash a worker remembers.
-REMEMBERED = 500_000
+RUN_WORDS, PIECE_WORDS, TEXT_BYTES = 500_000, 50_000, 1 << 20
+#: Bytes of a word that xxhash hashes.
+LONG = 64
+#: Bytes that count as a word in a run's size, if its words are longer.
+WORD_BYTES = 16
 #: Parts of a language that are ranked apart before the whole.
 SLICES = 64
 #: Sentence signs and line ends become line feeds, tabs blanks; what is left of white space is blanks.
@@ -78,60 +80,116 @@ def piece_runs(piece: bytes, max_n: int) -> Iterator[tuple[list[bytes], int]]:
         yield words, len(words)
 
 
-class Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
+def word_hashes(words: pa.BinaryArray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time; of long ones by xxhash."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    sizes = np.diff(offsets)
+    raw = np.concatenate([np.frombuffer(words.buffers()[2], np.uint8, offsets[-1]) if offsets[-1] else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    out = sizes.astype(np.uint64) * MULTIPLIER
+    for k in range(0, min(int(sizes.max(initial=0)), LONG), 8):
+        own = np.flatnonzero(sizes > k)
+        block = eight[offsets[own] + k].copy().view(np.uint64).ravel()
+        past = (8 - np.minimum(sizes[own] - k, 8)).astype(np.uint64) * np.uint64(8)
+        mixed = (out[own] ^ (block << past)) * MULTIPLIER
+        out[own] = mixed ^ (mixed >> np.uint64(29))
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(words[k].as_py())
+    return out
 
 
 class Run:
-    """Words of several pieces, the piece of each and the language, and where n-grams may start."""
+    """Lower-cased bytes of texts, or of parts of long ones, with their languages and how many of the last words of each
+    start no n-gram."""
 
     def __init__(self) -> None:
-        self.words: list[bytes] = []
-        self.lengths: list[int] = []
-        self.starts: list[int] = []
+        self.texts: list[bytes] = []
         self.langs: list[str] = []
+        self.over: list[int] = []
+        self.size = 0
 
-    def add(self, lang: str, words: list[bytes], starts: int) -> None:
-        self.words += words
-        self.lengths.append(len(words))
-        self.starts.append(starts)
+    def add(self, lang: str, text: bytes, over: int = 0) -> None:
+        self.texts.append(text)
         self.langs.append(lang)
-
-    def keys(self, hashes: Hashes, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        self.over.append(over)
+        # words at most, and bytes as well, as words may be long
+        self.size += max(1 + text.count(b" ") + text.count(b"\n"), len(text) // WORD_BYTES)
+
+    def cut(self) -> Run:
+        """Numbers the words: equal words have equal numbers. vocabulary: the words by number."""
+        raw = np.frombuffer(b"\n".join(self.texts), np.uint8)
+        gap = np.r_[True, (raw == 10) | (raw == 32), True]
+        edges = np.flatnonzero(gap[1:] != gap[:-1]).reshape(-1, 2)
+        begins, sizes = edges[:, 0], edges[:, 1] - edges[:, 0]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        split = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~gap[1:-1]])]).dictionary_encode()
+        self.vocabulary = split.dictionary
+        self.words = split.indices.to_numpy().astype(np.int64)
+        # the text of each word, and how many words of its piece are left with it
+        lengths = np.array([len(t) + 1 for t in self.texts])
+        self.text = np.searchsorted(np.cumsum(lengths), begins, "right")
+        place = np.arange(len(begins))
+        piece = np.searchsorted(np.flatnonzero(raw == 10), begins)
+        self.left = np.searchsorted(piece, piece, "right") - place
+        ends = np.searchsorted(self.text, np.arange(len(self.texts)), "right")
+        self.starts = place < (ends - np.array(self.over))[self.text]
+        return self
+
+    def keys(self, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each n the places where n-grams start and the n-grams' keys, of language, length and words."""
-        lengths = np.array(self.lengths)
-        first = np.cumsum(lengths) - lengths
-        place = np.arange(len(self.words))
-        left = np.repeat(first + lengths, lengths) - place
-        own = place < np.repeat(first + np.array(self.starts), lengths)
-        words = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, len(self.words))
-        known = {lang: hashes[b"\n" + lang.encode("utf-8", "surrogatepass")] for lang in set(self.langs)}
-        key = np.repeat(np.array([known[lang] for lang in self.langs], np.uint64), lengths)
+        words = word_hashes(self.vocabulary)[self.words]
+        known = {lang: xxhash.xxh64_intdigest(b"\n" + lang.encode("utf-8", "surrogatepass")) for lang in set(self.langs)}
+        key = np.array([known[lang] for lang in self.langs], np.uint64)[self.text]
         for n in range(1, max_n + 1):
-            key = (key[: len(words) - n + 1] ^ words[n - 1 :]) * MULTIPLIER
+            key = (key[: max(0, len(words) - n + 1)] ^ words[n - 1 :]) * MULTIPLIER
             key ^= key >> np.uint64(29)
-            at = np.flatnonzero(own[: len(key)] & (left[: len(key)] >= n))
+            at = np.flatnonzero(self.starts[: len(key)] & (self.left[: len(key)] >= n))
             yield n, at, key[at]
 
+    def counts(self, max_n: int, wanted: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """lang, phrase and n, the count, of this run's distinct n-grams of wanted keys, and each language's words with phrase
+        null. Equal n-grams are those of equal words: the first n - 1 words have a number by now, which is paired with the
+        number of the last. An n-gram whose first words were not wanted is not either."""
+        known = {lang: k for k, lang in enumerate(dict.fromkeys(self.langs))}
+        langs = pa.array(known, pa.string())
+        number = of = np.array([known[lang] for lang in self.langs])[self.text]
+        yield pa.RecordBatch.from_pydict({"lang": langs, "phrase": pa.nulls(len(langs), pa.binary()), "n": np.bincount(of[self.starts], minlength=len(langs)).astype(np.int64)})
+        for n, at, keys in self.keys(max_n):
+            at = at[wanted(keys)]
+            at = at[number[at] >= 0]
+            pair = number[at] * len(self.vocabulary) + self.words[at + n - 1]
+            order = np.argsort(pair)
+            pair = pair[order]
+            new = np.r_[True, pair[1:] != pair[:-1]][: len(pair)]
+            number = np.full(len(of), -1)
+            number[at[order]] = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            where = at[order[first]]
+            spelled = pc.binary_join_element_wise(*[self.vocabulary.take(pa.array(self.words[where + k])) for k in range(n)], b" ")
+            yield pa.RecordBatch.from_pydict({"lang": langs.take(pa.array(of[where])), "phrase": spelled, "n": np.diff(first, append=len(pair))})
+
+
+def parts(text: bytes, max_n: int) -> Iterator[tuple[bytes, int]]:
+    """A text as it is, or a long one's pieces, and how many words of each start no n-gram."""
+    if len(text) < TEXT_BYTES:
+        yield text.lower().translate(CUT), 0
+        return
+    for piece in pieces(text):
+        for words, starts in piece_runs(piece, max_n):
+            yield b" ".join(words), len(words) - starts
+
 
 def runs(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[Run]:
     run = Run()
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
-            for piece in pieces(text.as_py() or b""):
-                for words, starts in piece_runs(piece, max_n):
-                    run.add(lang, words, starts)
-                    if len(run.words) >= RUN_WORDS:
-                        yield run
-                        run = Run()
-    if run.words:
-        yield run
+            for part, over in parts(text.as_py() or b"", max_n):
+                run.add(lang, part, over)
+                if run.size >= RUN_WORDS:
+                    yield run.cut()
+                    run = Run()
+    if run.texts:
+        yield run.cut()
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -142,9 +200,8 @@ def frequent_keys(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT, s
     """The bits of all keys of n-grams that occur least times or more, counted over all 1..max_n-grams of all texts."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        hashes = Hashes()
         for run in runs(batches, max_n):
-            for _, _, keys in run.keys(hashes, max_n):
+            for _, _, keys in run.keys(max_n):
                 yield keys
 
     bits = hashcounts.shard_bits(docs)
@@ -159,16 +216,8 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT, s
     wanted = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, max_n, least, size))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for run in runs(batches, max_n):
-            langs = np.repeat(np.arange(len(run.langs)), run.lengths)
-            found: Counter = Counter()
-            for lang, starts in zip(run.langs, run.starts, strict=True):
-                found[lang, None] += starts
-            for n, at, keys in run.keys(hashes, max_n):
-                at = at[wanted.value.has(keys)]
-                found.update((run.langs[p], run.words[k] if n == 1 else b" ".join(run.words[k : k + n])) for k, p in zip(at.tolist(), langs[at].tolist(), strict=True))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "phrase": pa.array([k[1] for k in found], pa.binary()), "n": pa.array(found.values(), pa.int64())})
+            yield from run.counts(max_n, wanted.value.has)
 
     every = texts(docs).mapInArrow(explode, "lang string, phrase binary, n long").groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("f"))
     return every.filter((F.col("f") >= least) | F.col("phrase").isNull())

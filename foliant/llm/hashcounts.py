@@ -111,8 +111,8 @@ def counted(source: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iter
         if held:
             yield from whole()
 
-    # the number is given, so that Spark joins no shards to larger tasks: a task's rows come as one batch
-    return source.mapInArrow(deal, SCHEMA).repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(add, SCHEMA)
+    # a task has one shard, neither several of one hash nor joined ones: its rows come as one batch
+    return source.mapInArrow(deal, SCHEMA).repartitionById(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(add, SCHEMA)
 
 
 class Bits:
@@ -189,4 +189,4 @@ def looked_up(queries: DataFrame, table: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "shard": pa.array([shard], pa.int32()), "n": [planes(found)]})
 
     both = table.select(*PACKED.names).unionByName(queries.select("batch", "hashes").mapInArrow(deal, SCHEMA))
-    return both.repartition(1 << bits, "shard").sortWithinPartitions("shard", "batch").mapInArrow(answer, "batch long, shard int, n binary")
+    return both.repartitionById(1 << bits, "shard").sortWithinPartitions("shard", "batch").mapInArrow(answer, "batch long, shard int, n binary")

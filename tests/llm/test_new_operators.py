@@ -8,8 +8,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foliant.llm import collocations, common, langid, whitening
+from foliant.llm import collocations, common, hashcounts, langid, whitening
 
 
 def vectors(spark, rows):
@@ -119,6 +120,36 @@ def test_collocations(spark, monkeypatch):
     assert collocations.mine(df.limit(0)).count() == 0
 
 
+def test_phrases_of_a_run_are_exact_and_shards_apart(spark, monkeypatch):
+    words = ["a", "b", "c", "long" * 40, "é", "aaaaaaaa", "aaaaaaaab"]
+    rng = random.Random(9)
+    pieces = [[rng.choice(words) for _ in range(rng.randrange(6))] for _ in range(300)]
+    want = Counter(("de" if i % 2 else "en", " ".join(p[k : k + n]).encode()) for i, p in enumerate(pieces) for n in range(1, 5) for k in range(len(p) - n + 1))
+    want.update(("de" if i % 2 else "en", None) for i, p in enumerate(pieces) for _ in p)
+    run = collocations.Run()
+    for i, p in enumerate(pieces):
+        run.add("de" if i % 2 else "en", "  ".join(p).encode() + b" ")
+    run.cut()
+    assert len(set(collocations.word_hashes(run.vocabulary).tolist())) == len(words)
+    # keys that are all the same leave no count to chance
+    monkeypatch.setattr(collocations, "word_hashes", lambda words: np.zeros(len(words), np.uint64))
+    got = Counter()
+    for batch in run.counts(4, lambda keys: np.ones(len(keys), bool)):
+        for row in batch.to_pylist():
+            got[row["lang"], row["phrase"]] += row["n"]
+    assert got == want
+    # the words a long piece's part reaches over start nothing
+    over = collocations.Run()
+    over.add("en", b"a b c", 2)
+    over.add("en", b"")
+    assert [at.tolist() for _, at, _ in over.cut().keys(4)] == [[0], [0], [0], []]
+
+    rows = spark.range(4000).select("id")
+    counted = hashcounts.counted(rows, lambda batches: (np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2) for _ in batches), 1, 5)
+    shards = counted.select("shard", F.spark_partition_id().alias("p")).collect()
+    assert len({r.shard for r in shards}) == 32 == len({r.p for r in shards})
+
+
 def test_scores_beyond_64_bits(spark):
     big = 2**62
     known = spark.createDataFrame([("en", "a", big), ("en", "b", big + 1), ("en", "a b", big - 5)], "lang string, phrase string, f long")
