@@ -65,3 +65,41 @@ def test_a_search_folds_each_text_once(spark):
     one = works.select(query.scope_text(works, "title"))._jdf.queryExecution().optimizedPlan().toString()
     many = query.with_folded(works)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == many.count("regexp_replace") and one.count("regexp_replace") > 0
+
+
+def test_postings_hold_every_trigram_of_every_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "ROWS", 10)
+    rng = random.Random(8)
+    df = spark.createDataFrame([(k, " ".join(rng.choice(WORDS) for _ in range(12)) if k % 9 else "ab" if k else None) for k in range(60)], "id long, body string")
+    index = trigrams.index_texts(df, "body", ["id"], str(tmp_path / "i"))
+    rows = index.rows().collect()
+    want = {("body", g, r.part, r.slot) for r in rows for g in trigrams.grams_of(r._fold_body or "")}
+    posts = index.postings().collect()
+    assert {(p.field, p.gram, p.part, s) for p in posts for s in p.slots} == want and all(p.n == len(p.slots) == len(set(p.slots)) for p in posts)
+    # no row of a trigram and a slot is made, and nothing that is folded or listed is sorted by ranges, for which it would be made twice
+    plan = index.posted(index.rows())._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "rangepartitioning" not in plan and "MapInArrow" in plan
+
+
+def test_trigrams_of_long_texts_and_many_characters(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(trigrams, "RUN_CHARS", 7)
+    many = "".join(chr(0x20000 + k) for k in range(1 << 15)) + "xyz"
+    texts = ["abcdefghijklmnop", "", None, "ab", "abcabc", "𐐀𐐁𐐂𐐃" * 5, "é" * 30]
+
+    def found(texts, parts):
+        batch = pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "slot": pa.array(range(len(texts)), pa.int32()), "t": pa.array(texts, pa.string())})
+        out = set()
+        for part, of, slots in trigrams.text_runs(batch, "t"):
+            letters = np.frombuffer("".join(of).encode("utf-32-le"), "<u4")
+            for grams, first, slot in trigrams.listed(letters, np.repeat(np.array(slots, np.int64), [len(t) for t in of])):
+                for g, own in zip(grams, np.split(slot, first[1:]), strict=True):
+                    out |= {(part, g, s) for s in own.tolist()}
+        return out
+
+    parts = [0, 0, 0, 1, 1, 2, 2]
+    assert found(texts, parts) == {(p, g, k) for k, (p, t) in enumerate(zip(parts, texts, strict=True)) for g in trigrams.grams_of(t or "")}
+    monkeypatch.setattr(trigrams, "RUN_CHARS", 1 << 20)
+    assert found([many, "xyz"], [0, 0]) == {(0, g, k) for k, t in enumerate([many, "xyz"]) for g in trigrams.grams_of(t)}
