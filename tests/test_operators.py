@@ -275,3 +275,24 @@ def test_a_page_without_a_title_is_plain_text(spark, tmp_path):
     stored = spark.createDataFrame([], "work_id long, format_detail string, file_hash string")
     plan = ingest.plan_files(ingest.group_key(ingest.inspect(ingest.scan(spark, str(tmp_path)))), none, stored)
     assert {r.name: r.title for r in plan.collect()}["a.html"] == "a"
+
+
+def test_line_items_are_dealt_before_they_are_grouped(spark):
+    from foliant.sources import adapter
+
+    plan = lambda name: adapter.view(spark, "/root/testdata/sf0.001", name)._jdf.queryExecution().executedPlan().toString()
+    files = plan("files")
+    assert files.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in files
+    assert "REPARTITION_BY_NUM" in plan("work_tags")
+
+
+def test_components_of_claims_have_works_alone_as_nodes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(group, "WALK_LINKS", 4)
+    monkeypatch.setattr(group, "components", lambda edges, f=group.components: seen.append(sorted(map(tuple, edges.collect()))) or f(edges))
+    pairs = [(1, 2), (2, 3), (7, 8)]
+    both = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "claimer long, member long")
+    ranks = spark.createDataFrame([(w, w) for w in (1, 2, 3, 7, 8, 9)], "id long, rank long")
+    got = group.claim(ranks, both.selectExpr("claimer", "claimer as via").union(spark.createDataFrame([(9, 9)], "a long, b long")), both.selectExpr("claimer as via", "member"))
+    assert {r.id: r.anchor for r in got.collect()} == {1: 1, 2: 1, 3: 3, 7: 7, 8: 7, 9: 9}
+    assert seen == [[(1, 2), (1, 3), (2, 3), (7, 8)]]
