@@ -31,8 +31,11 @@ def claim(ranks: DataFrame, claimers: DataFrame, members: DataFrame) -> DataFram
     if n <= WALK_LINKS:
         found = walked(links.withColumn("bucket", F.lit(0)))
     else:
-        parts = components(storage.store(links.select(F.concat(F.lit("w"), "id").alias("a"), F.concat(F.lit("v"), "via").alias("b")).distinct(), "edges"))
-        own = links.join(parts.select(F.col("node").alias("_node"), "root"), F.concat(F.lit("v"), "via") == F.col("_node")).drop("_node")
+        # the works of a via hang together by its first one, so that only works are nodes and each pair is one edge
+        hubs = links.groupBy("via").agg(F.min("id").alias("a"))
+        edges = links.join(hubs, "via").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+        parts = components(storage.store(edges, "edges"))
+        own = links.join(parts.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         own = storage.store(own, "component-links")
         sizes = storage.store(own.groupBy("root").agg(F.count("*").alias("n")), "component-sizes")
         few = F.col("n") <= WALK_LINKS // 4
