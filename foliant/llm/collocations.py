@@ -35,9 +35,9 @@ MAX_N, MIN_COUNT, TOP = 4, 30, 2000
 #: A longer phrase explains a shorter one from this percentage of its count on.
 EXPLAINED = 80
 FACTOR = 2_000_000
-#: Two to this power are the bits of the table of keys that reach MIN_COUNT (8 MB). With more keys than that, more
-#: rarer phrases are counted as well, and are left out by their count.
-FILTER_BITS = 26
+#: Two to this power are the bits of the table of keys that reach MIN_COUNT (8 MB), of which a key has PROBES. With more
+#: keys than that, more rarer phrases are counted as well, and are left out by their count.
+FILTER_BITS, PROBES = 26, 3
 #: Words that are worked on at once, words of a long piece, and bytes of a text.
 RUN_WORDS, PIECE_WORDS, TEXT_BYTES = 500_000, 50_000, 1 << 20
 #: Bytes of a word that xxhash hashes.
@@ -206,7 +206,7 @@ def frequent_keys(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT, s
 
     bits = hashcounts.shard_bits(docs)
     table = common.store(hashcounts.counted(texts(docs), explode, least, bits), "ngram-keys")
-    out = hashcounts.bits_of(table, size, bits)
+    out = hashcounts.bits_of(table, size, bits, PROBES)
     common.discard(table)
     return out
 

@@ -42,6 +42,13 @@ def pieces_of(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of the files that df reads, as its plan has them; costs no job. 0 for what is no file or of unknown size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def fold4(column) -> F.Column:
     """crc32 of the id's decimal text, mod 4: the fold by which labelled rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4

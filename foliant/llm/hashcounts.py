@@ -1,12 +1,14 @@
 """Exact counts of the 64-bit hashes of a whole corpus, and their lookup, by shuffles of packed arrays.
 
 A row of the shuffle holds many hashes of one shard, ascending, as the byte planes of their differences, so that a hash
-costs about as many bytes as it adds. Shards are ranges of hashes; there are a few for each split of the input, so
-that a shard is smaller than one and hot hashes, counted before they travel, weigh no more than others.
+costs about as many bytes as it adds. Shards are ranges of hashes; there is one for a few megabytes of the input, however
+large its splits are, so that the task of a shard needs the same memory for any input, and hot hashes, counted before they
+travel, weigh no more than others.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,32 +20,40 @@ from foliant.llm import common
 
 #: Hashes that a task counts together before it sends them on.
 CHUNK = 1 << 21
+#: Bytes of the input's files to a shard.
+SHARD_BYTES = 4 << 20
 PACKED = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("n", pa.binary())])
 SCHEMA = "shard int, batch long, hashes binary, n binary"
 #: The batch that stands for the counted table itself; real ones are not negative.
 TABLE = -1
+#: Multipliers that give a hash its further bits.
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane; planes of zeros vanish in compression."""
-    return np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """How many low byte planes are not all zeros, and these planes of integers."""
+    n = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([n]) + np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
 
 def of_planes(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(8, len(raw) // 8).T.copy().view(np.uint64).ravel()
+    out = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], len(out)).T
+    return out.view(np.uint64).ravel()
 
 
 def pack(ascending: np.ndarray) -> bytes:
-    return planes(np.diff(ascending, prepend=np.uint64(0)))
+    """The first of ascending hashes as it is, the others as differences, which need fewer planes."""
+    return ascending[:1].tobytes() + planes(np.diff(ascending)) if len(ascending) else b""
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(of_planes(raw), dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw[:8], np.uint64), of_planes(raw[8:])]), dtype=np.uint64) if raw else np.zeros(0, np.uint64)
 
 
 def shard_bits(source: DataFrame) -> int:
-    """Bits of a shard's number."""
-    return max(4, min(22, (4 * common.pieces_of(source) - 1).bit_length()))
+    """Bits of a shard's number: four shards or more to a split, and one to SHARD_BYTES of the files where splits are larger."""
+    return max(4, min(22, (max(4 * common.pieces_of(source), common.bytes_of(source) // SHARD_BYTES) - 1).bit_length()))
 
 
 def by_shard(ascending: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -65,6 +75,19 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return hashes[first], np.add.reduceat(n[order], first)
 
 
+def summed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """added() of any number of parts. They are added when as much as the sum has come since, a CHUNK at least: at most
+    twice the sum and a CHUNK are held, and a hash is sorted about as often as the sum doubles."""
+    held, size, kept = [], 0, 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size - kept > max(CHUNK, kept):
+            held = [added(held)]
+            size = kept = len(held[0][0])
+    return added(held)
+
+
 def counted(source: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], least: int, bits: int) -> DataFrame:
     """A row per shard: the hashes that hashes() gives least times or more over all of source, and their counts."""
 
@@ -89,61 +112,70 @@ def counted(source: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iter
         return pa.RecordBatch.from_pydict(dict(zip(PACKED.names, map(list, zip(*listed, strict=True)), strict=True)), PACKED)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, size = None, [], 0
-
-        def whole() -> Iterator[pa.RecordBatch]:
-            h, n = added(held)
+        of: set[int] = set()
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                of.update(batch["shard"].to_pylist())
+                for k in range(batch.num_rows):
+                    yield unpack(batch["hashes"][k].as_py()), of_planes(batch["n"][k].as_py())
+
+        every = parts()
+        first = next(every, None)
+        if first:
+            h, n = summed(itertools.chain([first], every))
+            [shard] = of
             often = n >= least
             if often.any():
-                yield rows(iter([(at, h[often], n[often])]))
+                yield rows(iter([(shard, h[often], n[often])]))
 
-        for batch in batches:
-            for k, shard in enumerate(batch["shard"].to_pylist()):
-                if shard != at:
-                    if held:
-                        yield from whole()
-                    at, held, size = shard, [], 0
-                held.append((unpack(batch["hashes"][k].as_py()), of_planes(batch["n"][k].as_py())))
-                size += len(held[-1][0])
-                if size > 2 * CHUNK and len(held) > 1:
-                    held = [added(held)]
-                    size = len(held[0][0])
-        if held:
-            yield from whole()
-
-    # a task has one shard, neither several of one hash nor joined ones: its rows come as one batch
-    return source.mapInArrow(deal, SCHEMA).repartitionById(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(add, SCHEMA)
+    # a task has one shard, neither several of one hash nor joined ones: its rows need no sort
+    return source.mapInArrow(deal, SCHEMA).repartitionById(1 << bits, "shard").mapInArrow(add, SCHEMA)
+
+
+def probed(hashes: np.ndarray, size: int, bits: int, k: int) -> np.ndarray:
+    """The k-th bit of hashes among 2 ** size, in the part of their shard."""
+    width = np.uint64(size - bits)
+    mixed = hashes << np.uint64(bits) if k == 0 else hashes * ODD[k - 1]
+    return (hashes >> np.uint64(64 - bits) << width) | (mixed >> (np.uint64(64) - width))
 
 
 class Bits:
-    """A table of 2 ** size bits with a bit for every hash of a counted table; others may have theirs by chance."""
+    """A table of 2 ** size bits with probes bits for every hash of a counted table; others may have theirs by chance."""
 
-    def __init__(self, table: np.ndarray, size: int) -> None:
-        self.table, self.size = table, size
+    def __init__(self, table: np.ndarray, size: int, bits: int, probes: int) -> None:
+        self.table, self.size, self.bits, self.probes = table, size, bits, probes
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - self.size)
-        return (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        out = np.ones(len(hashes), bool)
+        for k in range(self.probes):
+            # the later bits only of those that have the first
+            own = np.flatnonzero(out)
+            at = probed(hashes[own], self.size, self.bits, k)
+            out[own] = (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
 
 
-def bits_of(table: DataFrame, size: int, bits: int) -> Bits:
+def bits_of(table: DataFrame, size: int, bits: int, probes: int = 1) -> Bits:
     """The bits of a counted table. A shard's hashes fall into its own part of the bits, which it sends to the driver
-    as bytes; together they are of the same size for any corpus."""
+    as bytes; together they are of the same size for any corpus. More probes than one leave less to chance, as long as
+    there are several bits for a hash."""
     size = max(size, bits + 3)
     width = size - bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, h in zip(batch["shard"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
-                own = np.zeros(1 << width, bool)
-                own[((unpack(h) >> np.uint64(64 - size)) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+                own, h = np.zeros(1 << width, bool), unpack(h)
+                for k in range(probes):
+                    own[(probed(h, size, bits, k) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "own": [np.packbits(own, bitorder="little").tobytes()]})
 
     out = np.zeros(1 << (size - 3), np.uint8)
     got = table.select("shard", "hashes").mapInArrow(run, "shard int, own binary").toArrow()
     for shard, own in zip(got["shard"].to_pylist(), got["own"].to_pylist(), strict=True):
         out[shard << (width - 3) : (shard + 1) << (width - 3)] |= np.frombuffer(own, np.uint8)
-    return Bits(out, size)
+    return Bits(out, size, bits, probes)
 
 
 def most_frequent(table: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:

@@ -150,6 +150,41 @@ def test_phrases_of_a_run_are_exact_and_shards_apart(spark, monkeypatch):
     assert len({r.shard for r in shards}) == 32 == len({r.p for r in shards})
 
 
+def test_shards_need_the_same_memory_for_any_split(spark, monkeypatch, tmp_path):
+    path = f"{tmp_path}/rows.parquet"
+    spark.range(20_000).selectExpr("uuid() AS text").coalesce(1).write.parquet(path)
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file())
+    monkeypatch.setattr(hashcounts, "SHARD_BYTES", size // 500, raising=False)
+    one = spark.read.parquet(path).filter("text is not null")
+    assert one.rdd.getNumPartitions() == 1 and 1 << hashcounts.shard_bits(one) == 512
+    assert hashcounts.shard_bits(spark.range(10)) <= hashcounts.shard_bits(one)
+    # parts are sorted again only as the sum doubles, even if that is more than a chunk
+    sorted_ = []
+    added = hashcounts.added
+    monkeypatch.setattr(hashcounts, "CHUNK", 100)
+    monkeypatch.setattr(hashcounts, "added", lambda parts: sorted_.append(sum(len(h) for h, _ in parts)) or added(parts))
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 50_000, 50).astype(np.uint64)) for _ in range(400)]
+    h, n = hashcounts.summed((x, np.ones(len(x), np.uint64)) for x in parts)
+    want = Counter(np.concatenate(parts).tolist())
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == want and sum(sorted_) < 6 * len(np.concatenate(parts))
+    # neither planes of zeros nor the number of the shard travel with each hash
+    for x in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.unique(rng.integers(0, 2**48, 5000).astype(np.uint64)) + np.uint64(2**63)):
+        assert hashcounts.unpack(hashcounts.pack(x)).tolist() == x.tolist() and len(hashcounts.pack(x)) <= 6 * len(x) + 9
+
+
+def test_several_bits_leave_less_to_chance(spark):
+    rng = np.random.default_rng(5)
+    keys, others = (rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2) + np.uint64(k) for k in (0, 1))
+    table = hashcounts.counted(spark.range(1).select("id"), lambda batches: (keys for _ in batches), 1, 5)
+    chance = {}
+    for probes in (1, 3):
+        bits = hashcounts.bits_of(table, 15, 5, probes)
+        assert bits.has(keys).all() and len(bits.table) == 1 << 12
+        chance[probes] = bits.has(others).mean()
+    assert chance[3] < 0.06 < 0.1 < chance[1]
+
+
 def test_scores_beyond_64_bits(spark):
     big = 2**62
     known = spark.createDataFrame([("en", "a", big), ("en", "b", big + 1), ("en", "a b", big - 5)], "lang string, phrase string, f long")
